@@ -165,8 +165,8 @@ def words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each run with A-Z lower-cased; depends on its bytes alone."""
+def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """64-bit hash of each run, its bytes mapped by fold (A-Z lower-cased); depends on these bytes alone."""
     _powers()
     out = np.empty(len(starts), np.uint64)
     i, n = 0, len(starts)
@@ -174,7 +174,7 @@ def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         base = starts[i]
         j = int(np.searchsorted(ends, base + _BLOCK, "right"))
         if j > i:
-            b = LOWER[buf[base : ends[j - 1]]].astype(np.uint64)
+            b = fold[buf[base : ends[j - 1]]].astype(np.uint64)
             b += np.uint64(1)
             total = np.zeros(len(b) + 1, np.uint64)
             np.cumsum(b * _POW[: len(b)], out=total[1:])
@@ -182,7 +182,7 @@ def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
             out[i:j] = mix((total[e] - total[s]) * _INV[s] + (e - s).astype(np.uint64))
         i = max(j, i + 1)
     for k in np.flatnonzero(ends - starts > _LONG):
-        out[k] = int.from_bytes(hashlib.blake2b(LOWER[buf[starts[k] : ends[k]]].tobytes(), digest_size=8).digest(), "little")
+        out[k] = int.from_bytes(hashlib.blake2b(fold[buf[starts[k] : ends[k]]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact
+from . import exact, packing, store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), length=4096, end=2)
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.token_store(_read(spark, sf_dir, "documents"), end=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_hilbert_packing": op6_hilbert_packing,
+    "op8_token_store": op8_token_store,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, packing, store
+from . import decontaminate, exact, near, packing, store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), length=4096, end=2)
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.token_store(_read(spark, sf_dir, "documents"), end=1)
 
@@ -33,6 +37,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op6_hilbert_packing": op6_hilbert_packing,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_token_store": op8_token_store,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, near, packing, store
+from . import decontaminate, exact, language, near, packing, store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +34,16 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.token_store(_read(spark, sf_dir, "documents"), end=1)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op6_hilbert_packing": op6_hilbert_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_token_store": op8_token_store,
+    "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, near, packing, store
+from . import decontaminate, exact, language, near, packing, shards, store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(_read(spark, sf_dir, "documents"), n=40)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.mark(docs, items))
@@ -39,6 +43,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minimax_shards": op2_minimax_shards,
     "op4_decontamination": op4_decontamination,
     "op6_hilbert_packing": op6_hilbert_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,

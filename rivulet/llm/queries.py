@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact, html, language, near, packing, shards, store
+from . import decontaminate, exact, html, language, licenses, near, packing, shards, store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents have no paths: source, language and hundreds of doc_id stand for folders."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    folder = (F.col("doc_id") / 100).cast("long").cast("string")
+    path = F.concat_ws("/", part("source"), part("lang"), folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+    return licenses.license_scan(files).withColumnRenamed("id", "doc_id")
+
+
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(_read(spark, sf_dir, "documents"), n=40)
 
@@ -47,6 +57,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_minimax_shards": op2_minimax_shards,
     "op4_decontamination": op4_decontamination,
     "op5_html_text": op5_html_text,

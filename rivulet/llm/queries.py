@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, html, language, licenses, near, packing, shards, store
+from . import decontaminate, exact, html, language, licenses, near, packing, shards, store, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(_read(spark, sf_dir, "documents"), n=40)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.mark(docs, items))
@@ -59,6 +63,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_minimax_shards": op2_minimax_shards,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_html_text": op5_html_text,
     "op6_hilbert_packing": op6_hilbert_packing,

@@ -71,7 +71,7 @@ def normalize(raw: DataFrame, specs: dict[str, TableSpec] = DOMAIN) -> Normalize
 
     Lower-case operations, which the lenient rules accept, are turned to upper case, so that they take effect.
     """
-    v = validate_first(raw, specs)
+    v = validate_first(raw, specs).persist()
     own = v.withColumns({
         "source_file": logical_file_id(F.col("source_file")),
         "operation": F.when(F.col("quarantine_code").isNull(), F.upper(F.trim("operation"))).otherwise(F.col("operation")),
@@ -79,7 +79,8 @@ def normalize(raw: DataFrame, specs: dict[str, TableSpec] = DOMAIN) -> Normalize
         "business_key_canonical": canonical_key(F.col("business_key")),
     })
     own = own.withColumn("entity_sequence_key", entity_key(F.col("table_name"), F.col("business_key_canonical")))
-    own = own.withColumn("event_fingerprint", event_fingerprint())
+    # kept: every branch below would parse and judge all lines again, and each rule would be planned many times over
+    own = own.withColumn("event_fingerprint", event_fingerprint()).persist()
     valid, bad = own.where("quarantine_code IS NULL"), own.where("quarantine_code IS NOT NULL")
     valid = flag_late(valid.withColumn("_at", F.try_to_timestamp("event_timestamp")), "ingestion_batch_id", "_at").drop("_at")
     valid = classify_duplicates(valid)

@@ -69,10 +69,12 @@ def rules(specs: dict[str, TableSpec] = DOMAIN) -> list[tuple[str, Column, Colum
 
 def validate_first(events: DataFrame, specs: dict[str, TableSpec] = DOMAIN) -> DataFrame:
     """Adds quarantine_code and quarantine_reason of the first broken rule, null for valid events."""
-    code, reason = F.when(F.col("malformed"), F.lit("MALFORMED_JSON")), F.when(F.col("malformed"), F.lit("not a JSON object"))
-    for name, broken, why in rules(specs):
-        code, reason = code.when(broken, F.lit(name)), reason.when(broken, why)
-    return events.withColumn("quarantine_code", code).withColumn("quarantine_reason", reason)
+    row = lambda code, why: F.struct(F.lit(code).alias("code"), why.alias("reason"))
+    broken = F.when(F.col("malformed"), row("MALFORMED_JSON", F.lit("not a JSON object")))
+    for name, rule, why in rules(specs):
+        broken = broken.when(rule, row(name, why))
+    out = events.withColumn("_broken", broken)
+    return out.withColumns({"quarantine_code": F.col("_broken.code"), "quarantine_reason": F.col("_broken.reason")}).drop("_broken")
 
 
 def validate_all(events: DataFrame, specs: dict[str, TableSpec] = DOMAIN) -> DataFrame:

@@ -16,6 +16,10 @@ SHINGLE, PERCENT = 5, 75
 #: BANDS bands of ROWS minima: at similarity 0.75 a pair meets in no band with probability (1 - 0.75 ** 5) ** 48 = 2e-6.
 BANDS, ROWS = 48, 5
 
+#: Bits of each minimum that are compared before whole sets are; of pairs at similarity 0.75, 1 in 30,000 has more than
+#: DIFFER of the MINIMA apart (4 standard deviations); the bands take the first of them.
+MINIMA, PLANES, DIFFER = 480, 4, 150
+
 #: Word bytes: all but the space and 09-0D.
 WORD = np.ones(256, bool)
 WORD[0x20] = False
@@ -57,7 +61,7 @@ def coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     return x[:n] | np.uint64(1), x[n:]
 
 
-def minima(own: np.ndarray, at: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+def minima(own: np.ndarray, at: np.ndarray, n: int = MINIMA) -> np.ndarray:
     """The least value of n universal hash functions over each row's shingles: rows by n; rows must not be empty."""
     a, b = coefficients(n)
     out = np.empty((len(at) - 1, n), np.uint32)
@@ -97,6 +101,16 @@ def set_hashes(own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return lo, hi
 
 
+def planes(signature: np.ndarray, n: int = PLANES) -> np.ndarray:
+    """The low n bits of each minimum, as words of 64 of one bit each: rows by n times words."""
+    pad = -signature.shape[1] % 64
+    out = []
+    for j in range(n):
+        bit = np.pad(((signature >> np.uint32(j)) & np.uint32(1)).astype(np.uint8), ((0, 0), (0, pad)))
+        out.append(np.packbits(bit, axis=1).view(">u8").astype(np.uint64))
+    return np.concatenate(out, axis=1)
+
+
 def _buckets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, number of shingles, a hash of the whole set, and the buckets if it isn't empty."""
     for b in batches(frames):
@@ -104,11 +118,14 @@ def _buckets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi = set_hashes(own, at)
         size = np.diff(at)
         full = np.flatnonzero(size > 0)
-        found = bands(minima(own, np.append(at[:-1][full], len(own)))) if len(full) else np.zeros((0, BANDS), np.uint64)
+        signature = minima(own, np.append(at[:-1][full], len(own))) if len(full) else np.zeros((0, MINIMA), np.uint32)
+        found, bits = bands(signature), planes(signature)
         ends = np.concatenate(([0], np.cumsum(np.where(size > 0, BANDS, 0)))).astype(np.int32)
         listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel().view(np.int64)))
-        cols = [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), listed]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "lo", "hi", "buckets"])
+        ends = np.concatenate(([0], np.cumsum(np.where(size > 0, bits.shape[1], 0)))).astype(np.int32)
+        sketch = pa.ListArray.from_arrays(pa.array(ends), pa.array(bits.ravel().view(np.int64)))
+        cols = [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), listed, sketch]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "lo", "hi", "buckets", "sketch"])
 
 
 def _linked(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +195,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     1. Rows with equal shingle sets form a class, represented by its least doc_id; only classes go on.
     2. Each class falls into BANDS buckets. In each, it is paired with the least class; the pairs are verified on whole
        texts, and verified links give components by large-star and small-star.
-    3. Classes of one bucket that are still in different components are paired with each of those they don't share a
-       component with, and verified: no link is left out because a bucket is large.
+    3. Classes of one bucket that are still in different components are compared by signature with each of those they
+       don't share a component with, and the close ones verified: no link is left out because a bucket is large.
     4. The last components follow from all links.
 
     Null, empty and white-space texts have no shingles and are linked with nothing; each such row is its own
@@ -188,7 +205,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     arrow_limits(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, lo long, hi long, buckets array<long>"
+    schema = "doc_id long, n_shingles long, lo long, hi long, buckets array<long>, sketch array<long>"
     signed = table(slim.mapInArrow(_buckets, schema))
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("lo", "hi", "n_shingles").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("n"))
@@ -206,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = met.where("class > first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
     links = table(verify(star, texts))
     label = table(components(links))
-    second = _apart(met, label)
+    second = _apart(met, label, full)
     if not second.isEmpty():
         links = links.unionByName(verify(second, texts))
     every = links.unionByName(same.select(F.col("class").alias("a"), F.col("doc_id").alias("b")))
@@ -222,11 +239,13 @@ def _texts(slim: DataFrame, met: DataFrame) -> DataFrame:
     return table(slim.join(ids, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")))
 
 
-def _apart(met: DataFrame, label: DataFrame) -> DataFrame:
+def _apart(met: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs of a bucket's classes in different components, but those with its least class, which were verified.
 
     Buckets within one component, however large, give nothing. In the others, those outside the least class's component
-    are paired with all that they aren't linked with.
+    meet all that they aren't linked with; a pair goes on if the sizes of the sets allow a link, its signatures are as
+    close as those of a link are, and this is the first of its common buckets. The signatures are compared within the
+    join: of a large group, only pairs that may be links become rows.
     """
     by = met.join(label.withColumnRenamed("node", "class"), "class", "left").select(
         "bucket", "first", "class", F.coalesce("component", "class").alias("component")
@@ -234,9 +253,28 @@ def _apart(met: DataFrame, label: DataFrame) -> DataFrame:
     of_first = label.select(F.col("node").alias("first"), F.col("component").alias("of_first"))
     by = by.join(of_first, "first", "left").select("bucket", "first", "class", "component", F.coalesce("of_first", "first").alias("main"))
     by = table(by.where("class <> first"))
-    out = by.where("component <> main").select("bucket", F.col("class").alias("x"), F.col("component").alias("cx"))
-    pairs = by.select("bucket", "class", "component").join(out, "bucket").where("component <> cx")
-    return table(pairs.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")).distinct())
+    split = by.where("component <> main").select("bucket").distinct()
+    # Rows with equal doc_id hold one sketch each; one of them speaks for the id
+    own = signed.join(by.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    facts = own.select(F.col("doc_id").alias("class"), F.col("n_shingles").alias("n"), "sketch", "buckets")
+    rows = table(by.join(split, "bucket", "left_semi").join(facts, "class"))
+    main = (F.col("component") == F.col("main")).alias("in_main")
+    mine = rows.select("bucket", "class", "component", "n", "sketch", "buckets", main)
+    out = rows.where("component <> main").select("bucket", *[F.col(c).alias(f"_{c}") for c in ("class", "component", "n", "sketch", "buckets")])
+    words = (MINIMA + 63) // 64
+    apart = F.lit(0)
+    for w in range(words):
+        any_bit = F.lit(0).cast("long")
+        for j in range(PLANES):
+            at = F.lit(j * words + w)
+            any_bit = any_bit.bitwiseOR(F.get("sketch", at).bitwiseXOR(F.get("_sketch", at)))
+        apart = apart + F.bit_count(any_bit)
+    once = F.array_position(F.zip_with("buckets", "_buckets", lambda x, y: x == y), True) == F.array_position("buckets", F.col("bucket"))
+    sizes = 100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n")
+    # both outside the main component: each such pair would come twice
+    twice = (F.col("class") < F.col("_class")) | F.col("in_main")
+    pairs = mine.join(out, "bucket").where((F.col("component") != F.col("_component")) & twice & sizes & (apart <= DIFFER) & once)
+    return table(pairs.select(F.least("class", "_class").alias("a"), F.greatest("class", "_class").alias("b")).distinct())
 
 
 def keep_near(docs: DataFrame) -> DataFrame:

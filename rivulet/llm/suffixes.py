@@ -113,10 +113,12 @@ _ENTRY = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.
 
 def _answers(doc: np.ndarray, code: np.ndarray, mixed: np.ndarray, n: int) -> list[tuple]:
     """Rows for documents: the codes of covered anchors, and of those to be sorted."""
-    out = []
+    out: list[tuple] = []
+    if not len(doc):
+        return out
     order = np.argsort(doc, kind="stable")
     doc, code, mixed = doc[order], code[order], mixed[order]
-    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
+    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)], strict=True):
         m = mixed[a:z]
         out.append((n + int(doc[a]) % n, int(doc[a]), code[a:z][m].tobytes(), code[a:z][~m].tobytes()))

@@ -2,8 +2,10 @@
 
 Every string of SPAN bytes has one anchor: of its k-grams that with the least hash. Equal strings have equal anchors, so
 only suffixes that begin around equal anchors need to be told apart. Anchors whose whole surroundings agree are settled by
-hashes of these; the strings around the others are sorted: by multikey quicksort on words of eight bytes to a shallow
-depth, and what still agrees there by blind tries.
+hashes of these. Of the others, a string with more than half of its other bytes before the anchor can only be one with the
+same SIDE bytes there, any other string only one with the same SIDE bytes behind; so hashes of both sides tell which can
+agree in part. The strings of these are sorted: by multikey quicksort on words of eight bytes to a shallow depth, and what
+still agrees there by blind tries.
 """
 
 from __future__ import annotations
@@ -19,10 +21,13 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, batches, mix, run_hashes, table, tasks, utf8
 
 SPAN, GRAM, SHALLOW = 50, 20, 24
+#: Bytes on one side of an anchor that every string has on at least one side.
+SIDE = (SPAN - GRAM) // 2
 _SAME = np.arange(256, dtype=np.uint8)
 _BLOCK = 1 << 18
 _M = np.uint64(0x9E3779B97F4A7C15)
-_KEEP40, _KEEP48 = np.uint64((1 << 40) - 1), np.uint64((1 << 48) - 1)
+_KEEP32 = np.uint64((1 << 32) - 1)
+_LEFT, _RIGHT = np.uint64(1), np.uint64(2)
 
 
 def gram_hashes(buf: np.ndarray, k: int = GRAM) -> np.ndarray:
@@ -46,7 +51,8 @@ def gram_hashes(buf: np.ndarray, k: int = GRAM) -> np.ndarray:
 
 def anchors(buf: np.ndarray, offsets: np.ndarray, span: int = SPAN, k: int = GRAM) -> tuple[np.ndarray, ...]:
     """Runs of consecutive strings with one anchor: row, anchor's place, first and last string's place, hash of the gram,
-    hash of the run's bytes and the anchor's place in them."""
+    and the surroundings: 32 bits for the run's bytes and the anchor's place in them, 16 each for the SIDE bytes before
+    and behind the anchor (0: the run has fewer there)."""
     runs: list[tuple[np.ndarray, ...]] = []
     n = len(buf)
     want = span - k + 1
@@ -84,27 +90,51 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, span: int = SPAN, k: int = GRA
         z = z[np.append(head[1:], len(at)) - 1]
         at, a, g = at[head], a[head], g[head]
     around = run_hashes(buf, a, z + span, _SAME)
-    context = mix(around * np.uint64(0xD6E8FEB86659FD93) + (at - a).astype(np.uint64)) & _KEEP48
+    context = mix(around * np.uint64(0xD6E8FEB86659FD93) + (at - a).astype(np.uint64)) & _KEEP32
+    context |= _side(buf, at - SIDE, at - a >= SIDE) << np.uint64(32)
+    context |= _side(buf, at + k, z + span - at - k >= SIDE) << np.uint64(48)
     return np.searchsorted(offsets, a, "right") - 1, at, a, z, g, context
 
 
+def _side(buf: np.ndarray, begin: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """16 bits, not all 0, for the SIDE bytes from begin on; 0 where they aren't all there."""
+    out = np.zeros(len(begin), np.uint64)
+    pad = np.zeros((int(there.sum()), 16), np.uint8)
+    pad[:, :SIDE] = np.lib.stride_tricks.sliding_window_view(buf, SIDE)[begin[there]]
+    two = pad.view(np.uint64)
+    out[there] = mix(mix(two[:, 0] + np.uint64(1)) ^ two[:, 1]) % np.uint64(65535) + np.uint64(1)
+    return out
+
+
+def left_of(context: np.ndarray) -> np.ndarray:
+    return context >> np.uint64(32) & np.uint64(65535)
+
+
+def right_of(context: np.ndarray) -> np.ndarray:
+    return context >> np.uint64(48)
+
+
 def pair_code(g40: np.ndarray, bucket: np.ndarray, context: np.ndarray) -> np.ndarray:
     return mix(mix(g40 + (bucket.astype(np.uint64) << np.uint64(40))) ^ context)
 
 
 def _pack(doc: np.ndarray, g: np.ndarray, c: np.ndarray) -> tuple[bytes, bytes]:
-    raw = np.empty((len(doc), 11), np.uint8)
+    """Ascending ids as a width, the first id and the steps in that width; 13 bytes for each anchor."""
+    raw = np.empty((len(doc), 13), np.uint8)
     raw[:, :5] = g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    raw[:, 5:] = c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return doc.astype("<i8").tobytes(), raw.tobytes()
+    raw[:, 5:] = c.astype("<u8").view(np.uint8).reshape(-1, 8)
+    steps = np.diff(doc.astype("<i8").view("<u8"))
+    width = next(w for w in (1, 2, 4, 8) if not len(steps) or int(steps.max()) < 1 << 8 * w)
+    return bytes([width]) + doc[:1].astype("<i8").tobytes() + steps.astype(f"<u{width}").tobytes(), raw.tobytes()
 
 
 def _unpack(docs: bytes, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m = np.frombuffer(raw, np.uint8).reshape(-1, 11)
+    m = np.frombuffer(raw, np.uint8).reshape(-1, 13)
     wide = np.zeros((len(m), 16), np.uint8)
-    wide[:, :5], wide[:, 8:14] = m[:, :5], m[:, 5:]
+    wide[:, :5], wide[:, 8:] = m[:, :5], m[:, 5:]
     both = wide.view("<u8")
-    return np.frombuffer(docs, "<i8"), both[:, 0], both[:, 1]
+    steps = np.frombuffer(docs[9:], f"<u{docs[0]}").astype(np.uint64)
+    return np.cumsum(np.append(np.frombuffer(docs[1:9], "<u8"), steps), dtype=np.uint64).view(np.int64), both[:, 0], both[:, 1]
 
 
 ENTRIES = "bucket int, doc_id long, docs binary, codes binary"
@@ -158,7 +188,15 @@ def _collect(n: int):
 
 
 def _settle(n: int):
-    """Of each bucket's anchors, which are covered by equal surroundings and which must be sorted."""
+    """Of each bucket's anchors, which are covered by equal surroundings and which must be sorted, on which side."""
+
+    def shared(g: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """Which anchors have a gram and a side in common with others."""
+        out = np.zeros(len(g), bool)
+        there = np.flatnonzero(side)
+        _, at, n = np.unique((g[there] << np.uint64(16)) | side[there], return_inverse=True, return_counts=True)
+        out[there] = n[at] > 1
+        return out
 
     def settle(bucket: int, parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         doc, g, c = (np.concatenate(x) for x in zip(*(_unpack(*p) for p in parts), strict=True))
@@ -169,9 +207,18 @@ def _settle(n: int):
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_g))[np.cumsum(new_g) - 1] > 1
         later = doc > least
-        tell = later | several
         code = pair_code(g, np.full(len(g), bucket), c)
-        return _rows(_answers(doc[tell], code[tell], ~later[tell], n))
+        docs, codes, mixed = [doc[later]], [code[later]], [np.zeros(int(later.sum()), bool)]
+        # equal surroundings count once; rows with one doc_id and equal surroundings all take part
+        one = np.flatnonzero(several & new)
+        for side, mark in ((left_of(c), _LEFT), (right_of(c), _RIGHT)):
+            common = np.zeros(len(g), bool)
+            common[one] = shared(g[one], side[one])
+            common = common[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))] & ~later
+            docs.append(doc[common])
+            codes.append(mix(code[common] + mark))
+            mixed.append(np.ones(int(common.sum()), bool))
+        return _rows(_answers(np.concatenate(docs), np.concatenate(codes), np.concatenate(mixed), n))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -191,9 +238,9 @@ def _settle(n: int):
     return run
 
 
-JUDGED = "kind int, doc_id long, row binary, text binary, places binary, gram long, inside int, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+JUDGED = "kind int, doc_id long, row binary, text binary, places binary, gram long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _NAMES = [x.split()[0] for x in JUDGED.split(", ")]
-_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
 
 def digest(text: bytes, first: np.ndarray, last: np.ndarray, span: int = SPAN) -> tuple[int, int, int, str]:
@@ -227,19 +274,25 @@ def _judge(n: int):
                 lo, hi, start = cut[r], cut[r + 1], offsets[r]
                 text = buf[start : offsets[r + 1]].tobytes()
                 first, last = a[lo:hi] - start, z[lo:hi] - start
-                known = lambda told, lo=lo, hi=hi: np.isin(code[lo:hi], np.frombuffer(b"".join(told or []), np.uint64))
-                covered, mixed = known(told_c[r]), known(told_m[r])
-                mixed &= ~covered
+                of_covered, of_mixed = (np.frombuffer(b"".join(told or []), np.uint64) for told in (told_c[r], told_m[r]))
+                own_code = code[lo:hi]
+                covered = np.isin(own_code, of_covered)
+                left, right = (np.isin(mix(own_code + mark), of_mixed) & ~covered for mark in (_LEFT, _RIGHT))
+                mixed = left | right
                 if not mixed.any():
-                    out.append((0, doc, None, None, None, None, None, *digest(text, first[covered], last[covered])))
+                    out.append((0, doc, None, None, None, None, *digest(text, first[covered], last[covered])))
                     continue
-                own = hashlib.sha256(text).digest()
+                own = hashlib.sha256(text).digest()[:8]
                 places = np.stack((first[covered], last[covered])).astype("<i8").tobytes()
-                out.append((1, doc, own, text, places, None, None, None, None, None, None))
+                out.append((1, doc, own, text, places, None, None, None, None, None))
                 for i in np.flatnonzero(mixed).tolist():
+                    j = lo + i
+                    middle = int(at[j] - start) - SIDE  # the last string that has SIDE bytes before its anchor
                     p, q = int(first[i]), int(last[i])
-                    own_g = int(g[lo + i].view(np.int64))
-                    out.append((2, doc, own, text[p : q + SPAN], np.array([p], "<i8").tobytes(), own_g, int(at[lo + i] - a[lo + i]), None, None, None, None))
+                    for there, x, y, side, mark in ((left[i], p, min(q, middle), left_of, _LEFT), (right[i], max(p, middle + 1), q, right_of, _RIGHT)):
+                        if there and x <= y:
+                            key = mix(mix(g[j : j + 1] + mark) ^ side(c[j : j + 1]))
+                            out.append((2, doc, own, text[x : y + SPAN], np.array([x], "<i8").tobytes(), int(key.view(np.int64)[0]), None, None, None, None))
                 if len(out) > 20_000:
                     yield _batch(out)
                     out = []

@@ -123,5 +123,6 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 4096, end: int
     encoded = table(rows.mapInArrow(_encode(path or default_path(), end), ENCODED))
     order, _ = indexed(encoded.select("curve", "doc_id", "rid", "n"), "curve", "doc_id", "rid")
     begins = table(with_starts(order, "n", "begin").select("rid", "begin"))
-    joined = encoded.join(begins, "rid").select("doc_id", "begin", "n", "width", "ids")
+    # begins has a row for each document: it grows with the input and is never broadcast
+    joined = encoded.join(begins.hint("merge"), "rid").select("doc_id", "begin", "n", "width", "ids")
     return joined.mapInArrow(_cut(length), PIECES)

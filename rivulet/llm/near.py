@@ -20,6 +20,9 @@ BANDS, ROWS = 48, 5
 #: DIFFER of the MINIMA apart (4 standard deviations); the bands take the first of them.
 MINIMA, PLANES, DIFFER = 480, 4, 150
 
+#: Sets of up to LISTED shingles go into the comparison within a bucket themselves; longer ones by their signature alone.
+LISTED = 2048
+
 #: Word bytes: all but the space and 09-0D.
 WORD = np.ones(256, bool)
 WORD[0x20] = False
@@ -144,6 +147,16 @@ def _linked(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(z[keep])], names=["a", "b"])
 
 
+def _listed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, number of shingles and, up to LISTED, the distinct 32-bit halves of their hashes, else null."""
+    for b in batches(frames):
+        own, at = shingles(b.column("text"))
+        n = np.diff(at)
+        halves = [np.unique((own[x:y] >> np.uint64(32)).astype(np.uint32)).view(np.int32) if y - x <= LISTED else None for x, y in zip(at[:-1], at[1:], strict=True)]
+        cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(halves, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "listed"])
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked, held against whole texts; (doc_id, text) has each id once."""
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -195,8 +208,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     1. Rows with equal shingle sets form a class, represented by its least doc_id; only classes go on.
     2. Each class falls into BANDS buckets. In each, it is paired with the least class; the pairs are verified on whole
        texts, and verified links give components by large-star and small-star.
-    3. Classes of one bucket that are still in different components are compared by signature with each of those they
-       don't share a component with, and the close ones verified: no link is left out because a bucket is large.
+    3. Classes of one bucket that are still in different components are compared by signature and listed shingles with
+       each of those they don't share a component with, and what may be a link verified: none is left out because a
+       bucket is large.
     4. The last components follow from all links.
 
     Null, empty and white-space texts have no shingles and are linked with nothing; each such row is its own
@@ -223,7 +237,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = met.where("class > first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
     links = table(verify(star, texts))
     label = table(components(links))
-    second = _apart(met, label, full)
+    second = _apart(met, label, full, texts)
     if not second.isEmpty():
         links = links.unionByName(verify(second, texts))
     every = links.unionByName(same.select(F.col("class").alias("a"), F.col("doc_id").alias("b")))
@@ -239,13 +253,15 @@ def _texts(slim: DataFrame, met: DataFrame) -> DataFrame:
     return table(slim.join(ids, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")))
 
 
-def _apart(met: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
+def _apart(met: DataFrame, label: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of a bucket's classes in different components, but those with its least class, which were verified.
 
     Buckets within one component, however large, give nothing. In the others, those outside the least class's component
     meet all that they aren't linked with; a pair goes on if the sizes of the sets allow a link, its signatures are as
-    close as those of a link are, and this is the first of its common buckets. The signatures are compared within the
-    join: of a large group, only pairs that may be links become rows.
+    close as those of a link are, and the listed shingles have enough in common. All of this is within the join: of a
+    large group, only pairs that are links, but for clashes of 32 bits, become rows. Shingles of one set that clash
+    count as common, so that no link is lost by it. Sets too long to be listed pass by their signatures, in the first
+    of their common buckets.
     """
     by = met.join(label.withColumnRenamed("node", "class"), "class", "left").select(
         "bucket", "first", "class", F.coalesce("component", "class").alias("component")
@@ -254,13 +270,19 @@ def _apart(met: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
     by = by.join(of_first, "first", "left").select("bucket", "first", "class", "component", F.coalesce("of_first", "first").alias("main"))
     by = table(by.where("class <> first"))
     split = by.where("component <> main").select("bucket").distinct()
+    by = table(by.join(split, "bucket", "left_semi"))
+    needed = by.select(F.col("class").alias("doc_id")).distinct()
     # Rows with equal doc_id hold one sketch each; one of them speaks for the id
-    own = signed.join(by.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    facts = own.select(F.col("doc_id").alias("class"), F.col("n_shingles").alias("n"), "sketch", "buckets")
-    rows = table(by.join(split, "bucket", "left_semi").join(facts, "class"))
+    own = signed.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = texts.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_listed, "doc_id long, n long, listed array<int>")
+    facts = own.join(sets, "doc_id").select(
+        F.col("doc_id").alias("class"), "n", "sketch", "listed", F.when(F.col("listed").isNull(), F.col("buckets")).alias("buckets")
+    )
+    rows = table(by.join(facts, "class"))
     main = (F.col("component") == F.col("main")).alias("in_main")
-    mine = rows.select("bucket", "class", "component", "n", "sketch", "buckets", main)
-    out = rows.where("component <> main").select("bucket", *[F.col(c).alias(f"_{c}") for c in ("class", "component", "n", "sketch", "buckets")])
+    own = ("class", "component", "n", "sketch", "listed", "buckets")
+    mine = rows.select("bucket", *own, main)
+    out = rows.where("component <> main").select("bucket", *[F.col(c).alias(f"_{c}") for c in own])
     words = (MINIMA + 63) // 64
     apart = F.lit(0)
     for w in range(words):
@@ -269,11 +291,16 @@ def _apart(met: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
             at = F.lit(j * words + w)
             any_bit = any_bit.bitwiseOR(F.get("sketch", at).bitwiseXOR(F.get("_sketch", at)))
         apart = apart + F.bit_count(any_bit)
-    once = F.array_position(F.zip_with("buckets", "_buckets", lambda x, y: x == y), True) == F.array_position("buckets", F.col("bucket"))
     sizes = 100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n")
     # both outside the main component: each such pair would come twice
     twice = (F.col("class") < F.col("_class")) | F.col("in_main")
-    pairs = mine.join(out, "bucket").where((F.col("component") != F.col("_component")) & twice & sizes & (apart <= DIFFER) & once)
+    common = F.size(F.array_intersect("listed", "_listed")) + F.col("n") - F.size("listed")
+    enough = (100 + PERCENT) * common >= PERCENT * (F.col("n") + F.col("_n"))
+    equal = F.zip_with("buckets", "_buckets", lambda x, y: x == y)
+    once = F.array_position(equal, True) == F.array_position("buckets", F.col("bucket"))
+    unlisted, both = F.col("listed").isNull() | F.col("_listed").isNull(), F.col("listed").isNull() & F.col("_listed").isNull()
+    fine = F.when(both, once).when(unlisted, F.lit(True)).otherwise(enough)
+    pairs = mine.join(out, "bucket").where((F.col("component") != F.col("_component")) & twice & sizes & (apart <= DIFFER) & fine)
     return table(pairs.select(F.least("class", "_class").alias("a"), F.greatest("class", "_class").alias("b")).distinct())
 
 

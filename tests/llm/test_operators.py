@@ -93,6 +93,32 @@ def test_near(docs):
     assert near.keep_near(docs).columns == docs.columns
 
 
+def test_near_against_brute_force(spark):
+    """Groups about the threshold, so that buckets hold several components; some sets are too long to be listed."""
+    rng, texts = np.random.default_rng(5), []
+    for length, copies, changed in ((120, 60, 4), (120, 40, 3), (near.LISTED + 400, 12, 36)):
+        base = rng.integers(0, 5000, length)
+        for _ in range(copies):
+            own = base.copy()
+            own[rng.integers(0, length, changed)] = rng.integers(5000, 9000, changed)
+            texts.append(" ".join(f"w{x}" for x in own))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    least, links = list(range(len(sets))), 0
+    for _ in range(len(sets)):
+        before = list(least)
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    links += 1
+                    least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    assert links and 3 < len(set(least)) < len(sets)
+    got = near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {k: (len(x), least[k]) for k, x in enumerate(sets)}
+
+
 def test_language(docs):
     got = {r["doc_id"]: r for r in language.identify(docs).collect()}
     assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (3, 4, 5, 11)) and got[0]["lang_pred"] == "en"

@@ -52,10 +52,6 @@ def terms(line: str) -> Counter:
     return Counter(found) + Counter(f"{a} {b}" for a, b in zip(found, found[1:], strict=False))
 
 
-#: A line without any of these stems shares too little with every template.
-_MAY = re.compile("licen[sc]|spdx|redistribut|permission|waived|copyright", re.I)
-
-
 def vocabulary(templates=TEMPLATES) -> set[str]:
     return {w for notices in templates.values() for n in notices for w in terms(n)}
 
@@ -68,7 +64,7 @@ def _frequencies(known: set[str]):
             for text in b.column("text").to_pylist():
                 for line in (text or "").splitlines():
                     lines += 1
-                    if _MAY.search(line):
+                    if re.search("licen[sc]|spdx|redistribut|permission|waived|copyright", line, re.I):
                         seen.update(known & terms(line).keys())
         out = [*seen.items(), ("", lines)]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out]), pa.array([n for _, n in out], pa.int64())], names=["term", "n"])
@@ -98,7 +94,7 @@ class Matcher:
         if (old := self.memo.get(line)) is not None:
             return old
         v = {w: c * self.idf.get(w, self.other) for w, c in terms(line).items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
+        norm = math.sqrt(sum(x * x for x in v.values()))  # 0 of a line without words, which has no score
         score: dict[int, float] = defaultdict(float)
         for w, x in v.items():
             for i, y in self.index.get(w, ()):
@@ -115,12 +111,11 @@ class Matcher:
         for line in (text or "").splitlines():
             n = line.count(" ") + 1
             total += n
-            if _MAY.search(line):
-                name, score = self.match(line)
-                if name and score >= COSINE:
-                    inside += n
-                    if best is None or (-score, name) < best:
-                        best = (-score, name)
+            name, score = self.match(line)
+            if name and score >= COSINE:
+                inside += n
+                if best is None or (-score, name) < best:
+                    best = (-score, name)
         if best is None:
             return None, 0.0, False
         return best[1], -best[0], inside >= FILE_SHARE * total

@@ -137,6 +137,13 @@ def test_licenses(spark):
     assert got == {"1": "MIT", "2": "MIT", "3": None, "4": None, "5": "CC-BY-NC-4.0"}
 
 
+def test_licenses_of_lines_without_stems(spark):
+    """The first lines of wrapped notices name no licence by a stem of that word."""
+    files = [("1", "a/x", BASE + "\nThis Source Code Form is subject to the terms of the Mozilla Public\n" + BASE), ("2", "b/x", BASE + "\nThis work is under a Creative Commons Attribution 4.0 International\n" + BASE)]
+    got = {r["id"]: r["own"] for r in licenses.license_scan(spark.createDataFrame(files, "id string, path string, text string")).collect()}
+    assert got == {"1": "MPL-2.0", "2": "CC-BY-4.0"}
+
+
 def test_empty(docs, items):
     none = docs.limit(0)
     for out in (exact.exact_dedup(none), shards.shard(none), suffixes.remove_repeats(none), decontaminate.mark(none, items), packing.pack(none),

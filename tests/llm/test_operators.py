@@ -144,6 +144,15 @@ def test_licenses_of_lines_without_stems(spark):
     assert got == {"1": "MPL-2.0", "2": "CC-BY-4.0"}
 
 
+def test_license_frequencies_are_of_all_lines():
+    b = pa.RecordBatch.from_arrays([pa.array(["this is the first\nthis is not\n\nunder the licensed", None, ""])], names=["text"])
+    n = {}
+    for out in licenses._frequencies(licenses.vocabulary())(iter([b])):
+        for k, v in zip(out.column("term").to_pylist(), out.column("n").to_pylist(), strict=True):
+            n[k] = n.get(k, 0) + v
+    assert (n["this"], n["is"], n["the"], n["under the"], n["licensed"], n[""]) == (2, 2, 2, 1, 1, 4)
+
+
 def test_empty(docs, items):
     none = docs.limit(0)
     for out in (exact.exact_dedup(none), shards.shard(none), suffixes.remove_repeats(none), decontaminate.mark(none, items), packing.pack(none),

@@ -6,7 +6,9 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,90 +42,229 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal.",),
 }
-#: Least cosine of a line to a template, and least share of a text's words in such lines for a licence file.
+#: Least cosine of a part of a text to a template, and least share of a text's words in such parts for a licence file.
 COSINE, FILE_SHARE = 0.75, 0.3
+#: Most lines in a row that are judged as one part.
+JOINED = 4
 
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _VERSION = re.compile(r"^v(?=\d)")
+#: Characters read at once, so that arrays stay small however large a batch is.
+_AT_ONCE = 1 << 18
 
 
-def terms(line: str) -> Counter:
-    found = [_VERSION.sub("", w) for w in _WORD.findall(line.lower())]
+def full_texts() -> dict[str, str]:
+    """Whole licences by name; of the Creative Commons ones only CC0 is there."""
+    return {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "texts").glob("*.txt"))}
+
+
+def terms(line: str | list[str]) -> Counter:
+    found = [_VERSION.sub("", w) for w in (_WORD.findall(line.lower()) if isinstance(line, str) else line)]
     return Counter(found) + Counter(f"{a} {b}" for a, b in zip(found, found[1:], strict=False))
 
 
 def vocabulary(templates=TEMPLATES) -> set[str]:
-    return {w for notices in templates.values() for n in notices for w in terms(n)}
+    texts = [n for notices in templates.values() for n in notices] + list(full_texts().values())
+    return {w for n in texts for w in terms(n)}
+
+
+class _Words(dict):
+    def __missing__(self, word: str) -> int:
+        return self.get(word[1:], 0) if word[0] == "v" and word[1:2].isdigit() else 0
+
+
+class Terms:
+    """Numbers of known terms: 0 is any unknown one, then come words and pairs of words."""
+
+    def __init__(self, known: set[str]):
+        words = sorted(w for w in known if " " not in w)
+        self.word = _Words((w, k) for k, w in enumerate(words, 1))
+        code = {t: self.word[a] * (len(words) + 1) + self.word[b] for t in known if " " in t for a, b in [t.split(" ")]}
+        pairs = sorted(code, key=code.get)
+        self.pairs = np.array([code[t] for t in pairs], np.int64)
+        self.names = ["", *words, *pairs]
+
+    def read(self, texts: list[str | None]) -> Reading:
+        words: list[str] = []
+        line_at, spaced, text_at = [0], [], [0]
+        for text in texts:
+            for line in (text or "").lower().splitlines():
+                words += _WORD.findall(line)
+                line_at.append(len(words))
+                spaced.append(line.count(" ") + 1)
+            text_at.append(len(spaced))
+        one = np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
+        two = np.zeros(len(one), np.int64)
+        both = np.flatnonzero((one[:-1] > 0) & (one[1:] > 0))
+        if len(self.pairs) and len(both):
+            code = one[both] * (len(self.word) + 1) + one[both + 1]
+            k = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            two[both] = np.where(self.pairs[k] == code, k + len(self.word) + 1, 0)
+        return Reading(words, one, two, np.array(line_at), np.array(spaced, np.int64), np.array(text_at))
+
+
+class Reading:
+    """The words of some texts in order; one and two: the numbers of each word and of it with the next; where lines begin
+    among the words, each line's parts between spaces, and where texts begin among the lines."""
+
+    def __init__(self, words, one, two, line_at, spaced, text_at):
+        self.words, self.one, self.two, self.line_at, self.spaced, self.text_at = words, one, two, line_at, spaced, text_at
+
+    def lines_by_term(self, size: int) -> np.ndarray:
+        line = np.repeat(np.arange(len(self.spaced)), np.diff(self.line_at))
+        pair = np.flatnonzero(self.two[:-1])
+        pair = pair[line[pair] == line[pair + 1]]
+        word = np.flatnonzero(self.one)
+        seen = np.unique(np.concatenate((line[word] * size + self.one[word], line[pair] * size + self.two[pair])))
+        return np.bincount(seen % size, minlength=size)
+
+
+def _portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+    a = n = 0
+    for z, text in enumerate(texts):
+        n += len(text or "")
+        if n > _AT_ONCE:
+            yield texts[a : z + 1]
+            a, n = z + 1, 0
+    yield texts[a:]
 
 
 def _frequencies(known: set[str]):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        own = Terms(known)
+        seen = np.zeros(len(own.names), np.int64)
         lines = 0
         for b in batches(frames):
-            for text in b.column("text").to_pylist():
-                for line in (text or "").splitlines():
-                    lines += 1
-                    seen.update(known & terms(line).keys())
-        out = [*seen.items(), ("", lines)]
+            for some in _portions(b.column("text").to_pylist()):
+                read = own.read(some)
+                lines += len(read.spaced)
+                seen += read.lines_by_term(len(seen))
+        out = [*((own.names[k], int(seen[k])) for k in np.flatnonzero(seen).tolist()), ("", lines)]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out]), pa.array([n for _, n in out], pa.int64())], names=["term", "n"])
 
     return run
 
 
-class Matcher:
-    """Sparse TF-IDF vectors of the templates; frequencies are lines by term, in lines in all."""
+class _Index:
+    """TF-IDF vectors of some texts, of length 1."""
 
-    def __init__(self, frequencies: dict[str, int], lines: int, templates=TEMPLATES):
-        self.idf = {w: math.log((lines + 1) / (frequencies.get(w, 0) + 1)) + 1 for w in vocabulary(templates)}
-        self.other = math.log(lines + 1) + 1  # of a term in no template
-        self.names: list[str] = []
+    def __init__(self, texts: list[tuple[str, str]], idf: dict[str, float], other: float, terms_: Terms):
+        self.idf, self.other = idf, other
+        self.names = [name for name, _ in texts]
+        self.words = [len(_WORD.findall(t.lower())) for _, t in texts]
         self.index: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for name, notices in templates.items():
-            for n in notices:
-                v = {w: c * self.idf[w] for w, c in terms(n).items()}
-                norm = math.sqrt(sum(x * x for x in v.values()))
-                for w, x in v.items():
-                    self.index[w].append((len(self.names), x / norm))
-                self.names.append(name)
+        number = {t: k for k, t in enumerate(terms_.names)}
+        self.weights = np.zeros((len(texts), len(number)))  # of one occurrence of a term in the product with a text
+        for i, (_, t) in enumerate(texts):
+            v = {w: c * idf[w] for w, c in terms(t).items()}
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            for w, x in v.items():
+                self.index[w].append((i, x / norm))
+                self.weights[i, number[w]] = idf[w] * x / norm
         self.memo: dict[str, tuple[str | None, float]] = {}
 
-    def match(self, line: str) -> tuple[str | None, float]:
+    def match(self, words: list[str]) -> tuple[str | None, float]:
         """The closest licence and its cosine; of equal ones the first by name."""
-        if (old := self.memo.get(line)) is not None:
+        text = " ".join(words)
+        if (old := self.memo.get(text)) is not None:
             return old
-        v = {w: c * self.idf.get(w, self.other) for w, c in terms(line).items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))  # 0 of a line without words, which has no score
+        v = {w: c * self.idf.get(w, self.other) for w, c in terms(words).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
         score: dict[int, float] = defaultdict(float)
         for w, x in v.items():
             for i, y in self.index.get(w, ()):
                 score[i] += x * y / norm
         out = min(((-round(s, 12), self.names[i]) for i, s in score.items()), default=(0.0, None))
-        if len(self.memo) < 10_000 and len(line) < 500:
-            self.memo[line] = (out[1], -out[0])
+        if len(self.memo) < 10_000 and len(text) < 500:
+            self.memo[text] = (out[1], -out[0])
         return out[1], -out[0]
 
-    def scan(self, text: str | None) -> tuple[str | None, float, bool]:
-        """Licence and cosine of the closest line of the whole text, and whether the text is a licence file."""
-        best: tuple[float, str] | None = None
-        inside = total = 0
-        for line in (text or "").splitlines():
-            n = line.count(" ") + 1
-            total += n
-            name, score = self.match(line)
+
+class Matcher:
+    """Sparse TF-IDF vectors of the templates; frequencies are lines by term, in lines in all."""
+
+    def __init__(self, frequencies: dict[str, int], lines: int, templates=TEMPLATES):
+        idf = {w: math.log((lines + 1) / (frequencies.get(w, 0) + 1)) + 1 for w in vocabulary(templates)}
+        other = math.log(lines + 1) + 1  # of a term in no template
+        self.terms = Terms(set(idf))
+        self.squares = np.array([idf.get(w, other) ** 2 for w in self.terms.names])
+        self.notices = _Index([(name, n) for name, notices in templates.items() for n in notices], idf, other, self.terms)
+        self.whole = _Index(list(full_texts().items()), idf, other, self.terms)
+
+    def scan(self, texts: list[str | None]) -> list[tuple[str | None, float, bool]]:
+        """Licence and cosine of the closest part of each whole text, and whether the text is a licence file."""
+        return [x for some in _portions(texts) for x in self._scan(self.terms.read(some))]
+
+    def _scan(self, read: Reading) -> Iterator[tuple[str | None, float, bool]]:
+        """A part's product with a template is a sum over its terms, and its length is at least the root of the sum of its
+        terms' squares. So running sums bound every part's cosine from above; parts whose bound suffices are judged."""
+        n = len(read.words)
+        begin = read.line_at[read.text_at]  # of texts among the words
+        text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        lines = np.repeat(np.arange(len(begin) - 1), np.diff(read.text_at))
+
+        def sums(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            pair = weight[read.two]
+            return np.append(0.0, np.cumsum(weight[read.one] + pair)), pair
+
+        def over(sums_: tuple[np.ndarray, np.ndarray], a: np.ndarray, z: np.ndarray) -> np.ndarray:
+            return sums_[0][z] - sums_[0][a] - sums_[1][z - 1]  # the last word's pair leads out of the part
+
+        def enough(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+            return COSINE * np.sqrt(np.maximum(over(square, a, z), 0)) * (1 - 1e-6) - 1e-6
+
+        def bar_of(m: int) -> np.ndarray:
+            return COSINE * np.sqrt(np.maximum(square[0][m:] - square[0][:-m] - square[1][m - 1 :], 0)) * (1 - 1e-6) - 1e-6
+
+        square, most = sums(self.squares), sums(self.notices.weights.max(axis=0))
+        found: set[tuple[int, int]] = set()
+        for k in range(1, JOINED + 1):  # runs of lines
+            a, z = read.line_at[:-k], read.line_at[k:]
+            own = (z > a) & (lines[: len(a)] == lines[k - 1 :])
+            a, z = a[own], z[own]
+            k = np.flatnonzero(over(most, a, z) >= enough(a, z))
+            found.update(zip(a[k].tolist(), z[k].tolist(), strict=True))
+        for m in sorted({m for size in self.notices.words for m in (size, size - size // 5, size + size // 4)}):  # runs of words
+            if m > n:
+                break
+            a = np.flatnonzero(most[0][m:] - most[0][:-m] - most[1][m - 1 :] >= bar_of(m))
+            a = a[text[a] == text[a + m - 1]]
+            found.update(zip(a.tolist(), (a + m).tolist(), strict=True))
+        best: dict[int, tuple[float, str]] = {}
+        covered = np.zeros(n + 1, np.int64)
+        for a, z in found:
+            name, score = self.notices.match(read.words[a:z])
+            if name and score >= COSINE:
+                covered[a] += 1
+                covered[z] -= 1
+                t = int(text[a])
+                best[t] = min(best.get(t, (0.0, "")), (-score, name))
+        entire: set[int] = set()
+        full = np.flatnonzero(begin[1:] > begin[:-1])
+        bar = enough(begin[full], begin[full + 1])
+        near = np.zeros(len(full), bool)
+        for weight in self.whole.weights if len(full) else ():
+            near |= over(sums(weight), begin[full], begin[full + 1]) >= bar
+        for t in full[near].tolist():
+            name, score = self.whole.match(read.words[begin[t] : begin[t + 1]])
             if name and score >= COSINE:
-                inside += n
-                if best is None or (-score, name) < best:
-                    best = (-score, name)
-        if best is None:
-            return None, 0.0, False
-        return best[1], -best[0], inside >= FILE_SHARE * total
+                entire.add(t)
+                best[t] = min(best.get(t, (0.0, "")), (-score, name))
+        inside = np.append(0, np.cumsum(np.cumsum(covered[:-1]) > 0))
+        at = read.line_at
+        share = read.spaced * (inside[at[1:]] - inside[at[:-1]]) / np.maximum(at[1:] - at[:-1], 1)
+        for t, (a, z) in enumerate(zip(read.text_at[:-1].tolist(), read.text_at[1:].tolist(), strict=True)):
+            if t not in best:
+                yield None, 0.0, False
+            else:
+                score, name = best[t]
+                yield name, -score, t in entire or bool(share[a:z].sum() >= FILE_SHARE * read.spaced[a:z].sum())
 
 
 def _scan(shared):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
-            got = [shared.value.scan(x) for x in b.column("text").to_pylist()]
+            got = shared.value.scan(b.column("text").to_pylist())
             cols = [b.column("id"), b.column("path"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "path", "own", "score", "is_file"])
 
@@ -147,9 +288,10 @@ def inherited(folders: DataFrame, licensed: DataFrame) -> DataFrame:
 def license_scan(files: DataFrame) -> DataFrame:
     """id, path, own, score, is_file, license, inherited_from for every row of files (id, path, text).
 
-    own is the licence of the line closest to a template, if its cosine is at least COSINE; every line of the whole text
-    is held against all templates, with inverse frequencies over all lines. Texts with a FILE_SHARE or more of their
-    words in such lines are licence files and license their folder; of several in one, the one most of them name counts,
+    own is the licence of the part closest to a template, if its cosine is at least COSINE. Parts are every line, every run
+    of up to JOINED lines, and from every word on the runs of about as many words as a template has, over line ends; the
+    whole text is also held against whole licences. Inverse frequencies are over all lines. Texts with a FILE_SHARE or more
+    of their words in such parts, and those close to a whole licence, are licence files and license their folder; of several in one, the one most of them name counts,
     of equal numbers the first by name. license is own, else that of the nearest ancestor folder with one, else null. A
     null or empty text has no own licence; a null path has no folder and inherits nothing. Repeated rows are judged each.
     An empty table gives an empty result. Other columns are ignored.

@@ -144,6 +144,19 @@ def test_licenses_of_lines_without_stems(spark):
     assert got == {"1": "MPL-2.0", "2": "CC-BY-4.0"}
 
 
+def test_licenses_over_lines_and_inside_them(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:"
+    inside = f"{BASE}. Licensed under CC BY-NC 4.0. {BASE}"
+    whole = licenses.full_texts()
+    files = [("gpl", "a/x", f"{BASE}\n{gpl}\n{BASE}"), ("bsd", "b/x", f"{BASE}\n{bsd}\n{BASE}"), ("nc", "c/x", inside)]
+    files += [(name, f"{name}/LICENSE", f"Copyright (c) 2020 A. Author\n\n{text}") for name, text in whole.items()] + [(f"in {name}", f"{name}/b/x", BASE) for name in whole]
+    got = {r["id"]: (r["own"], r["is_file"], r["license"]) for r in licenses.license_scan(spark.createDataFrame(files, "id string, path string, text string")).collect()}
+    assert (got["gpl"][0], got["bsd"][0], got["nc"][0]) == ("GPL-3.0", "BSD-3-Clause", "CC-BY-NC-4.0")
+    assert {k: v for k, v in got.items() if k in whole} == {name: (name, True, name) for name in whole}
+    assert all(got[f"in {name}"] == (None, False, name) for name in whole)
+
+
 def test_license_frequencies_are_of_all_lines():
     b = pa.RecordBatch.from_arrays([pa.array(["this is the first\nthis is not\n\nunder the licensed", None, ""])], names=["text"])
     n = {}

@@ -26,7 +26,6 @@ SIDE = (SPAN - GRAM) // 2
 _SAME = np.arange(256, dtype=np.uint8)
 _BLOCK = 1 << 18
 _M = np.uint64(0x9E3779B97F4A7C15)
-_KEEP32 = np.uint64((1 << 32) - 1)
 _LEFT, _RIGHT = np.uint64(1), np.uint64(2)
 
 
@@ -51,8 +50,8 @@ def gram_hashes(buf: np.ndarray, k: int = GRAM) -> np.ndarray:
 
 def anchors(buf: np.ndarray, offsets: np.ndarray, span: int = SPAN, k: int = GRAM) -> tuple[np.ndarray, ...]:
     """Runs of consecutive strings with one anchor: row, anchor's place, first and last string's place, hash of the gram,
-    and the surroundings: 32 bits for the run's bytes and the anchor's place in them, 16 each for the SIDE bytes before
-    and behind the anchor (0: the run has fewer there)."""
+    the sides: 16 bits each for the SIDE bytes before and behind the anchor (0: the run has fewer there), and the
+    surroundings: 64 bits for the run's bytes and the anchor's place in them."""
     runs: list[tuple[np.ndarray, ...]] = []
     n = len(buf)
     want = span - k + 1
@@ -81,7 +80,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, span: int = SPAN, k: int = GRA
         runs.append((at[first] + base, ok[first] + base, ok[last] + base, g[at[first]]))
     if not runs:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z.astype(np.uint64), z.astype(np.uint64)
+        return z, z, z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint64)
     at, a, z, g = (np.concatenate(x) for x in zip(*runs, strict=True))
     joins = np.zeros(len(at), bool)  # a run that a block's end has cut
     joins[1:] = (at[1:] == at[:-1]) & (a[1:] == z[:-1] + 1)
@@ -90,10 +89,9 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, span: int = SPAN, k: int = GRA
         z = z[np.append(head[1:], len(at)) - 1]
         at, a, g = at[head], a[head], g[head]
     around = run_hashes(buf, a, z + span, _SAME)
-    context = mix(around * np.uint64(0xD6E8FEB86659FD93) + (at - a).astype(np.uint64)) & _KEEP32
-    context |= _side(buf, at - SIDE, at - a >= SIDE) << np.uint64(32)
-    context |= _side(buf, at + k, z + span - at - k >= SIDE) << np.uint64(48)
-    return np.searchsorted(offsets, a, "right") - 1, at, a, z, g, context
+    around = mix(around * np.uint64(0xD6E8FEB86659FD93) + (at - a).astype(np.uint64))
+    sides = _side(buf, at - SIDE, at - a >= SIDE) | _side(buf, at + k, z + span - at - k >= SIDE) << np.uint64(16)
+    return np.searchsorted(offsets, a, "right") - 1, at, a, z, g, sides, around
 
 
 def _side(buf: np.ndarray, begin: np.ndarray, there: np.ndarray) -> np.ndarray:
@@ -106,35 +104,40 @@ def _side(buf: np.ndarray, begin: np.ndarray, there: np.ndarray) -> np.ndarray:
     return out
 
 
-def left_of(context: np.ndarray) -> np.ndarray:
-    return context >> np.uint64(32) & np.uint64(65535)
+def left_of(sides: np.ndarray) -> np.ndarray:
+    return sides & np.uint64(65535)
 
 
-def right_of(context: np.ndarray) -> np.ndarray:
-    return context >> np.uint64(48)
+def right_of(sides: np.ndarray) -> np.ndarray:
+    return sides >> np.uint64(16)
 
 
-def pair_code(g40: np.ndarray, bucket: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return mix(mix(g40 + (bucket.astype(np.uint64) << np.uint64(40))) ^ context)
+def short(g: np.ndarray) -> np.ndarray:
+    """The bits of a gram's hash that entries carry; bucket, sides and surroundings are besides."""
+    return g >> np.uint64(40)
 
 
-def _pack(doc: np.ndarray, g: np.ndarray, c: np.ndarray) -> tuple[bytes, bytes]:
-    """Ascending ids as a width, the first id and the steps in that width; 13 bytes for each anchor."""
-    raw = np.empty((len(doc), 13), np.uint8)
-    raw[:, :5] = g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    raw[:, 5:] = c.astype("<u8").view(np.uint8).reshape(-1, 8)
+def pair_code(g24: np.ndarray, bucket: np.ndarray, sides: np.ndarray, around: np.ndarray) -> np.ndarray:
+    return mix(mix(mix(g24 + (bucket.astype(np.uint64) << np.uint64(40))) ^ sides) ^ around)
+
+
+def _pack(doc: np.ndarray, g: np.ndarray, c: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending ids as a width, the first id and the steps in that width; 15 bytes for each anchor."""
+    raw = np.empty((len(doc), 15), np.uint8)
+    for x, a, z in ((g, 0, 3), (c, 3, 7), (w, 7, 15)):
+        raw[:, a:z] = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : z - a]
     steps = np.diff(doc.astype("<i8").view("<u8"))
     width = next(w for w in (1, 2, 4, 8) if not len(steps) or int(steps.max()) < 1 << 8 * w)
     return bytes([width]) + doc[:1].astype("<i8").tobytes() + steps.astype(f"<u{width}").tobytes(), raw.tobytes()
 
 
-def _unpack(docs: bytes, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m = np.frombuffer(raw, np.uint8).reshape(-1, 13)
-    wide = np.zeros((len(m), 16), np.uint8)
-    wide[:, :5], wide[:, 8:] = m[:, :5], m[:, 5:]
-    both = wide.view("<u8")
+def _unpack(docs: bytes, raw: bytes) -> tuple[np.ndarray, ...]:
+    m = np.frombuffer(raw, np.uint8).reshape(-1, 15)
+    wide = np.zeros((len(m), 24), np.uint8)
+    wide[:, :3], wide[:, 8:12], wide[:, 16:] = m[:, :3], m[:, 3:7], m[:, 7:]
+    each = wide.view("<u8")
     steps = np.frombuffer(docs[9:], f"<u{docs[0]}").astype(np.uint64)
-    return np.cumsum(np.append(np.frombuffer(docs[1:9], "<u8"), steps), dtype=np.uint64).view(np.int64), both[:, 0], both[:, 1]
+    return np.cumsum(np.append(np.frombuffer(docs[1:9], "<u8"), steps), dtype=np.uint64).view(np.int64), each[:, 0], each[:, 1], each[:, 2]
 
 
 ENTRIES = "bucket int, doc_id long, docs binary, codes binary"
@@ -166,22 +169,22 @@ def _collect(n: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
             ids = b.column("doc_id").to_numpy()
-            row, _, _, _, g, c = anchors(*utf8(b.column("text")))
+            row, _, _, _, g, c, w = anchors(*utf8(b.column("text")))
             if not len(row):
                 continue
-            doc, bucket, g = ids[row], (g % np.uint64(n)).astype(np.int64), g >> np.uint64(24)
-            order = np.lexsort((doc, c, g, bucket))
-            doc, bucket, g, c = doc[order], bucket[order], g[order], c[order]
+            doc, bucket, g = ids[row], (g % np.uint64(n)).astype(np.int64), short(g)
+            order = np.lexsort((doc, w, c, g, bucket))
+            doc, bucket, g, c, w = doc[order], bucket[order], g[order], c[order], w[order]
             new = np.ones(len(doc), bool)
-            new[1:] = (bucket[1:] != bucket[:-1]) | (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+            new[1:] = (bucket[1:] != bucket[:-1]) | (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             later = doc > least
-            out = _answers(doc[later], pair_code(g[later], bucket[later], c[later]), np.zeros(int(later.sum()), bool), n)
-            doc, bucket, g, c = doc[new], bucket[new], g[new], c[new]
+            out = _answers(doc[later], pair_code(g[later], bucket[later], c[later], w[later]), np.zeros(int(later.sum()), bool), n)
+            doc, bucket, g, c, w = doc[new], bucket[new], g[new], c[new], w[new]
             cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)], strict=True):
                 o = np.argsort(doc[a:z], kind="stable")
-                out.append((int(bucket[a]), None, *_pack(doc[a:z][o], g[a:z][o], c[a:z][o])))
+                out.append((int(bucket[a]), None, *_pack(doc[a:z][o], g[a:z][o], c[a:z][o], w[a:z][o])))
             yield _rows(out)
 
     return run
@@ -199,15 +202,15 @@ def _settle(n: int):
         return out
 
     def settle(bucket: int, parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        doc, g, c = (np.concatenate(x) for x in zip(*(_unpack(*p) for p in parts), strict=True))
-        order = np.lexsort((doc, c, g))
-        doc, g, c = doc[order], g[order], c[order]
+        doc, g, c, w = (np.concatenate(x) for x in zip(*(_unpack(*p) for p in parts), strict=True))
+        order = np.lexsort((doc, w, c, g))
+        doc, g, c, w = doc[order], g[order], c[order], w[order]
         new_g = np.append(True, g[1:] != g[:-1])
-        new = new_g | np.append(True, c[1:] != c[:-1])
+        new = new_g | np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_g))[np.cumsum(new_g) - 1] > 1
         later = doc > least
-        code = pair_code(g, np.full(len(g), bucket), c)
+        code = pair_code(g, np.full(len(g), bucket), c, w)
         docs, codes, mixed = [doc[later]], [code[later]], [np.zeros(int(later.sum()), bool)]
         # equal surroundings count once; rows with one doc_id and equal surroundings all take part
         one = np.flatnonzero(several & new)
@@ -266,8 +269,8 @@ def _judge(n: int):
             ids = b.column("doc_id").to_pylist()
             buf, offsets = utf8(b.column("text"))
             told_c, told_m = b.column("covered").to_pylist(), b.column("mixed").to_pylist()
-            row, at, a, z, g, c = anchors(buf, offsets)
-            code = pair_code(g >> np.uint64(24), g % np.uint64(n), c)
+            row, at, a, z, g, c, w = anchors(buf, offsets)
+            code = pair_code(short(g), g % np.uint64(n), c, w)
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
             out = []
             for r, doc in enumerate(ids):

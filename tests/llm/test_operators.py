@@ -62,6 +62,14 @@ def test_repeats(docs):
         assert (got[k]["n_bytes"], got[k]["n_removed"], got[k]["kept_sha256"]) == (len(t), int(gone.sum()), hashlib.sha256(kept).hexdigest())
 
 
+def test_repeats_of_surroundings_with_equal_short_hashes(spark):
+    """The surroundings of the common gram differ in both texts, but 32 bits of their hashes and both sides are equal."""
+    mid = "the quick brown fox jumps over the lazy dog and ru"
+    texts = [f"vnywuhtdvayizhf{mid}jgvftvzzfomnhdd", f"ybeojocaqsoygfc{mid}vodokjdfvrlwqej"]
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: len(mid)}
+
+
 def test_decontamination(docs, items):
     for block in (1 << 20, 40):
         got = {r["doc_id"]: r for r in decontaminate.digest(decontaminate.mark(docs, items, block)).collect()}

@@ -40,7 +40,7 @@ class Ends:
 
 
 def least_capacity(fetch, total: int, largest: int, n: int) -> tuple[int, list[int]]:
-    """The smallest capacity under which greedy filling takes n shards at most, and the ends of these shards.
+    """The smallest capacity under which greedy filling takes n shards at most, and the ends of balanced shards within it.
 
     fetch(intervals) gives, for disjoint (low, high], points of the ends there as (end, whole): some ends in order, the
     last one included, and whether none is left out between it and the one before. Binary search runs twice: with
@@ -77,10 +77,9 @@ def least_capacity(fetch, total: int, largest: int, n: int) -> tuple[int, list[i
 
         best, worst = least(True), least(False)
         if best == worst:
-            cut = [c for _, c in ends.shards(worst, n, False)]
             exact = all(ends.below(w)[0] == ends.below(w)[1] for w, _ in ends.shards(worst, n, False))
             if exact:
-                return worst, cut + [total] * (n - len(cut))
+                return worst, balanced(ends.points, n, worst)
         # a cut of any capacity in question lies between that of best, all unknown ends near, and that of worst
         intervals, a, z = [], 0, 0
         for _ in range(n):
@@ -104,6 +103,71 @@ def least_capacity(fetch, total: int, largest: int, n: int) -> tuple[int, list[i
         ]
 
 
+def balanced(points: list[int], n: int, capacity: int) -> list[int]:
+    """Ends of n shards of at most capacity, as near equal as the points, some of the ends in order from 0 on, allow.
+
+    First the least level at which n shards are enough, where a step between points that is larger stands alone. Then the
+    runs between such steps are divided evenly: each gets the shards it needs at that level, spare ones go where shards
+    are largest, and every cut falls as near to an equal share of its run's rest as the level allows. Shards stay empty
+    only if there are fewer steps than shards.
+    """
+
+    def runs(level: int) -> list[tuple[int, int, int]]:
+        """First and last place among points, and shards needed, of every run without larger steps, and of these steps."""
+        out, at, begin, need = [], 0, 0, 0
+        while at < len(points) - 1:
+            to = bisect_right(points, points[at] + level) - 1
+            if to == at:
+                if need:
+                    out.append((begin, at, need))
+                out.append((at, at + 1, 1))
+                begin, need = at + 1, 0
+                to = at + 1
+            else:
+                need += 1
+            at = to
+            if len(out) + need > n:  # too many already
+                break
+        return out + ([(begin, at, need)] if need else [])
+
+    def fits(level: int) -> bool:
+        got = runs(level)
+        return (not got or got[-1][1] == len(points) - 1) and sum(x[2] for x in got) <= n
+
+    low, level = 0, capacity
+    while level - low > 1:
+        mid = (low + level) // 2
+        if fits(mid):
+            level = mid
+        else:
+            low = mid
+    parts = runs(level)
+    shards = [need for _, _, need in parts]
+    for _ in range(n - sum(shards)):
+        able = [i for i, (a, z, _) in enumerate(parts) if shards[i] < z - a]
+        if not able:
+            break
+        shards[max(able, key=lambda i: (points[parts[i][1]] - points[parts[i][0]]) / shards[i])] += 1
+    out: list[int] = []
+    for (a, z, _), m in zip(parts, shards, strict=True):
+        if z - a == 1:
+            out.append(points[z])
+            continue
+        least = [z]  # from behind: the first places from which 0, 1, ... shards hold the rest
+        for _ in range(m - 1):
+            least.append(max(a, bisect_left(points, points[least[-1]] - level)))
+        for rest in range(m - 1, 0, -1):
+            want = points[a] + (points[z] - points[a]) / (rest + 1)
+            first, last = max(a + 1, least[rest]), min(z - rest, bisect_right(points, points[a] + level) - 1)
+            k = min(max(bisect_left(points, want), first), last)
+            if k > first and want - points[k - 1] <= points[k] - want:
+                k -= 1
+            out.append(points[k])
+            a = k
+        out.append(points[z])
+    return out + [points[-1]] * (n - len(out))
+
+
 def _open(ends: Ends, low: int, high: int) -> list[tuple[int, int]]:
     """The parts of (low, high] where ends may be left out."""
     i, j = bisect_left(ends.points, low), bisect_left(ends.points, high)
@@ -147,7 +211,8 @@ def shard(docs: DataFrame, n: int = 40, overhead: int = 16, points: int = POINTS
     The groups of equal texts are ordered by their least doc_id. Returns doc_id, size (UTF-8 bytes of the text plus
     overhead), text_crc32, law ("bytes"), shard, slot (from 0 without gaps, groups in order, then by doc_id) and
     grown_shard (null: this law moves documents when the number of shards changes). A null text counts as empty: no
-    bytes, CRC-32 0. A group larger than the mean fills a shard alone, others may then stay empty. Rows with equal doc_id
+    bytes, CRC-32 0. A group larger than the others' shards fills one alone, and the rest is balanced over the others to
+    within a bin of the points; shards stay empty only where groups are too few. Rows with equal doc_id
     are placed each; a null doc_id comes first. An empty table gives an empty result. Other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))

@@ -46,6 +46,27 @@ def test_shards(docs):
     assert {r["text_crc32"] for r in got if r["doc_id"] in (3, 4)} == {0}
 
 
+def test_shards_beside_a_hot_group(spark):
+    texts = [f"{k:04} " + "a b c d " * 12 for k in range(300)] + ["hot " * 20] * 300
+    order = [*range(120), *range(300, 600), *range(120, 300)]
+    got = shards.shard(spark.createDataFrame([(k, texts[j]) for k, j in enumerate(order)], "doc_id long, text string"), n=12).groupBy("shard").sum("size").collect()
+    sizes = sorted(r[1] for r in got)
+    assert len(sizes) == 12 and sizes[-1] == 300 * 96 and sizes[-2] <= 1.3 * sizes[0]
+
+
+def test_balanced_cuts():
+    rng = np.random.default_rng(7)
+    for case in range(300):
+        steps = rng.integers(1, 30, rng.integers(1, 40)).tolist()
+        steps[rng.integers(len(steps))] *= int(rng.integers(1, 12))
+        n, points = int(rng.integers(1, 14)), [0, *np.cumsum(steps).tolist()]
+        whole = set(points)
+        capacity, cuts = shards.least_capacity(lambda got: [(a, z, [(p, True) for p in points if a < p <= z]) for a, z in got], points[-1], max(steps), n)
+        own = np.diff([0, *cuts])
+        assert len(cuts) == n and cuts[-1] == points[-1] and set(cuts) <= whole and max(own) == capacity, (steps, n)
+        assert (own > 0).sum() == min(n, len(steps)), (steps, n, cuts)
+
+
 def test_repeats(docs):
     own = [(k, (t or "").encode()) for k, t in enumerate(TEXTS)]
     first = {}

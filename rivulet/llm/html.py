@@ -52,24 +52,26 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("text", "linked", "heading", "beside", "article", "label")
+    __slots__ = ("text", "linked", "heading", "beside", "article", "main", "around", "label")
 
-    def __init__(self, text: str, linked: int, heading: bool, beside: bool, article: bool):
+    def __init__(self, text: str, linked: int, heading: bool, beside: bool, article: bool, main: bool, around: int):
         self.text, self.linked, self.heading, self.beside, self.article = text, linked, heading, beside, article
+        self.main, self.around = main, around  # in <main>; elements around the outermost article or main that class words alone mark
         self.label = ""
 
 
-def _is_beside(name: str, attrs: str) -> bool:
+def _is_beside(name: str, attrs: str) -> int:
+    """2 of an element beside the article, 1 if only a word of its class, id or role says so, else 0."""
     if name in BESIDE:
-        return True
+        return 2
     if attrs and name not in ("html", "body", "main", "article"):
         low = attrs.lower()
         if "hidden" in low and re.search(r"\shidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", low):
-            return True
+            return 2
         for m in _NAMES.finditer(attrs):
             if not ASIDE_WORDS.isdisjoint(x.lower() for x in _PARTS.findall(m[1] or m[2] or m[3] or "")):
-                return True
-    return False
+                return 1
+    return 0
 
 
 def blocks(html: str) -> list[Block]:
@@ -77,8 +79,8 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    open_: list[tuple[str, bool]] = []  # elements, and whether each is beside the article
-    beside = links = articles = headings = 0
+    open_: list[tuple[str, int]] = []  # elements, and whether each is beside the article
+    beside = marked = around = links = articles = mains = headings = 0
     at, end = 0, len(html)
 
     def flush() -> None:
@@ -86,7 +88,7 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, linked, headings > 0, beside > 0, articles > 0))
+                out.append(Block(text, linked, headings > 0, beside > 0 or marked > around, articles > 0, mains > 0, around))
             parts.clear()
         linked = 0
 
@@ -99,12 +101,16 @@ def blocks(html: str) -> list[Block]:
                 linked += len(_SPACE.sub(" ", text).strip())
 
     def close(k: int) -> None:
-        nonlocal beside, links, articles, headings
+        nonlocal beside, marked, around, links, articles, mains, headings
         for name, aside in open_[k:]:
-            beside -= aside
+            beside -= aside == 2
+            marked -= aside == 1
             links -= name == "a"
             articles -= name in ("article", "main")
+            mains -= name == "main"
             headings -= name in HEADING
+        if not articles:
+            around = 0
         del open_[k:]
 
     while at < end:
@@ -155,9 +161,13 @@ def blocks(html: str) -> list[Block]:
             continue
         aside = _is_beside(name, m[4])
         open_.append((name, aside))
-        beside += aside
+        beside += aside == 2
+        marked += aside == 1
+        if not articles and name in ("article", "main"):
+            around = marked
         links += name == "a"
         articles += name in ("article", "main")
+        mains += name == "main"
         headings += name in HEADING
     flush()
     return out
@@ -187,21 +197,27 @@ def classify(found: list[Block]) -> None:
     """Labels each block good or bad: first by itself, then short and nearly good ones by the nearest decided blocks.
 
     Between two good neighbours both kinds are good, between two bad ones bad; else a nearly good block is good, and a
-    short one is if it is nearer to the good one or in the article. Where nothing is decided, the article is good.
+    short one is if it is nearer to the good one or in the article. Where nothing is decided, the article is good. Blocks
+    beside the article decide none of it, even within it.
     """
-    inside = any(b.article and not b.beside for b in found)
+    own = [b for b in found if b.article and not b.beside]
+    # without <main>, the articles in the fewest marked elements are the page's, others are comments and the like
+    least = 0 if any(b.main for b in own) else min((b.around for b in own), default=0)
+    for b in own:
+        b.beside = not b.main and b.around > least
+    inside = any(not b.beside for b in own)
     first = [_first(b, inside) for b in found]
     n = len(found)
     before, after = [(-1, "")] * n, [(n, "")] * n
     last = (-1, "")
     for i in range(n):
         before[i] = last
-        if first[i] in ("good", "bad") and not (first[i] == "bad" and inside and not found[i].article):
+        if first[i] in ("good", "bad") and not (first[i] == "bad" and inside and (found[i].beside or not found[i].article)):
             last = (i, first[i])
     last = (n, "")
     for i in range(n - 1, -1, -1):
         after[i] = last
-        if first[i] in ("good", "bad") and not (first[i] == "bad" and inside and not found[i].article):
+        if first[i] in ("good", "bad") and not (first[i] == "bad" and inside and (found[i].beside or not found[i].article)):
             last = (i, first[i])
     for i, b in enumerate(found):
         if first[i] in ("good", "bad"):

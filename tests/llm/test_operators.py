@@ -160,6 +160,19 @@ def test_html():
     assert html.main_text(page) == f"Title\n\n{BASE} & {BASE}\n\nShort."
 
 
+def test_html_of_marked_wrappers():
+    text = f"{BASE} and {BASE}"
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-comments", "with-header"):
+        for kind in ("main", "article"):
+            page = f"<div class='{name}'><div><{kind}><h1>T</h1><p>{text}</p><div class='comments'><article><p>{text} x</article></div></{kind}><p>{text} y</div><div class='comments'><article>{text} z</article></div></div>"
+            assert html.main_text(page) == f"T\n\n{text}"
+    assert html.main_text(f"<div class='comments'><article><p>{text}</article></div><article><p>{text} a</article>") == f"{text} a"
+    assert html.main_text(f"<nav class=x><main><p>{text}</main></nav>") == ""
+    for beside in ("<div class='share'>Share this</div>", "<div class='ad'>Buy</div>", "<header>By me</header>"):
+        assert html.main_text(f"<article><h1>T</h1><p>Short text.</p>{beside}</article>") == "T\n\nShort text."
+        assert html.main_text(f"<article><h1>T</h1>{beside}<p>Short text.</p></article>") == "T\n\nShort text."
+
+
 def test_licenses(spark):
     files = [("1", "a/LICENSE", "Released under the MIT License."), ("2", "a/b/x", BASE), ("3", "c/x", None), ("4", None, ""), ("5", "a/b/y", BASE + "\nLicensed under CC BY-NC 4.0.\n" + BASE)]
     got = {r["id"]: r["license"] for r in licenses.license_scan(spark.createDataFrame(files, "id string, path string, text string")).collect()}

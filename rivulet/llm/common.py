@@ -12,23 +12,54 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only in local mode where the session names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/rivulet"
 
-_written: list[str] = []
+_active: list[Tables] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder that driver and executors share, as the cluster names it; without one, only local mode goes on."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (own or LOCAL_SHARED).rstrip("/")
+
+
+class Tables:
+    """Owns the intermediate tables that are written while it is entered; release() deletes these and no others.
+
+    A result may read them, so release() is for use once it is stored.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Tables:
+        _active.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _active.remove(self)
+
+    def release(self, spark: SparkSession) -> None:
+        while self.paths:
+            _delete(spark, self.paths.pop())
+
+
+def folder(spark: SparkSession, name: str = "rivulet") -> str:
+    """A new folder's path in the shared folder, owned by the Tables in use."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _active:
+        _active[-1].paths.append(path)
+    return path
 
 
 def table(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/rivulet-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rivulet_path = path
     return out
@@ -42,19 +73,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that nothing still to be run reads."""
     for t in tables:
-        if (path := t._rivulet_path) in _written:
-            _written.remove(path)
-            _delete(t.sparkSession, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes every table that table() wrote; for use once the results built on them are stored."""
-    while _written:
-        _delete(spark, _written.pop())
+        for own in _active:
+            if t._rivulet_path in own.paths:
+                own.paths.remove(t._rivulet_path)
+        _delete(t.sparkSession, t._rivulet_path)
 
 
 def arrow_limits(spark: SparkSession, rows: int = 2000) -> None:
-    """Keeps the batches that Python workers hold small."""
+    """Keeps the batches that Python workers hold small. Plans read these settings when they run, so they stay."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -66,44 +92,61 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan: for a scan, the bytes of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
+def _summed(order_sums: dict[str, str]):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = dict.fromkeys(order_sums, 0)
+        rows = 0
+        for b in batches(frames):
+            b = b.append_column("i", pa.array(np.arange(rows, rows + b.num_rows), pa.int64()))
+            rows += b.num_rows
+            for name, column in order_sums.items():
+                own = b.column(column).to_numpy(zero_copy_only=False)
+                b = b.append_column(name, pa.array(np.cumsum(own) - own + at[name], pa.int64()))
+                at[name] += int(own.sum())
+            yield b
 
-def indexed(df: DataFrame, *order: str) -> tuple[DataFrame, dict[int, int]]:
-    """df as a table sorted by order over range partitions, with part and i (position there), and rows by part.
+    return run
 
-    A key is spread over as many partitions as its rows need if order ends in distinct columns.
-    """
-    n = tasks(df.sparkSession)
-    t = table(
-        df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        .withColumn("part", F.spark_partition_id())
-        .withColumn("i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
-    counts = {r["part"]: r["n"] for r in t.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return t, counts
-
-
-def running(totals: dict[int, int]) -> dict[int, int]:
-    """What precedes each part."""
-    out, at = {}, 0
-    for k in sorted(totals):
-        out[k] = at
-        at += totals[k]
-    return out
 
+def ordered(df: DataFrame, order: list[str], sums: dict[str, str] | None = None) -> DataFrame:
+    """df as a table sorted by order over range partitions, with part, rank (place in the whole order, from 0) and, by
+    each name in sums, what that column adds up to in all rows before.
 
-def lookup(values: dict[int, int], key: str):
-    """A column that maps key by a dictionary of a bounded number of entries."""
-    if not values:
-        return F.lit(0).cast("long")
-    keys = sorted(values)
-    return F.element_at(
-        F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(int(values[k])).cast("long") for k in keys])),
-        F.col(key),
-    )
+    Sums run within a part as it is written; the parts' own, one row each, are added by a join. A key is spread over as
+    many parts as its rows need if order ends in distinct columns.
+    """
+    spark, sums = df.sparkSession, sums or {}
+    own = df.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema] + [f"`{x}` long" for x in ("i", *sums)])
+    t = table(own.mapInArrow(_summed(sums), schema))
+    totals = t.groupBy("part").agg(F.count(F.lit(1)).alias("i"), *[F.sum(c).alias(x) for x, c in sums.items()]).collect()
+    at, rows = [0] * (1 + len(sums)), []
+    for r in sorted(totals, key=lambda r: r["part"]):
+        rows.append((r["part"], *at))
+        at = [a + int(n) for a, n in zip(at, r[1:], strict=True)]
+    parts = spark.createDataFrame(rows, ", ".join(["part int", *[f"`_{x}` long" for x in ("i", *sums)]]))
+    out = t.join(F.broadcast(parts), "part")  # a row for each part
+    before = {x: F.col(x) + F.col(f"_{x}") for x in sums}
+    return out.withColumns({"rank": F.col("i") + F.col("_i"), **before}).select(*df.columns, "part", "rank", *sums)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, spread: str) -> DataFrame:
+    """left with the columns of right, which has each key once, null where it lacks the key.
+
+    rows is a column of right: how many rows of left have the key, of total in all. Keys that hold more than a fourth of a
+    task's share are fewer than four times the tasks; these, proven so few, are broadcast, and their rows are dealt by
+    spread, a column of left, instead of by key. The other keys are joined by a shuffle.
+    """
+    few = 4 * tasks(left.sparkSession)
+    hot = F.col(rows) * few > total
+    values = [c for c in right.columns if c != key]
+    packed = F.struct(*[F.col(c).alias(c) for c in values])
+    near = F.broadcast(right.where(hot).select(F.col(key).alias("_hot_key"), packed.alias("_hot")))
+    far = right.where(~hot).select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_salt_"), packed.alias("_cold"))
+    out = left.join(near, F.col(key) == F.col("_hot_key"), "left")
+    salt = F.when(F.col("_hot_key").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1)
+    out = out.withColumn("_salt", salt.cast("long")).join(far, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_salt_")), "left")
+    return out.withColumn("_both", F.coalesce("_hot", "_cold")).select(*left.columns, *[F.col(f"_both.{c}").alias(c) for c in values])
 
 
 # ---- Arrow columns as bytes ----
@@ -202,3 +245,14 @@ def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in frames:
         if b.num_rows:
             yield b
+
+
+def portions(frames: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a column's bytes stay under most, or a row stands alone: the arrays made of them are small."""
+    for b in batches(frames):
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right")))
+            yield b.slice(a, z - a)
+            a = z

@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, batches, indexed, mix, table, utf8
-from .store import with_starts
+from .common import arrow_limits, batches, mix, ordered, portions, table, utf8
 from .tokens import default_path, encoder
 
 DIMS, BITS, BUCKETS = 3, 16, 1 << 14
@@ -76,7 +75,7 @@ def _encode(path: str, end: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         width = 2 if max(enc.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
-        for b in batches(frames):
+        for b in portions(frames):
             ids, at = enc.encode_ended(*utf8(b.column("text")), end)
             keys, small = curve_keys(ids, at, matrix), ids.astype(f"<u{width}")
             bounds = at.tolist()
@@ -115,14 +114,14 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 4096, end: int
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, a row for each piece. Documents of equal
     key on the curve follow by doc_id, then by a row number, so one key may fill any number of partitions. A null text
-    is empty and has the end id alone. Rows with equal doc_id are packed each. An empty table gives an empty result.
+    is empty and has the end id alone. Rows with equal doc_id are packed each; those with a null one come first of their
+    key. Texts of any length are cut whole. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     encoded = table(rows.mapInArrow(_encode(path or default_path(), end), ENCODED))
-    order, _ = indexed(encoded.select("curve", "doc_id", "rid", "n"), "curve", "doc_id", "rid")
-    begins = table(with_starts(order, "n", "begin").select("rid", "begin"))
+    begins = ordered(encoded.select("curve", "doc_id", "rid", "n"), ["curve", "doc_id", "rid"], {"begin": "n"}).select("rid", "begin")
     # begins has a row for each document: it grows with the input and is never broadcast
     joined = encoded.join(begins.hint("merge"), "rid").select("doc_id", "begin", "n", "width", "ids")
     return joined.mapInArrow(_cut(length), PIECES)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import os
-from unicodedata import normalize
 
 import numpy as np
 
@@ -12,10 +12,15 @@ from .common import run_hashes
 _SAME = np.arange(256, dtype=np.uint8)
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 13, 32]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".,;:!?|"]] = True
+#: Classes of ASCII bytes: 1 letters, 2 digits, 3 signs but the apostrophe, which begins the tokenizer's contractions.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[48:58] = 2
+_CLASS[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = 3
+
+# How the tokenizer normalises and splits, as its file says it. pieces() and folded() rely on it.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLITS = [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
 
 
 def default_path() -> str:
@@ -24,9 +29,18 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def classes(buf: np.ndarray) -> np.ndarray:
+    """The class of each byte; both bytes of a Latin letter from U+00C0 to U+00FF are letters, other bytes have none."""
+    out = _CLASS[buf]
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    lead = lead[(buf[lead + 1] != 0x97) & (buf[lead + 1] != 0xB7)]
+    out[lead] = out[lead + 1] = 1
+    return out
+
+
+def pieces(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of pieces that the tokenizer treats apart: it drops white space and starts a new word where
-    an ASCII letter and one of .,;:!?| meet."""
+    letters, digits and signs meet, and with each digit."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
@@ -34,8 +48,8 @@ def pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     m, first = np.zeros(n + 2, bool), np.zeros(n + 2, bool)
     np.logical_not(_GAP[buf], out=m[1:-1])
     first[offsets[:-1][offsets[:-1] < n] + 1] = True
-    letter, stop = _LETTER[buf], _STOP[buf]
-    first[2:-1] |= (letter[:-1] & stop[1:]) | (stop[:-1] & letter[1:])
+    a, b = kind[:-1], kind[1:]
+    first[2:-1] |= ((a != b) & (a > 0) & (b > 0)) | ((a == 2) & (b == 2))
     starts = np.flatnonzero(m[1:-1] & (~m[:-2] | first[1:-1]))
     ends = np.flatnonzero(m[:-1] & (~m[1:] | first[1:]))
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
@@ -48,8 +62,28 @@ def folded(buf: np.ndarray) -> np.ndarray:
     return buf + (up.astype(np.uint8) << 5)
 
 
+def _splits_known(tokenizer) -> bool:
+    """Whether the tokenizer normalises and splits as pieces() takes for granted."""
+    own = json.loads(tokenizer.to_str())
+    steps = (own.get("normalizer") or {}).get("normalizers") or []
+    pre = (own.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = own.get("model") or {}
+    return (
+        [x.get("type") for x in steps] == NORMALIZERS
+        and (steps[1].get("pattern"), steps[1].get("content")) == ({"Regex": r"\s+"}, " ")
+        and [x.get("type") for x in pre] == ["Split", "ByteLevel"]
+        and [x.get("pattern", {}).get("Regex") for x in pre[:1]] == SPLITS
+        and (pre[0].get("behavior"), pre[0].get("invert")) == ("Removed", True)
+        and (pre[1].get("use_regex"), pre[1].get("add_prefix_space")) == (False, False)
+        and (model.get("type"), model.get("dropout"), model.get("end_of_word_suffix")) == ("BPE", None, "</w>")
+    )
+
+
 class Encoder:
-    """Encodes batches of texts; holds at most cap distinct words."""
+    """Encodes batches of texts; holds at most about cap distinct words, told apart by 64 bits.
+
+    A tokenizer whose file says that it splits otherwise than pieces() encodes each text whole.
+    """
 
     def __init__(self, path: str, cap: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,62 +93,94 @@ class Encoder:
         # a special token with white space inside could not be told by pieces
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = {x[:2].encode() for x in special}
-        self.whole = any(x != "".join(x.split()) or len(x) < 2 for x in special)
-        self.closing = {i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")}
+        self.whole = not _splits_known(self.tokenizer) or any(x != "".join(x.split()) or len(x) < 2 or not x.isascii() for x in special)
+        vocab = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.closing[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and their words' numbers
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        k = len(self.slots)
-        while k + len(texts) > len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
-        for h, ids in zip(hashes, self._ids(texts), strict=True):
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.slots[h], self.at[k], self.size[k] = k, self.used, len(ids)
-            self.used += len(ids)
-            k += 1
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text; words of letters alone go together and are told apart by their closing tokens."""
-        plain = [x for x in texts if x.isalpha() and (x.isascii() or normalize("NFC", x).lower() == x)]
-        ids = self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids
-        cuts = [i + 1 for i, x in enumerate(ids) if x in self.closing]
-        if len(cuts) != len(plain) or cuts and cuts[-1] != len(ids):
-            return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        known = {x: ids[a:b] for x, a, b in zip(plain, [0, *cuts], cuts, strict=False)}
-        rest = [x for x in texts if x not in known]
-        known.update(zip(rest, (e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)), strict=True))
-        return [known[x] for x in texts]
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, hashes: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray, kind: np.ndarray) -> None:
+        """Adds words, given by new hashes in order and the bytes of one occurrence each."""
+        other = np.concatenate(([0], np.cumsum(kind != 1)))
+        plain = other[s] == other[e]
+        size, ids = np.zeros(len(hashes), np.int64), []
+        parts = [np.flatnonzero(plain)[i : i + 4096] for i in range(0, int(plain.sum()), 4096)]
+        for own in parts:
+            got, ends = self._together(buf, s[own], e[own])
+            if got is None:
+                plain[own] = False
+                continue
+            ids.append((own, got))
+            size[own] = np.diff(np.append(0, ends))
+        rest = np.flatnonzero(~plain)
+        for i in range(0, len(rest), 4096):
+            own = rest[i : i + 4096]
+            found = [x.ids for x in self._encode([buf[a:z].tobytes().decode() for a, z in zip(s[own].tolist(), e[own].tolist(), strict=True)])]
+            size[own] = [len(x) for x in found]
+            ids.append((own, np.array([i for x in found for i in x], np.uint32)))
+        order = np.concatenate([own for own, _ in ids]) if ids else np.zeros(0, np.int64)
+        new = np.concatenate([x for _, x in ids]) if ids else np.zeros(0, np.uint32)
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
+        self.flat[self.used : self.used + len(new)] = new
+        at = np.empty(len(hashes), np.int64)
+        at[order] = self.used + np.cumsum(size[order]) - size[order]
+        self.used += len(new)
+        slot = len(self.at) + np.arange(len(hashes))
+        self.at, self.size = np.concatenate((self.at, at)), np.concatenate((self.size, size))
+        both = np.concatenate((self.known, hashes))
+        by = np.argsort(both, kind="stable")
+        self.known, self.slot = both[by], np.concatenate((self.slot, slot))[by]
+
+    def _encode(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _together(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+        """Words of letters alone, encoded as one text: each ends with a closing token. None if that doesn't tell them."""
+        n = e - s + 1
+        ends = np.cumsum(n)
+        line = buf[np.minimum(np.repeat(s - ends + n, n) + np.arange(int(ends[-1])), len(buf) - 1)]
+        line[ends - 1] = 32
+        ids = np.array(self._encode([line[:-1].tobytes().decode()])[0].ids, np.uint32)
+        cut = np.flatnonzero(self.closing[ids]) + 1
+        if len(cut) != len(s) or cut[-1] != len(ids):
+            return None, cut
+        return ids, cut
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and where each row's begin in them (one more entry than rows)."""
         rows = len(offsets) - 1
-        s, e, row = pieces(buf, offsets)
-        odd = np.zeros(rows, bool)
+        odd = np.full(rows, self.whole)
         if self.whole:
-            odd[:] = True
-        for a, b in self.marks:
-            hit = np.flatnonzero((buf[:-1] == a) & (buf[1:] == b))
-            odd[np.searchsorted(offsets, hit, "right") - 1] = True
+            s = e = row = np.zeros(0, np.int64)
+            kind = np.zeros(0, np.uint8)
+        else:
+            kind = classes(buf)
+            s, e, row = pieces(buf, offsets, kind)
+            for a, b in self.marks:
+                hit = np.flatnonzero((buf[:-1] == a) & (buf[1:] == b))
+                odd[np.searchsorted(offsets, hit, "right") - 1] = True
         if odd.any():
             keep = ~odd[row]
             s, e, row = s[keep], e[keep], row[keep]
-        if len(self.slots) > self.cap:
+        if len(self.known) > self.cap:
             self.clear()
         h = run_hashes(folded(buf), s, e, _SAME)
         distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        slots = self.slots
-        new = [(x, i) for x, i in zip(distinct.tolist(), where.tolist(), strict=True) if x not in slots]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self._learn([x for x, _ in part], [buf[s[k] : e[k]].tobytes().decode() for _, k in part])
-        slot = np.fromiter(map(slots.__getitem__, distinct.tolist()), np.int64, len(distinct))[inverse.ravel()]
+        at = np.searchsorted(self.known, distinct)
+        if len(self.known):
+            new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != distinct)
+        else:
+            new = np.arange(len(distinct))
+        if len(new):
+            self._learn(distinct[new], buf, s[where[new]], e[where[new]], kind)
+            at = np.searchsorted(self.known, distinct)
+        slot = self.slot[at][inverse.ravel()] if len(distinct) else np.zeros(0, np.int64)
         size = self.size[slot]
         ends = np.cumsum(size)
         n = int(ends[-1]) if len(ends) else 0
@@ -126,7 +192,7 @@ class Encoder:
             for k in range(rows):
                 if odd[k]:
                     text = buf[offsets[k] : offsets[k + 1]].tobytes().decode()
-                    out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+                    out.append(np.array(self._encode([text])[0].ids, np.uint32))
                     counts[k] = len(out[-1])
                 else:
                     out.append(ids[cut[k] : cut[k + 1]])

@@ -100,15 +100,15 @@ def test_decontamination(docs, items):
     assert kept.columns == docs.columns and kept.count() == 7
 
 
-def test_tokens_store_and_packing(docs):
+def test_tokens_store_and_packing(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_path())
     ids = {k: t.encode(x or "", add_special_tokens=False).ids for k, x in enumerate(TEXTS)}
     s = store.write_store(docs)
-    for r in store.read_digests(s).collect():
+    for r in store.read_digests(spark, s).collect():
         assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["doc_id"]] + [1], "<u4").tobytes())
-    assert all(r["ids"] == ids[r["doc_id"]] + [1] for r in store.read_documents(s).collect())
+    assert all(r["ids"] == ids[r["doc_id"]] + [1] for r in store.read_documents(spark, s).collect())
     got = packing.pack(docs, length=64).collect()
     assert sum(r["length"] for r in got) == sum(len(ids[k]) + 1 for k in [*ids, 0])
     for r in got:

@@ -2,41 +2,48 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.llm import decontaminate, exact, language, near, packing
-from rivulet.llm.common import release, shared_dir
+from rivulet.llm.common import Tables, folder
+
+#: What the last stage called has written besides its result. A stage is called once the result before it is stored.
+_own = Tables()
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without text or letters go."""
-    return language.keep_identified(docs)
+    _own.release(spark)
+    with _own:
+        return language.keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of identical texts, that with the largest doc_id."""
-    release(spark)
-    return exact.keep_exact(docs)
+    _own.release(spark)
+    with _own:
+        return exact.keep_exact(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates, the document with the least doc_id."""
-    release(spark)
-    return near.keep_near(docs)
+    _own.release(spark)
+    with _own:
+        return near.keep_near(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    release(spark)
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    _own.release(spark)
+    with _own:
+        return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of training sequences."""
-    release(spark)
-    return packing.pack(docs)
+    _own.release(spark)
+    with _own:
+        return packing.pack(docs)
 
 
 STAGES = [
@@ -52,12 +59,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+    """All stages over documents: the pieces that packing returns, read from the folder that holds them.
+
+    Null and empty texts go with the first stage; repeated rows go with the second but for rows that share doc_id and
+    text, which stay together. An empty table gives an empty result. Columns of documents beside doc_id, text and lang
+    are carried along. What a stage has stored is deleted once the next one is.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        result, now = stage(spark, docs, sf_dir), Tables()
+        with now:
+            path = folder(spark, f"pipeline-{name}")
+        result.write.parquet(path)
         docs = spark.read.parquet(path)
-    release(spark)
+        if last:
+            last.release(spark)
+        last = now
+    _own.release(spark)
     return docs

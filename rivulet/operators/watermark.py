@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rivulet.errors import WatermarkExtractionError
 from rivulet.functions.canonical import watermark_batch_id
@@ -36,6 +37,21 @@ def bounded_window(df: DataFrame, stamp: str, key: str, low: tuple, high: tuple,
     return out.orderBy(stamp, key) if ordered else out
 
 
+def read_landed(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows of a landed batch; fails if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        raise WatermarkExtractionError(f"no landed batch at {path}")
+    return spark.read.schema(schema).json(path)
+
+
+class Tables(dict):
+    """DataFrames by name with their keys, by default "id": what an Extractor reads from."""
+
+    def __init__(self, tables: dict[str, DataFrame], keys: dict[str, str] | None = None):
+        super().__init__({t: (df, (keys or {}).get(t, "id")) for t, df in tables.items()})
+
+
 @dataclass
 class Extractor:
     """Extracts what lies beyond a table's cursor, lands it as JSON lines and moves the cursor, or repeats a failed run's
@@ -45,16 +61,17 @@ class Extractor:
     landing: str
     tables: dict[str, tuple[DataFrame, str]]
     stamp: str = "updated_at"
+    ordered: bool = False
 
     def run(
         self, table: str, post_capture: Callable[[], None] | None = None, fail_before_landing: bool = False, fail_before_commit: bool = False
     ) -> dict:
         run_id = str(uuid.uuid4())
-        self.store.start_run(run_id, table)
+        self.store.begin(run_id, table)
         try:
             return self._run(run_id, table, post_capture, fail_before_landing, fail_before_commit)
         except BaseException as e:
-            self.store.finish_run(run_id, "FAILED", error=str(e))
+            self.store.end(run_id, "FAILED", problem=str(e))
             raise
 
     def run_all(self) -> dict[str, dict]:
@@ -64,12 +81,12 @@ class Extractor:
         if table not in self.tables:
             raise WatermarkExtractionError(f"unknown table {table}")
         df, key = self.tables[table]
-        state = self.store.state(table, self.stamp, key)
-        low = (state["last_watermark_timestamp"], state["last_watermark_key"])
+        state = self.store.cursor(table, self.stamp, key)
+        low = (state["stamp"], state["key"])
         types = dict(df.dtypes)
         if old := self.store.recoverable(table):
-            high, batch = (old["high_watermark_timestamp"], old["high_watermark_key"]), old["batch_id"]
-            self.store.supersede(old["run_id"], run_id)
+            high, batch = (old["to_stamp"], old["to_key"]), old["batch"]
+            self.store.supersede(old["id"], run_id)
         else:
             top = high_watermark(df, self.stamp, key).select(*[F.col(c).cast("string") for c in (self.stamp, key)]).first()
             high = (top[0], top[1])
@@ -77,24 +94,26 @@ class Extractor:
         out = {"run_id": run_id, "table": table, "batch_id": batch, "low": low, "high": high, "recovered": bool(old)}
         ahead = high[0] is not None and (low[0] is None or self._beyond(df, types, key, low, high))
         if not ahead:
-            self.store.finish_run(run_id, "NO_DATA")
+            self.store.end(run_id, "NO_DATA")
             return out | {"status": "NO_DATA", "rows": 0}
         self.store.set_window(run_id, state["version"], batch, low, high)
         if post_capture:
             post_capture()
         bound = lambda w: (None, None) if w[0] is None else (F.lit(w[0]).cast(types[self.stamp]), F.lit(w[1]).cast(types[key]))
-        rows = bounded_window(df, self.stamp, key, bound(low), bound(high))
+        rows = bounded_window(df, self.stamp, key, bound(low), bound(high), self.ordered)
         if fail_before_landing:
             raise WatermarkExtractionError("stopped before landing")
         path = f"{self.landing}/table={table}/batch_id={batch}"
         rows.write.mode("overwrite").json(path)
-        n = df.sparkSession.read.schema(df.schema).json(path).count()
+        n, landed = rows.count(), read_landed(df.sparkSession, path, df.schema).count()
+        if n != landed:
+            raise WatermarkExtractionError(f"{landed} of {n} rows have landed in {path}")
         if not n:
-            self.store.finish_run(run_id, "NO_DATA")
+            self.store.end(run_id, "NO_DATA")
             return out | {"status": "NO_DATA", "rows": 0}
         if fail_before_commit:
             raise WatermarkExtractionError("stopped before commit")
-        self.store.commit_run(run_id, table, state["version"], high, n, path)
+        self.store.commit(run_id, table, state["version"], high, n, path)
         return out | {"status": "SUCCESS", "rows": n, "path": path}
 
     def _beyond(self, df: DataFrame, types: dict[str, str], key: str, low: tuple, high: tuple) -> bool:

@@ -62,7 +62,7 @@ class Archive:
         new = insert_absent(old, rows).persist()
         try:
             if n := new.count():
-                to.replace(old.unionByName(new), touched, "ARCHIVE", base=base)
+                to.append(new, "ARCHIVE", base)
             return n
         finally:
             new.unpersist()
@@ -85,16 +85,16 @@ class Consumer:
         if name not in self.tables or not self.tables[name].exists():
             raise CDFSourceNotFoundError(name)
         t = self.tables[name]
-        if self.store.consumer(name, missing_ok=True):
+        if self.store.reader(name, missing_ok=True):
             return self.store.register(name, t.path, 0, if_exists)
         start = t.version() if t.feed_enabled else t.enable_feed()
         return self.store.register(name, t.path, start, if_exists)
 
     def consume(self, name: str, up_to: int | None = None, before_checkpoint: Callable[[], None] | None = None) -> dict:
-        state, t = self.store.consumer(name), self.tables[name]
+        state, t = self.store.reader(name), self.tables[name]
         if not t.feed_enabled:
             raise CDFNotEnabledError(name)
-        start, end = state["last_processed_version"] + 1, min(t.version(), t.version() if up_to is None else up_to)
+        start, end = state["done_version"] + 1, min(t.version(), t.version() if up_to is None else up_to)
         if end < start:
             return {"source": name, "no_op": True, "start": start, "end": end, "archived": 0}
         changes = t.changes(start, end)
@@ -105,8 +105,8 @@ class Consumer:
         return {"source": name, "no_op": False, "start": start, "end": end, "archived": n}
 
     def consume_all(self) -> list[dict]:
-        return [self.consume(s["source_table"]) for s in self.store.consumers()]
+        return [self.consume(s["feed"]) for s in self.store.readers()]
 
     def replay(self, name: str, start: int, end: int | None = None) -> DataFrame:
-        self.store.consumer(name)
+        self.store.reader(name)
         return self.tables[name].changes(start, end)

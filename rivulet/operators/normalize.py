@@ -49,6 +49,7 @@ class Normalized:
     accepted: DataFrame
     quarantined: DataFrame
     events: DataFrame
+    kept: tuple[DataFrame, ...] = ()
 
     def metrics(self) -> dict:
         """Counts in one pass; raw = accepted + duplicates + quarantined."""
@@ -60,6 +61,11 @@ class Normalized:
         out = {"raw": row["raw"], "accepted": row["ACCEPTED"], "duplicates": row["DUPLICATE"], "quarantined": row["QUARANTINED"], "malformed": row["malformed"], "conflicts": row["conflicts"]}
         return out | {"status": "SUCCESS_WITH_QUARANTINE" if row["QUARANTINED"] else "SUCCESS"}
 
+    def release(self) -> None:
+        """Frees what normalize() keeps for the branches."""
+        for df in self.kept:
+            df.unpersist()
+
     def sequences(self) -> DataFrame:
         return self.accepted.groupBy("table_name").agg(
             F.min("sequence_number").alias("min_sequence"), F.max("sequence_number").alias("max_sequence"), F.count(F.lit(1)).alias("events")
@@ -105,7 +111,7 @@ def normalize(raw: DataFrame, specs: dict[str, TableSpec] = DOMAIN) -> Normalize
     quarantined = every.where("disposition = 'QUARANTINED'").select(
         "quarantine_code", "quarantine_reason", "raw_record", "event_id", "table_name", "source_file", "batch_id"
     )
-    return Normalized(accepted, quarantined, every)
+    return Normalized(accepted, quarantined, every, (v, own))
 
 
 #: The order in which accepted events apply, and that of quarantined ones.
@@ -127,4 +133,5 @@ def run(spark: SparkSession, paths: list[str], out: str, specs: dict[str, TableS
             q.write.mode("overwrite").json(f"{out}/quarantine/processing_id={processing}")
     finally:
         n.events.unpersist()
+        n.release()
     return metrics | {"processing_id": processing}

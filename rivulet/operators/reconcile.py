@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,5 +30,17 @@ def expected_state(snapshot: DataFrame, events: DataFrame, key: str, seq: str, o
     return top.where(F.col(f"r.{op}") != "DELETE").select(*[F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in cols])
 
 
+def row_counts(expected: dict[str, DataFrame], actual: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, expected, actual, matches): the rows of each table on both sides, in one plan."""
+    one = lambda kind, tables: [df.select(F.lit(t).alias("table_name"), F.lit(kind).alias("side")) for t, df in tables.items()]
+    every = reduce(DataFrame.unionByName, [*one("expected", expected), *one("actual", actual)])
+    count = lambda side: F.count_if(F.col("side") == side).alias(side)
+    found = every.groupBy("table_name").agg(count("expected"), count("actual"))
+    names = sorted({*expected, *actual})
+    all_ = every.sparkSession.createDataFrame([(t,) for t in names], "table_name string")
+    out = all_.join(found, "table_name", "left").fillna(0, ["expected", "actual"])
+    return out.withColumn("matches", F.col("expected") == F.col("actual"))
+
+
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     return child.where(F.col(fk).isNotNull()).join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")

@@ -56,10 +56,22 @@ def scd2(events: DataFrame, keys: list[str], seq: str, columns: list[str], track
 
 
 def as_of(history: DataFrame, facts: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Each fact with the version open at its position; facts without one stay, with nulls."""
-    h = history.select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(c).alias(f"h_{c}" if c in facts.columns else c) for c in history.columns if c not in keys])
-    cond = F.lit(True)
+    """Each fact with the version open at its position; facts without one stay, with nulls.
+
+    Versions and facts of a key are sorted together and each fact takes the last version before it: one sort, and no pair
+    of a fact with every version of its key.
+    """
+    own = [c for c in history.columns if c not in keys]
+    version, fact = F.struct(*own), F.struct(*[c for c in facts.columns if c not in keys])
+    kinds = {"_v": version, "_f": fact}
+    none = lambda df, c: F.lit(None).cast(df.select(kinds[c].alias(c)).schema[c].dataType).alias(c)
+    begins = history.select(*keys, F.col(START_AT).alias("_at"), version.alias("_v"), none(facts, "_f"))
+    both = begins.unionByName(facts.select(*keys, F.col(at).alias("_at"), none(history, "_v"), fact.alias("_f")))
+    w = Window.partitionBy(*keys).orderBy("_at", F.col("_f").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_f IS NOT NULL")
+    usable = F.col(f"_v.{END_AT}").isNull() | (F.col("_at") < F.col(f"_v.{END_AT}"))
     for k in keys:
-        cond = cond & (F.col(k) == F.col(f"_h_{k}"))
-    cond = cond & (F.col(START_AT) <= F.col(at)) & (F.col(END_AT).isNull() | (F.col(at) < F.col(END_AT)))
-    return facts.join(h, cond, "left").drop(*[f"_h_{k}" for k in keys])
+        usable = usable & F.col(k).isNotNull()
+    found = found.withColumn("_v", F.when(usable, F.col("_v")))
+    taken = {c: f"h_{c}" if c in facts.columns else c for c in own}
+    return found.select(*[F.col(c) if c in keys else F.col(f"_f.{c}").alias(c) for c in facts.columns], *[F.col(f"_v.{c}").alias(n) for c, n in taken.items()])

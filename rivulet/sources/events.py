@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,12 +70,33 @@ def read_events_strict(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def processing_id(spark: SparkSession, *paths: str) -> str:
-    """Content address of a set of files."""
+    """Content address of a set of files; of plain names, none of which is a path, that of the names."""
+    if not any(_exists(spark, p) for p in paths):
+        return "proc_" + hashlib.sha256("\n".join(sorted({str(p) for p in paths})).encode()).hexdigest()[:16]
     files = spark.read.format("binaryFile").load(list(paths))
     own = files.select(logical_file_id(F.col("path")).alias("logical_id"), F.sha2("content", 256).alias("content_sha256"))
     return own.agg(manifest_digest().alias("id")).first()["id"]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    if not path:
+        return False
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+QUARANTINED = "quarantine_code string, quarantine_reason string, raw_record string, event_id string, table_name string, source_file string, batch_id string"
+
+
+def read_normalized(spark: SparkSession, path: str, schema: str, processing: str | None = None) -> DataFrame:
+    """The rows of one processing_id= folder, or of all, as write_normalized() left them; none if it isn't there."""
+    own = path if processing is None else f"{path}/processing_id={processing}"
+    if not _exists(spark, own):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(own if processing else f"{path}/processing_id=*")
+
+
 def write_landing(events: DataFrame, path: str) -> None:
     """JSON lines under batch_id= and table_name= folders; a batch written again replaces itself."""
     events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "table_name").json(path)

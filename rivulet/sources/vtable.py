@@ -18,7 +18,8 @@ CHANGE_COLUMNS = ("_change_type", "_commit_version", "_commit_timestamp")
 
 @dataclass
 class VersionedTable:
-    """A table at path, hashed by key into buckets; a commit rewrites the buckets it touches.
+    """A table at path, hashed by key into buckets; a replacing commit rewrites the buckets it touches, an
+    appending one adds files to them.
 
     Writers put data first and then create the log entry of the next version, which only one of them can: the others get
     CommitConflictError and leave files that nothing refers to. Paths may be of any file system that Hadoop knows.
@@ -41,7 +42,7 @@ class VersionedTable:
         fs, p = self._fs(f"{self.path}/_log")
         if not fs.exists(p):
             return []
-        return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
+        return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json") and s.getPath().getName()[0] != ".")
 
     def exists(self) -> bool:
         return bool(self.versions())
@@ -63,15 +64,27 @@ class VersionedTable:
             stream.close()
 
     def _commit(self, entry: dict) -> int:
-        fs, p = self._fs(self._entry(entry["version"]))
-        try:
-            stream = fs.create(p, False)
-        except Exception as e:
-            raise CommitConflictError(f"version {entry['version']} of {self.path} exists") from e
+        """The entry is written beside the log and then takes its name, which fails if another has it: a crash between
+        leaves no entry, and no reader sees half of one."""
+        jvm, to = self.spark._jvm, self._entry(entry["version"])
+        fs, part = self._fs(f"{self.path}/_log/.{uuid.uuid4().hex}")
+        stream = fs.create(part, False)
         try:
             stream.write(bytearray(json.dumps(entry, sort_keys=True).encode()))
         finally:
             stream.close()
+        try:
+            if fs.getUri().getScheme() == "file":
+                # a local rename would replace the entry; a link doesn't
+                local = lambda p: jvm.java.io.File(jvm.org.apache.hadoop.fs.Path.getPathWithoutSchemeAndAuthority(fs.makeQualified(p)).toString()).toPath()
+                jvm.java.nio.file.Files.createLink(local(self._fs(to)[1]), local(part))
+            else:
+                kinds = self.spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(part, self._fs(to)[1], kinds)
+        except Exception as e:
+            raise CommitConflictError(f"version {entry['version']} of {self.path} exists") from e
+        finally:
+            fs.delete(part, False)
         return entry["version"]
 
     # ---- reads ----
@@ -82,7 +95,8 @@ class VersionedTable:
 
     def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         entry = self.log(version)
-        own = [d for b, d in entry["buckets"].items() if buckets is None or int(b) in set(buckets)]
+        wanted = None if buckets is None else set(buckets)
+        own = [d for b, dirs in entry["buckets"].items() if wanted is None or int(b) in wanted for d in dirs]
         schema = StructType.fromJson(entry["schema"])
         if not own:
             return self.spark.createDataFrame([], schema)
@@ -104,12 +118,14 @@ class VersionedTable:
         entries = [self.log(v) for v in self.versions() if start <= v <= end]
         if any(e["properties"].get("change_feed") != "true" for e in entries):
             raise CDFNotEnabledError(f"the change feed of {self.path} was off in versions {start} to {end}")
-        out = self.spark.createDataFrame([], self._change_schema(entries[0] if entries else self.log()))
+        kinds: dict[str, list[dict]] = {}
         for e in entries:
             if e["changes"]:
-                own = self.spark.read.schema(StructType.fromJson(e["schema"]).add("_change_type", "string")).parquet(e["changes"])
-                stamp = F.lit(e["timestamp"]).cast("timestamp")
-                out = out.unionByName(own.withColumn("_commit_version", F.lit(e["version"]).cast("long")).withColumn("_commit_timestamp", stamp))
+                kinds.setdefault(json.dumps(e["schema"]), []).append(e)
+        # one scan for all commits of one schema
+        out = self.spark.createDataFrame([], self._change_schema(entries[0] if entries else self.log()))
+        for own in kinds.values():
+            out = out.unionByName(self.spark.read.schema(self._change_schema(own[0])).parquet(*[e["changes"] for e in own]), allowMissingColumns=True)
         return out
 
     def _change_schema(self, entry: dict) -> StructType:
@@ -120,11 +136,13 @@ class VersionedTable:
     def bucket(self, n: int):
         return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(n)).cast("int")
 
-    def _write(self, df: DataFrame, n: int) -> dict[str, str]:
+    def _write(self, df: DataFrame, n: int) -> dict[str, list[str]]:
+        """Files by bucket. Rows are dealt by bucket, but a bucket's size, not their number, sets the tasks that write it."""
         where = f"{self.path}/data/{uuid.uuid4().hex}"
-        df.withColumn("_bucket", self.bucket(n)).repartition(min(n, 200), "_bucket").write.partitionBy("_bucket").parquet(where)
+        df.withColumn("_bucket", self.bucket(n)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(where)
         fs, p = self._fs(where)
-        return {s.getPath().getName().split("=")[1]: f"{where}/{s.getPath().getName()}" for s in fs.listStatus(p) if "=" in s.getPath().getName()}
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return {x.split("=")[1]: [f"{where}/{x}"] for x in names if "=" in x}
 
     def create(self, df: DataFrame, buckets: int = 8, overwrite: bool = False, properties: dict[str, str] | None = None) -> int:
         if self.exists() and not overwrite:
@@ -133,8 +151,8 @@ class VersionedTable:
         props = {"buckets": str(buckets), **(properties or {})}
         return self._commit(self._new(version, "CREATE", props, df.schema, self._write(df, buckets), None, {}))
 
-    def _new(self, version, operation, props, schema, buckets, changes, metrics) -> dict:
-        stamp = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+    def _new(self, version, operation, props, schema, buckets, changes, metrics, stamp=None) -> dict:
+        stamp = stamp or time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
         return {"version": version, "timestamp": stamp, "operation": operation, "properties": props, "schema": json.loads(schema.json()), "buckets": buckets, "changes": changes, "metrics": metrics}
 
     def set_properties(self, properties: dict[str, str]) -> int:
@@ -155,14 +173,26 @@ class VersionedTable:
         old = self.log(base)
         n = int(old["properties"]["buckets"])
         now = {b: d for b, d in old["buckets"].items() if int(b) not in set(buckets)} | self._write(df, n)
-        where = None
+        return self._changed(old, df.schema, operation, now, changes, metrics)
+
+    def _changed(self, old: dict, schema: StructType, operation: str, buckets: dict, changes: DataFrame | None, metrics: dict | None) -> int:
+        version, stamp, where = old["version"] + 1, time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), None
         if changes is not None and old["properties"].get("change_feed") == "true":
             where = f"{self.path}/changes/{uuid.uuid4().hex}"
-            changes.write.parquet(where)
-        return self._commit(old | self._new(old["version"] + 1, operation, old["properties"], df.schema, now, where, metrics or {}))
-
-    def append(self, df: DataFrame, operation: str = "APPEND") -> int:
-        """Adds rows, in the buckets of their keys."""
-        touched = self.touched(df)
-        base = self.version()
-        return self.replace(self.read(base, touched).unionByName(df), touched, operation, df.withColumn("_change_type", F.lit("insert")), base=base)
+            told = changes.withColumn("_commit_version", F.lit(version).cast("long")).withColumn("_commit_timestamp", F.lit(stamp).cast("timestamp"))
+            told.write.parquet(where)
+        return self._commit(old | self._new(version, operation, old["properties"], schema, buckets, where, metrics or {}, stamp))
+
+    def append(self, df: DataFrame, operation: str = "APPEND", base: int | None = None) -> int:
+        """Adds rows as files of their own, in the buckets of their keys; nothing is read or written again. With base,
+        another commit since that version is a conflict."""
+        old = self.log(base)
+        new = self._write(df, int(old["properties"]["buckets"]))
+        now = {b: old["buckets"].get(b, []) + new.get(b, []) for b in sorted({*old["buckets"], *new})}
+        return self._changed(old, StructType.fromJson(old["schema"]), operation, now, df.withColumn("_change_type", F.lit("insert")), None)
+
+    def compact(self) -> int | None:
+        """Writes buckets of several folders as one each; the content stays as it is."""
+        old = self.log()
+        many = [int(b) for b, dirs in old["buckets"].items() if len(dirs) > 1]
+        return self.replace(self.read(old["version"], many), many, "COMPACT", base=old["version"]) if many else None

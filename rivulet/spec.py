@@ -53,7 +53,8 @@ DOMAIN = {
 
 @dataclass(frozen=True)
 class FlowSpec:
-    """A declarative change flow: keys, order, deletes, columns left out, history columns, null handling."""
+    """A declarative change flow: keys, order, deletes, columns left out, history columns, null handling. A flow that runs
+    once fills its target before the others."""
 
     target: str
     keys: tuple[str, ...]
@@ -66,16 +67,8 @@ class FlowSpec:
     once: bool = False
     tombstone_retention_seconds: int = 604_800
     properties: dict[str, str] = field(default_factory=dict)
-
-
-#: The flows of the domain: current state for each table, history for subscriptions.
-FLOWS = (
-    *(FlowSpec(f"{t}_scd1", (s.key,)) for t, s in DOMAIN.items()),
-    FlowSpec(
-        "subscriptions_scd2", ("subscription_id",), scd_type=2,
-        track_history=("account_id", "plan_name", "billing_cycle", "monthly_amount", "status", "start_date", "end_date"),
-    ),
-)
+    name: str = ""
+    source: str = ""
 
 
 def typed(value: Column, kind: str) -> Column:
@@ -88,20 +81,22 @@ def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def project_events(events: DataFrame, spec: TableSpec, key_fallback: bool = True) -> DataFrame:
-    """Typed columns from JSON images: the key from payload, before image or business key; the others from the payload,
-    else the before image and key if key_fallback, else null. Adds the change columns of the event."""
+    """Typed columns from JSON images, each parsed once: the key from payload, before image or business key; the others
+    from the payload, else the before image and key if key_fallback, else null. Adds the change columns of the event."""
+    image = "struct<" + ", ".join(f"`{c}`: string" for c in spec.columns) + ">"
+    own = events.where(F.col("table_name") == spec.name).withColumns(
+        {"_after": F.from_json("payload_json", image), "_before": F.from_json("before_payload_json", image)}
+    )
 
     def at(name: str, kind: str) -> Column:
-        after, before = F.get_json_object("payload_json", f"$.{name}"), F.get_json_object("before_payload_json", f"$.{name}")
-        own = F.element_at("business_key", name)
+        after, before, key = F.col(f"_after.{name}"), F.col(f"_before.{name}"), F.element_at("business_key", name)
         if name == spec.key:
-            value = F.coalesce(after, before, own)
+            value = F.coalesce(after, before, key)
         elif key_fallback:
-            value = F.when(F.col("payload_json").isNotNull(), after).otherwise(before)
-            value = F.coalesce(value, own)
+            value = F.coalesce(F.when(F.col("payload_json").isNotNull(), after).otherwise(before), key)
         else:
             value = after
         return typed(value, kind).alias(name)
 
     keep = ["operation", "sequence_number", "event_id", "event_fingerprint", "source_commit_timestamp"]
-    return events.where(F.col("table_name") == spec.name).select(*[at(c, t) for c, t in spec.columns.items()], *keep)
+    return own.select(*[at(c, t) for c, t in spec.columns.items()], *keep)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.operators import scd
@@ -16,9 +16,10 @@ from rivulet.spec import FlowSpec
 class AutoCdc:
     """Keeps the target of a flow up to date. columns are those stored besides the keys.
 
-    SCD 1 targets hold tombstones (_deleted) and the sequence of each key. SCD 2 targets are rebuilt, for the keys of a
-    batch, from their kept events: a late event takes its place in the history. A batch that is repeated after a crash
-    has no second effect, as equal sequences lose to what is stored.
+    SCD 1 targets hold tombstones (_deleted, with the time they came) and the sequence of each key; purge() drops those
+    older than the flow's retention. SCD 2 targets hold the events of each key, so that a late one takes its place in the
+    history that result() makes of them. A batch that is repeated after a crash has no second effect, as equal sequences
+    lose to what is stored. Several flows may have one target, first the one that runs once.
     """
 
     spark: SparkSession
@@ -32,40 +33,66 @@ class AutoCdc:
         return VersionedTable(self.spark, f"{self.root}/{self.flow.target}", self.flow.keys[0])
 
     def _stored(self, like: DataFrame) -> DataFrame:
-        return like.select(*self.flow.keys, *self.columns, F.col(self.flow.sequence_by), F.expr(self.flow.delete_when).alias("_deleted"))
+        deleted = F.coalesce(F.expr(self.flow.delete_when), F.lit(False))
+        at = [F.when(deleted, F.current_timestamp()).alias("_deleted_at")] if self.flow.scd_type == 1 else []
+        return like.select(*self.flow.keys, *self.columns, *at, F.col(self.flow.sequence_by), deleted.alias("_deleted"))
+
+    def create(self, like: DataFrame) -> None:
+        """Registers the target with the flow's properties, empty, if it isn't there."""
+        f = self.flow
+        if not self.table.exists():
+            props = {"tombstone_retention_seconds": str(f.tombstone_retention_seconds), **f.properties}
+            self.table.create(self._stored(like.limit(0)), self.buckets, properties=props)
 
     def apply(self, batch: DataFrame, _id: int | None = None) -> None:
         f, t = self.flow, self.table
         own = self._stored(batch.where(" AND ".join(f"{k} IS NOT NULL" for k in (*f.keys, f.sequence_by))))
         if not t.exists():
-            props = {"tombstone_retention_seconds": str(f.tombstone_retention_seconds), **f.properties}
-            t.create(own.limit(0), self.buckets, properties=props)
-        if f.once and t.properties().get("hydrated") == "true":
-            return
+            self.create(batch.sparkSession.createDataFrame([], batch.schema))
         base, touched = t.version(), t.touched(own)
-        if touched:
-            old = t.read(base, touched)
-            if f.scd_type == 1:
-                new = scd.scd1_merge(old, own, list(f.keys), f.sequence_by, list(self.columns), F.col("_deleted"), f.ignore_null_updates)
-            else:
-                fresh = own.dropDuplicates([*f.keys, f.sequence_by]).join(old.select(*f.keys, f.sequence_by), [*f.keys, f.sequence_by], "left_anti")
-                new = old.unionByName(fresh.select(*old.columns))
+        if not touched:
+            return
+        old = t.read(base, touched)
+        if f.scd_type == 1:
+            new = scd.scd1_merge(old, own, list(f.keys), f.sequence_by, [*self.columns, "_deleted_at"], F.col("_deleted"), f.ignore_null_updates)
+            new = new.withColumn("_deleted_at", F.when(F.col("_deleted"), F.col("_deleted_at")))
             t.replace(new.select(*old.columns), touched, "AUTO CDC", base=base)
-        if f.once:
-            t.set_properties({"hydrated": "true"})
+        else:
+            fresh = own.dropDuplicates([*f.keys, f.sequence_by]).join(old.select(*f.keys, f.sequence_by), [*f.keys, f.sequence_by], "left_anti")
+            t.append(fresh.select(*old.columns), "AUTO CDC", base)
+
+    def purge(self, now: Column | None = None) -> int:
+        """Drops the tombstones that are older than the target's retention at now; returns how many. A late event of such
+        a key counts as new from then on."""
+        t = self.table
+        if self.flow.scd_type != 1:
+            return 0
+        seconds, base = int(t.properties()["tombstone_retention_seconds"]), t.version()
+        before = (F.current_timestamp() if now is None else now) - F.make_dt_interval(secs=F.lit(seconds))
+        gone = t.read(base).where(F.col("_deleted") & (F.col("_deleted_at") < before))
+        if n := gone.count():
+            touched = t.touched(gone)
+            t.replace(scd.purge_tombstones(t.read(base, touched), "_deleted_at", before), touched, "PURGE", base=base)
+        return n
 
     def result(self) -> DataFrame:
         f, stored = self.flow, self.table.read()
         if f.scd_type == 1:
-            out = stored.where(~F.col("_deleted")).drop("_deleted")
+            out = stored.where(~F.col("_deleted")).drop("_deleted", "_deleted_at")
         else:
             out = scd.scd2(stored, list(f.keys), f.sequence_by, list(self.columns), list(f.track_history or self.columns), F.col("_deleted"))
         return out.drop(*[c for c in f.except_columns if c in out.columns])
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
-        """Processes what is there and stops."""
+        """Processes what is there and stops. A flow that runs once is marked when it has, and then does nothing."""
+        f = self.flow
+        if f.once and self.table.exists() and self.table.properties().get(f"done.{f.name}") == "true":
+            return
+        self.create(self.spark.createDataFrame([], stream.schema))
         q = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
+        if f.once:
+            self.table.set_properties({f"done.{f.name}": "true"})
 
 
 def snapshot_events(snapshot: DataFrame) -> DataFrame:

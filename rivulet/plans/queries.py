@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions import canonical
-from rivulet.operators import cdf, merge, normalize, reconcile, scd, validate, watermark
+from rivulet.operators import cdf, merge, mutation, normalize, reconcile, scd, validate, watermark
+from rivulet.sources import generator
+from rivulet.sources.events import read_events, read_normalized
 from rivulet.sources.vtable import VersionedTable
-from rivulet.spec import FlowSpec, TableSpec
-from rivulet.streaming.auto_cdc import AutoCdc
+from rivulet.spec import DOMAIN, FlowSpec, TableSpec, conform, project_events
+from rivulet.streaming.auto_cdc import AutoCdc, snapshot_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -292,9 +294,9 @@ def scd2_history(spark, d):
 
 
 @query("""SELECT l.event_id, l.user_id, h.event_type, h.start_at FROM log l LEFT JOIN history h ON h.user_id = l.user_id AND CAST(h.start_at AS BIGINT) <= l.event_id
-  AND (h.end_at IS NULL OR l.event_id < CAST(h.end_at AS BIGINT)) WHERE l.event_id % 3 = 0""", LOG, _HISTORY)
+  AND (h.end_at IS NULL OR l.event_id < CAST(h.end_at AS BIGINT))""", LOG, _HISTORY)
 def scd2_as_of(spark, d):
-    facts = log(spark, d).where("event_id % 3 = 0").select("event_id", "user_id")
+    facts = log(spark, d).select("event_id", "user_id")
     return scd.as_of(_history(spark, d), facts, ["user_id"], "event_id").select("event_id", "user_id", "event_type", F.col(scd.START_AT).cast("string").alias("start_at"))
 
 
@@ -450,7 +452,10 @@ def _feed(spark, d):
 def _scratch(spark: SparkSession) -> str:
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rivulet-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="rivulet-")  # of local mode alone
     return f"{root.rstrip('/')}/rivulet-{uuid.uuid4().hex}"
 
 
@@ -511,3 +516,133 @@ def stream_scd1(spark, d):
 def stream_scd2(spark, d):
     out = _streamed(spark, d, FlowSpec("users_scd2", ("user_id",), scd_type=2, track_history=("event_type",)))
     return out.withColumns({"start_at": F.col(scd.START_AT).cast("string"), "end_at": F.col(scd.END_AT).cast("string")}).drop(scd.START_AT, scd.END_AT)
+
+
+# ---- what becomes of each event ----
+
+_TOLD = """shifted AS (SELECT *, (event_id * 7919) % 1000003 AS arrival, event_id % 13 <> 0 AS fine, 'e' || CAST(event_id // 3 AS VARCHAR) AS id FROM log),
+ firsts AS (SELECT *, fine AND row_number() OVER (PARTITION BY id, fine ORDER BY arrival, event_id) = 1 AS counts FROM shifted),
+ told AS (SELECT *, CASE WHEN NOT fine THEN 'INVALID' WHEN NOT counts THEN 'DUPLICATE' WHEN event_id <= greatest(coalesce(max(CASE WHEN counts THEN event_id END)
+   OVER (PARTITION BY user_id ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) THEN 'STALE' ELSE 'APPLIED' END AS outcome FROM firsts)"""
+
+
+def _told(spark, d):
+    i = F.col("event_id")
+    e = log(spark, d).withColumns({"arrival": (i * 7919) % 1000003, "fine": i % 13 != 0, "id": F.concat(F.lit("e"), F.floor(i / 3).cast("string"))})
+    return mutation.outcomes(e, ["user_id"], "event_id", "id", ["arrival", "event_id"], F.col("fine"))
+
+
+@query("SELECT event_id, user_id, outcome FROM told", LOG, _TOLD)
+def mutation_outcomes(spark, d):
+    return _told(spark, d).select("event_id", "user_id", "outcome")
+
+
+@query("""SELECT op, count(*) FILTER (WHERE outcome = 'APPLIED') AS applied, count(*) FILTER (WHERE outcome = 'DUPLICATE') AS duplicate,
+  count(*) FILTER (WHERE outcome = 'STALE') AS stale, count(*) FILTER (WHERE outcome = 'INVALID') AS invalid FROM told GROUP BY 1""", LOG, _TOLD)
+def mutation_counters(spark, d):
+    return mutation.counters(_told(spark, d), ("op",))
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS event_type FROM told WHERE outcome = 'APPLIED' GROUP BY 1 HAVING arg_max(op, event_id) <> 'DELETE'""", LOG, _TOLD)
+def mutation_state(spark, d):
+    own = _told(spark, d).where("outcome = 'APPLIED'").select("user_id", "event_type", "event_id", "op")
+    return reconcile.expected_state(own.select("user_id", "event_type").limit(0), own, "user_id", "event_id", "op")
+
+
+@query("""SELECT 'orders' AS table_name, count(*) AS expected, count(*) FILTER (WHERE o_orderstatus <> 'P') AS actual, count(*) = count(*) FILTER (WHERE o_orderstatus <> 'P') AS matches FROM orders
+  UNION ALL SELECT 'customer', count(*), count(*), true FROM customer UNION ALL SELECT 'nation', 0, count(*), count(*) = 0 FROM nation""")
+def reconcile_counts(spark, d):
+    o, c, n = (read(spark, d, t) for t in ("orders", "customer", "nation"))
+    return reconcile.row_counts({"orders": o, "customer": c}, {"orders": o.where("o_orderstatus <> 'P'"), "customer": c, "nation": n})
+
+
+_EVENT = """ev AS (SELECT CAST(event_id AS VARCHAR) AS event_id, 'users' AS t, op, '{"user_id":"' || CAST(user_id AS VARCHAR) || '"}' AS k, CAST(event_id AS VARCHAR) AS s, props FROM log)"""
+
+
+@query("""SELECT event_id, sha256(concat_ws('|', event_id, t, op, k, s, '2026-01-01T00:00:00Z', '2026-01-01T00:00:00Z', CASE WHEN op = 'DELETE' THEN '' ELSE replace(props, ' ', '') END,
+  CASE WHEN op = 'INSERT' THEN '' ELSE replace(props, ' ', '') END, 'app')) AS event_fingerprint FROM ev""", LOG, _EVENT)
+def event_fingerprint(spark, d):
+    """The identity of events whose images are props."""
+    e, at = log(spark, d), F.lit("2026-01-01T00:00:00Z")
+    key = canonical.canonical_key(F.create_map(F.lit("user_id"), F.col("user_id").cast("string")))
+    own = e.select(
+        F.col("event_id").cast("string").alias("event_id"), F.lit("users").alias("table_name"), F.col("op").alias("operation"), key.alias("business_key_canonical"),
+        F.col("event_id").alias("sequence_number"), at.alias("event_timestamp"), at.alias("source_commit_timestamp"), F.lit("app").alias("source_system"),
+        F.when(F.col("op") != "DELETE", F.col("props")).alias("payload_json"), F.when(F.col("op") != "INSERT", F.col("props")).alias("before_payload_json"),
+    )
+    return own.select("event_id", canonical.event_fingerprint().alias("event_fingerprint"))
+
+
+# ---- hydration, stream and retention ----
+
+
+def _hydrated(spark, d, **kind):
+    """A snapshot of early events and a stream of the others into one target."""
+    root, e = _scratch(spark), log(spark, d)
+    columns = ("event_type", "value")
+    early = scd.scd1(e.where("event_id < 2000"), ["user_id"], "event_id", list(columns), deleted())
+    snapshot_events(early.select("user_id", *columns)).write.parquet(f"{root}/snapshot")
+    e.where("event_id >= 2000").repartition(4, "event_id").select("user_id", F.col("event_id").alias("sequence_number"), F.col("op").alias("operation"), *columns).write.parquet(f"{root}/in")
+    for name, where, once in (("hydration", "snapshot", True), ("hydration", "snapshot", True), ("stream", "in", False)):
+        source = spark.readStream.schema(spark.read.parquet(f"{root}/{where}").schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/{where}")
+        cdc = AutoCdc(spark, root, FlowSpec("users", ("user_id",), name=name, once=once, **kind), columns, buckets=4)
+        cdc.run(source, f"{root}/checkpoint-{name}")
+    return cdc
+
+
+_HYDRATED = """snap AS (SELECT user_id, event_type, value FROM (SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, arg_max(op, event_id) AS op
+   FROM log WHERE event_id < 2000 GROUP BY 1) WHERE op <> 'DELETE'),
+ fed AS (SELECT user_id, 0 AS event_id, 'SNAPSHOT' AS op, event_type, value FROM snap UNION ALL SELECT user_id, event_id, op, event_type, value FROM log WHERE event_id >= 2000)"""
+
+
+@query(f"SELECT user_id, event_type, value FROM ({LATEST.format('fed')}) WHERE op <> 'DELETE'", LOG, _HYDRATED, value=True)
+def stream_hydrated_scd1(spark, d):
+    return _hydrated(spark, d).result()
+
+
+@query("SELECT user_id, event_type, value, start_at, end_at FROM history", LOG, _HYDRATED, _HISTORY.replace("FROM log", "FROM fed"), value=True)
+def stream_hydrated_scd2(spark, d):
+    out = _hydrated(spark, d, scd_type=2, track_history=("event_type",)).result()
+    return out.withColumns({"start_at": F.col(scd.START_AT).cast("string"), "end_at": F.col(scd.END_AT).cast("string")}).drop(scd.START_AT, scd.END_AT)
+
+
+@query(f"SELECT user_id, op = 'DELETE' AS tombstone, 'before' AS stage FROM ({LATEST.format('fed')}) UNION ALL SELECT user_id, false, 'after' FROM ({LATEST.format('fed')}) WHERE op <> 'DELETE'", LOG, _HYDRATED)
+def tombstone_purge(spark, d):
+    """What a target holds before and after its tombstones' time is over."""
+    cdc = _hydrated(spark, d, tombstone_retention_seconds=3600)
+    base = cdc.table.version()
+    cdc.purge()  # none is old enough
+    cdc.purge(F.current_timestamp() + F.expr("INTERVAL 2 HOURS"))
+    both = cdc.table.read(base).withColumn("stage", F.lit("before")).unionByName(cdc.table.read().withColumn("stage", F.lit("after")))
+    return both.select("user_id", F.col("_deleted").alias("tombstone"), "stage")
+
+
+# ---- the billing domain ----
+
+
+@query("SELECT * FROM (VALUES ('accounts', 41, 41, true), ('subscriptions', 61, 61, true), ('invoices', 121, 121, true), ('payments', 90, 90, true)) AS t(table_name, expected, actual, matches)")
+def scenario_merged(spark, d):
+    """The change scenario through normalisation and merge, against its events applied one by one."""
+    root = _scratch(spark)
+    shot = generator.Snapshot(spark)
+    rows = shot.dicts()
+    generator.write_scenario(spark, generator.scenario(rows), f"{root}/landing")
+    m = normalize.run(spark, [f"{root}/landing/batch_id=*/table=*"], f"{root}/normalized")
+    p = merge.MergePipeline(spark, f"{root}/lake", buckets=2)
+    p.initialize(shot.tables())
+    events = read_normalized(spark, f"{root}/normalized/accepted", merge.ACCEPTED, m["processing_id"])
+    p.run(events, m["processing_id"])
+    expected = {}
+    for t, spec in DOMAIN.items():
+        own = project_events(events, spec)
+        expected[t] = mutation.Mutations(conform(shot.tables()[t], spec), own, spec.key, ("event_id",)).records()
+    out = reconcile.row_counts(expected, {t: p.read(t, metadata=False) for t in DOMAIN})
+    return out.withColumns({c: F.col(c).cast("int") for c in ("expected", "actual")})
+
+
+@query("SELECT * FROM (VALUES ('ACCEPTED', 12), ('DUPLICATE', 1), ('QUARANTINED', 7)) AS t(disposition, n)")
+def scenario_normalized(spark, d):
+    root = _scratch(spark)
+    generator.write_scenario(spark, generator.scenario(generator.Snapshot(spark).dicts()), root)
+    n = normalize.normalize(read_events(spark, f"{root}/batch_id=*/table=*"))
+    return n.events.groupBy("disposition").agg(F.count(F.lit(1)).cast("int").alias("n"))

@@ -1,6 +1,7 @@
 """The change-data engine on small event files: validation, merge, recovery, feeds, cursors."""
 
 import json
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -10,9 +11,12 @@ from rivulet.errors import (
     AppliedEventConflictError, AppliedSequenceConflictError, CDFInvalidRangeError, CommitConflictError, MergeAmbiguityError, MergeError, PendingRecoveryError,
     TargetAlreadyInitializedError, WatermarkConcurrencyError, WatermarkExtractionError,
 )
-from rivulet.operators import cdf, merge, normalize, reconcile, validate, watermark
+from rivulet.operators import cdf, merge, mutation, normalize, reconcile, validate, watermark
+from rivulet.plans import flows
+from rivulet.sources import generator
 from rivulet.sources.control import ControlStore
-from rivulet.sources.events import processing_id, read_events, read_events_strict
+from rivulet.sources.events import QUARANTINED, processing_id, read_events, read_events_strict, read_normalized
+from rivulet.sources.vtable import VersionedTable
 from rivulet.spec import DOMAIN, conform
 
 STAMP = "2026-09-01T00:00:00Z"
@@ -138,7 +142,7 @@ def test_soft_delete_and_feed(spark, tmp_path):
     store = ControlStore(str(tmp_path / "control.db"))
     t = p.target("accounts")
     c = cdf.Consumer(store, cdf.Archive(spark, str(tmp_path / "archive")), {"accounts": t})
-    assert c.register("accounts")["last_processed_version"] == 0 and t.version() == 1
+    assert c.register("accounts")["done_version"] == 0 and t.version() == 1
     p.run(accepted(spark, land(tmp_path, "b1", event("e1", "DELETE", 2, 1), event("e2", "DELETE", 77, 1), event("e3", "INSERT", 9, 1))), "p1")
     assert p.read("accounts", deleted=False).count() == 3 and p.read("accounts").where("_is_deleted").first()["account_name"] == "n2"
     kinds = sorted(r["_change_type"] for r in t.changes(2).collect())
@@ -172,12 +176,12 @@ def test_extraction(spark, tmp_path):
     assert (r["status"], r["rows"], r["recovered"]) == ("SUCCESS", 5, True) and x.run("accounts")["status"] == "NO_DATA"
     more = df.unionByName(df.where("account_id = 'ACC-0005'").withColumn("account_id", F.lit("ACC-0006")))  # the same time, a larger key
     x.tables["accounts"] = (more, "account_id")
-    assert x.run("accounts")["rows"] == 1 and store.state("accounts")["version"] == 3
+    assert x.run("accounts")["rows"] == 1 and store.cursor("accounts")["version"] == 3
     with pytest.raises(WatermarkConcurrencyError):
         store.advance("accounts", 1, ("x", "y"))
     with pytest.raises(WatermarkExtractionError):
         x.run("nope")
-    assert {s["status"] for s in store.runs("accounts")} == {"FAILED", "SUCCESS", "NO_DATA"}
+    assert {s["state"] for s in store.attempts("accounts")} == {"FAILED", "SUCCESS", "NO_DATA"}
 
 
 def test_reconcile(spark):
@@ -186,3 +190,61 @@ def test_reconcile(spark):
     want = reconcile.expected_state(snap, events, "k", "seq", "op")
     assert {tuple(r) for r in want.collect()} == {(1, "z"), (3, None), (4, "n")}
     assert {(r[0], r[1]) for r in reconcile.reconcile(want, snap, "k").collect()} == {(1, "VALUE"), (2, "UNEXPECTED"), (4, "MISSING")}
+
+
+def test_domain_pipeline(spark, tmp_path):
+    """Snapshot and accepted events through all ten flows; the same files again change nothing."""
+    shot = generator.Snapshot(spark)
+    shot.write(str(tmp_path / "snapshot"))
+    generator.write_scenario(spark, generator.scenario(shot.dicts()), str(tmp_path / "landing"))
+    m = normalize.run(spark, [str(tmp_path / "landing/batch_id=*/table=*")], str(tmp_path / "normalized"))
+    assert (m["accepted"], m["duplicates"], m["quarantined"]) == (12, 1, 7)
+    own = {"snapshot": "snapshot", "events": "normalized/accepted", "target": "lake", "checkpoints": "checkpoints"}
+    p = flows.domain_pipeline(flows.Settings.from_env({f"RIVULET_{k.upper()}": str(tmp_path / v) for k, v in own.items()}))
+    assert (len(p.targets), len(p.views), len(p.flows), sum(f.once for f in p.flows.values())) == (5, 8, 10, 5)
+    assert flows.parse_flows("\n".join(map(flows.to_sql, p.flows.values()))) == [
+        replace(f, properties={}, tombstone_retention_seconds=604_800, ignore_null_updates=False) for f in p.flows.values()
+    ]
+    for _ in range(2):
+        assert set(p.run(spark).values()) == {0}
+        assert {t: p.read(spark, f"{t}_current").count() for t in DOMAIN} == {"accounts": 41, "subscriptions": 61, "invoices": 121, "payments": 90}
+    a = p.read(spark, "accounts_current").where("account_id = 'ACC-0002'").first()
+    assert a["status"] == "TRIAL" and a["latest_event_id"] == "evt_upd_acc_0002_102"
+    assert p.runner(spark, "accounts_continuous_cdc").table.properties()["tombstone_retention_seconds"] == "604800"
+    assert p.read(spark, "subscriptions_history").where("subscription_id = 'SUB-0001'").count() == 2
+    assert sum(p.run(spark, F.current_timestamp() + F.expr("INTERVAL 30 DAYS")).values()) == 1  # the deleted payment's
+    with pytest.raises(ValueError):
+        p.flow(p.flows["accounts_continuous_cdc"])
+
+
+def test_readers_and_ids(spark, tmp_path):
+    assert read_normalized(spark, str(tmp_path / "none"), QUARANTINED, "p").count() == 0
+    path = land(tmp_path, "b1", event("e1", "INSERT", 9, 1), "bad")
+    m = normalize.run(spark, [path], str(tmp_path / "out"))
+    assert read_normalized(spark, str(tmp_path / "out/quarantine"), QUARANTINED).first()["quarantine_code"] == "MALFORMED_JSON"
+    assert read_normalized(spark, str(tmp_path / "out/accepted"), merge.ACCEPTED, m["processing_id"]).count() == 1
+    assert processing_id(spark, "b", "a", "a") == processing_id(spark, "a", "b") != processing_id(spark, "a")
+    with pytest.raises(WatermarkExtractionError):
+        watermark.read_landed(spark, str(tmp_path / "nothing"), "a int")
+
+
+def test_commits_are_whole_and_appends_add_files(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), "k")
+    t.create(spark.range(10).withColumnRenamed("id", "k"), 2)
+    t.append(spark.range(10, 20).withColumnRenamed("id", "k"))
+    assert t.read().count() == 20 and max(len(x) for x in t.log()["buckets"].values()) == 2
+    t.compact()
+    assert t.read().count() == 20 and {len(x) for x in t.log()["buckets"].values()} == {1} and t.read(1).count() == 20
+    (tmp_path / "t/_log/.left-by-a-crash").write_text("")
+    assert t.versions() == [0, 1, 2]
+    with pytest.raises(CommitConflictError):
+        t.append(spark.range(1).withColumnRenamed("id", "k"), base=0)
+
+
+def test_mutations(spark):
+    snap = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    rows = [("e1", 1, "x", 5, "UPDATE", 1), ("e1", 1, "y", 9, "UPDATE", 2), ("e2", 1, "z", 4, "UPDATE", 3), ("e3", 7, None, 3, "DELETE", 4), ("e4", 7, "n", 2, "INSERT", 5), ("e5", 2, None, -1, "DELETE", 6)]
+    events = spark.createDataFrame(rows, "event_id string, k int, v string, sequence_number long, operation string, n int")
+    m = mutation.Mutations(snap, events, "k", ("n",), valid=F.col("sequence_number") > 0)
+    assert m.counters() == {"applied": 2, "duplicate": 1, "stale": 2, "invalid": 1}
+    assert m.record(1)["v"] == "x" and m.record(7) is None and m.row_count() == 2

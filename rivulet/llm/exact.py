@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import join_hot, table
 
 #: A chunk ends after a vowel and white space, once it has LEAST characters, and at MOST characters in any case.
 LEAST, MOST = 512, 4096
@@ -15,66 +17,54 @@ def chunk_pattern(least: int = LEAST, most: int = MOST) -> str:
     return rf"(?s).{{{least},{most - 1}}}?[aeiou.]\s|.{{1,{most}}}"
 
 
-def recipes(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST) -> DataFrame:
-    """Adds chunks, the texts that the content-defined rule cuts, and recipe, their hashes in order."""
-    cut = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(chunk_pattern(least, most)), F.lit(0))
-    return docs.withColumn("chunks", cut).withColumn("recipe", F.transform("chunks", lambda c: F.xxhash64(c)))
+def recipes(docs: DataFrame, least: int = LEAST, most: int = MOST, identify: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """A table of (doc_id, text_sha256, chunks): the identifier and the SHA-256 of each chunk that the content-defined
+    rule cuts, in order. Texts are read once and stay where they are read."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    cut = F.regexp_extract_all(text, F.lit(chunk_pattern(least, most)), F.lit(0))
+    chunk = F.transform(cut, lambda c: F.struct(identify(c).cast("string").alias("id"), F.unhex(F.sha2(c, 256)).alias("sha")))
+    return table(docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), chunk.alias("chunks")))
 
 
 def collisions(cut: DataFrame) -> DataFrame:
-    """Distinct chunks whose hash another chunk shares: (hash, chunk, variant), variant gapless from 0 in each hash.
-
-    Every distinct chunk is moved once, after its copies met in the task that read them.
-    """
-    each = cut.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("hash"), "chunk")
-    once = each.groupBy("hash", "chunk").agg(F.count(F.lit(1)).alias("copies")).select("hash", "chunk")
-    shared = once.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    return table(shared)
+    """Identifiers that chunks of different SHA-256 share. A chunk counts once in the task that read it."""
+    once = cut.select(F.explode("chunks").alias("c")).groupBy("c.id", "c.sha").agg(F.count(F.lit(1)).alias("copies"))
+    return table(once.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
 
 
-def verified(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST) -> DataFrame:
-    """docs with recipe: the ordered identifiers of its chunks. Two recipes are equal only if the texts are.
+def verified(cut: DataFrame) -> DataFrame:
+    """(doc_id, text_sha256, recipe) of recipes(): recipe has the verified identifiers of the text's chunks in order.
 
-    An identifier is the chunk's hash where all chunks with that hash are the same text, which is compared; else
-    the hash is followed by the chunk itself.
+    An identifier is verified if all chunks that have it have one SHA-256; any other is followed by the chunk's SHA-256.
+    So equal recipes are of equal chunks.
     """
-    cut = recipes(docs, text, least, most)
     shared = collisions(cut)
     if shared.isEmpty():
-        return cut.select(*docs.columns, F.transform("recipe", lambda h: h.cast("string")).alias("recipe"))
-    wide = F.transform("chunks", lambda c: F.struct(F.xxhash64(c).alias("hash"), c.alias("chunk")))
-    # a row of its own for the hashes in use only: the set of colliding hashes is joined, never collected
-    rows = cut.select(*docs.columns, F.monotonically_increasing_id().alias("_row"), wide.alias("_c"))
-    rows = table(rows)
+        return cut.select("doc_id", "text_sha256", F.transform("chunks", lambda c: c["id"]).alias("recipe"))
+    # the set of colliding identifiers is joined, never collected
+    rows = table(cut.withColumn("_row", F.monotonically_increasing_id()))
     hit = (
-        rows.select("_row", F.explode("_c").alias("c")).select("_row", "c.hash")
-        .join(shared, "hash", "left_semi").groupBy("_row").agg(F.collect_set("hash").alias("_bad"))
-    )
-    marked = rows.join(hit, "_row", "left")
-    spell = F.transform(
-        "_c",
-        lambda c: F.when(
-            F.array_contains(F.coalesce("_bad", F.array().cast("array<bigint>")), c["hash"]),
-            F.concat(c["hash"].cast("string"), F.lit(":"), c["chunk"]),
-        ).otherwise(c["hash"].cast("string")),
+        rows.select("_row", F.explode("chunks").alias("c")).select("_row", "c.id")
+        .join(shared, "id", "left_semi").groupBy("_row").agg(F.collect_set("id").alias("_bad"))
     )
-    return marked.select(*docs.columns, spell.alias("recipe"))
+    bad = F.coalesce("_bad", F.array().cast("array<string>"))
+    spell = F.transform("chunks", lambda c: F.when(F.array_contains(bad, c["id"]), F.concat_ws(":", c["id"], F.hex(c["sha"]))).otherwise(c["id"]))
+    return rows.join(hit, "_row", "left").select("doc_id", "text_sha256", spell.alias("recipe"))
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", identify: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """Groups documents with identical texts; of each group the row with the largest key stays.
 
     Returns key, keep_id, group_size, kept, text_sha256, one row per input row. A null text counts as empty, and all
     empty texts are one group. Of rows that share key and text, each is returned, and kept holds for all of them.
     A null key is kept only if its group has no other. An empty table gives an empty result. Other columns are
-    ignored, whatever their names. Texts of any length are cut and compared whole.
+    ignored, whatever their names. Texts of any length are cut and compared whole. A group of any size is dealt by key.
     """
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    ids = verified(slim).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "recipe")
+    ids = verified(recipes(slim, identify=identify)).select("doc_id", "text_sha256", F.sha2(F.array_join("recipe", ","), 256).alias("recipe"))
     groups = ids.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    several = groups.where("group_size > 1").withColumnRenamed("recipe", "_recipe")
-    # one row for each group on the right: a group's rows on the left can be split at run time
-    out = ids.join(several, F.col("recipe") == F.col("_recipe"), "left")
+    several = table(groups.where("group_size > 1"))
+    out = join_hot(ids, several, "recipe", "group_size", slim.count(), "doc_id")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         F.col("doc_id").alias(key),
@@ -88,8 +78,8 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def keep_exact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows whose text a row with a larger key has; all columns as they were.
 
-    Of rows that share key and text all stay.
+    Of rows that share key and text all stay. Only the keys and SHA-256 of the rows that go are joined.
     """
-    kept = exact_dedup(docs, key, text).where("kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"))
+    gone = exact_dedup(docs, key, text).where("NOT kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"))
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("_sha"))
-    return docs.join(kept.distinct(), same, "left_semi")
+    return docs.join(gone.distinct(), same, "left_anti")

@@ -23,11 +23,16 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id or role of elements beside the article.
+#: Words in class or role of elements beside the article, or their whole id.
 ASIDE_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav"
-    " navbar navigation newsletter notice pager pagination popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored"
-    " subscribe subscription toolbar widget".split()
+    "ads advert advertisement adverts breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer masthead menu modal nav navbar navigation"
+    " newsletter pager pagination popup promo promoted sidebar sponsored subscribe subscription toolbar".split()
+)
+#: Words that say so alone or with words for boxes, but are a text's own words in other company.
+WEAK_WORDS = frozenset("ad banner header notice related reply replies respond share sharing social sponsor widget".split())
+BOX_WORDS = frozenset(
+    "area articles banner bar block bottom box button buttons content container form group icons inner item items left links list media module news on page"
+    " panel post posts right section site slot stories text this title top unit us widget with wrap wrapper".split()
 )
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -44,11 +49,22 @@ LINKS, SHORT, LONG = 0.33, 70, 200
 #: Shares of stop words that make a block text, or nearly.
 HIGH, LOW = 0.30, 0.12
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: What follows "<": a comment, character data, another declaration, or a tag with its attributes. A quote opens a value
+#: only behind "="; each part is taken once, so that no page takes more than linear time.
+_COMMENT = re.compile(r"!--(?:.*?-->|.*\Z)", re.S)
+_CDATA = re.compile(r"!\[CDATA\[(.*?)(?:\]\]>|\Z)", re.S)
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>\x00]*)")
+_ATTRS = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+|[\"'])*+")
+_NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+_ENDS = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in HIDDEN}
+_HEAD = re.compile(r"</head(?=[\s/>])[^>]*>|<body\b", re.I)
+#: Marks that end sentences or part them, of any script; letters of scripts without white space between words.
+_MARKS = re.compile(r"[.!?;,:\u3002\uff01\uff1f\u3001\uff0c\u0964\u061f\u060c\u06d4\u1362\u104b\u17d4]")
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\ua000-\ua4cf\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+_FOREIGN = re.compile(r"[^\W\d_\u0000-\u024f\u1e00-\u1eff]")
 
 
 class Block:
@@ -60,27 +76,69 @@ class Block:
         self.label = ""
 
 
+def _says_beside(kind: str, value: str) -> bool:
+    low = value.lower()
+    if kind == "id":
+        return low in ASIDE_WORDS or low in WEAK_WORDS
+    for name in low.split():
+        parts = _PARTS.findall(name)
+        if not ASIDE_WORDS.isdisjoint(parts):
+            return True
+        if not WEAK_WORDS.isdisjoint(parts) and all(x in WEAK_WORDS or x in BOX_WORDS for x in parts):
+            return True
+    return False
+
+
 def _is_beside(name: str, attrs: str) -> int:
     """2 of an element beside the article, 1 if only a word of its class, id or role says so, else 0."""
     if name in BESIDE:
         return 2
     if attrs and name not in ("html", "body", "main", "article"):
         low = attrs.lower()
-        if "hidden" in low and re.search(r"\shidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", low):
+        if "hidden" in low and re.search(r"\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true", low) or "none" in low and re.search(r"display\s*:\s*none", low):
             return 2
-        for m in _NAMES.finditer(attrs):
-            if not ASIDE_WORDS.isdisjoint(x.lower() for x in _PARTS.findall(m[1] or m[2] or m[3] or "")):
-                return 1
+        if any(_says_beside(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attrs)):
+            return 1
     return 0
 
 
+class _Open:
+    """The open elements, the innermost last, and where those of a name and those that are blocks stand."""
+
+    def __init__(self) -> None:
+        self.all: list[tuple[str, int]] = []  # name, and whether it is beside the article
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, aside: int) -> None:
+        self.at.setdefault(name, []).append(len(self.all))
+        if name in BLOCK:
+            self.blocks.append(len(self.all))
+        self.all.append((name, aside))
+
+    def pop(self) -> tuple[str, int]:
+        name, aside = self.all.pop()
+        self.at[name].pop()
+        if name in BLOCK:
+            self.blocks.pop()
+        return name, aside
+
+    def ended_by(self, name: str) -> int | None:
+        """The element that an end tag closes: the innermost of its name, but none outside a block for other elements."""
+        own = self.at.get(name)
+        if not own or name not in BLOCK and self.blocks and self.blocks[-1] > own[-1]:
+            return None
+        return own[-1]
+
+
 def blocks(html: str) -> list[Block]:
-    """The blocks of a page in order, each between two tags that begin or end blocks."""
+    """The blocks of a page in order, each between two tags that begin or end blocks. A tag that the page's end cuts off
+    ends the page."""
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    open_: list[tuple[str, int]] = []  # elements, and whether each is beside the article
-    beside = marked = around = links = articles = mains = headings = 0
+    opened = _Open()
+    beside = marked = around = links = articles = mains = headings = headers = 0
     at, end = 0, len(html)
 
     def flush() -> None:
@@ -88,7 +146,9 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, linked, headings > 0, beside > 0 or marked > around, articles > 0, mains > 0, around))
+                # a heading in the article's own header is the article's
+                own = beside - headers if headings and articles else beside
+                out.append(Block(text, linked, headings > 0, own > 0 or marked > around, articles > 0, mains > 0, around))
             parts.clear()
         linked = 0
 
@@ -101,66 +161,77 @@ def blocks(html: str) -> list[Block]:
                 linked += len(_SPACE.sub(" ", text).strip())
 
     def close(k: int) -> None:
-        nonlocal beside, marked, around, links, articles, mains, headings
-        for name, aside in open_[k:]:
+        nonlocal beside, marked, around, links, articles, mains, headings, headers
+        while len(opened.all) > k:
+            name, aside = opened.pop()
             beside -= aside == 2
             marked -= aside == 1
             links -= name == "a"
             articles -= name in ("article", "main")
             mains -= name == "main"
             headings -= name in HEADING
+            headers -= aside == 2 and name == "header" and articles > 0
         if not articles:
             around = 0
-        del open_[k:]
 
+    text_from = 0
     while at < end:
-        m = _TAG.search(html, at)
-        if not m:
-            add(html[at:])
+        at = html.find("<", at)
+        if at < 0:
             break
-        add(html[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if name is None:
-            if m[1]:
-                parts.append(m[1])
+        m = _NAME.match(html, at + 1)
+        if not m:
+            other = _COMMENT.match(html, at + 1) or _CDATA.match(html, at + 1)
+            if other is None and html[at + 1 : at + 2] in ("!", "?", "/"):
+                z = html.find(">", at + 1)
+                add(html[text_from:at])
+                text_from = at = end if z < 0 else z + 1
+            elif other is None:
+                at += 1  # a "<" of the text
+            else:
+                add(html[text_from:at])
+                if other.re is _CDATA:
+                    parts.append(other[1])
+                text_from = at = other.end()
             continue
-        name = name.lower()
-        if m[2]:
+        add(html[text_from:at])
+        attrs = _ATTRS.match(html, m.end())[0]
+        at = m.end() + len(attrs)
+        text_from = at = at + 1
+        if at > end:
+            break
+        name = m[2].lower()
+        if m[1]:
             if name in BLOCK:
                 flush()
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    close(k)
-                    break
-                if open_[k][0] in BLOCK and name not in BLOCK:
-                    break
+            if (k := opened.ended_by(name)) is not None:
+                close(k)
             continue
         if name in HIDDEN:
-            if not m[4].endswith("/") or name in ("script", "style"):
-                z = re.compile(rf"</{name}\s*>|</{name}(?=[\s/])[^>]*>", re.I).search(html, at) if name != "head" else re.compile(r"</head\s*>|<body\b", re.I).search(html, at)
-                if name == "head" and z and z[0][1] != "/":
-                    at = z.start()
+            if not attrs.endswith("/") or name in ("script", "style"):
+                z = _HEAD.search(html, at) if name == "head" else _ENDS[name].search(html, at)
+                if name == "head":
+                    at = (z.start() if z[0][1] != "/" else z.end()) if z else at
                 else:
-                    at = z.end() if z else (at if name == "head" else end)
+                    at = z.end() if z else end
+                text_from = at
             continue
         if name == "br":
             parts.append(" ")
             continue
         if name in BLOCK:
             flush()
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or name in HEADING:
+            if (name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or name in HEADING) and opened.blocks:
                 # an element that its own kind ends
-                for k in range(len(open_) - 1, -1, -1):
-                    if open_[k][0] == name and name != "li" or open_[k][0] == "p":
-                        close(k)
-                        break
-                    if open_[k][0] in BLOCK:
-                        break
-        if name in VOID or m[4].endswith("/"):
+                k = opened.blocks[-1]
+                inner = opened.all[k][0]
+                if inner == "p" or inner == name and name != "li":
+                    close(k)
+        if name in VOID or attrs.endswith("/"):
             continue
-        aside = _is_beside(name, m[4])
-        open_.append((name, aside))
+        aside = _is_beside(name, attrs)
+        headers += aside == 2 and name == "header" and articles > 0
+        opened.push(name, aside)
         beside += aside == 2
         marked += aside == 1
         if not articles and name in ("article", "main"):
@@ -169,10 +240,25 @@ def blocks(html: str) -> list[Block]:
         articles += name in ("article", "main")
         mains += name == "main"
         headings += name in HEADING
+    add(html[text_from:])
     flush()
     return out
 
 
+def _density(text: str) -> tuple[float, float]:
+    """The share of stop words, and the length in characters of a script with white space. Text of a script without known
+    stop words counts as text by its sentences' marks."""
+    found = _WORD.findall(text.lower())
+    letters = sum(map(len, found))
+    if letters and 2 * len(_FOREIGN.findall(text)) > letters:
+        dense = len(_DENSE.findall(text))
+        return HIGH if _MARKS.search(text) else LOW / 2, len(text) + 2 * dense
+    share = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
+    if share < LOW and len(text) >= LONG and len(_MARKS.findall(text)) >= 2 + len(text) // 200 and len(found) >= 20:
+        share = LOW  # whole sentences of a language without stop words here
+    return share, len(text)
+
+
 def _first(b: Block, inside: bool) -> str:
     """good, bad, near (nearly good) or short, by the block alone."""
     n = len(b.text)
@@ -184,12 +270,11 @@ def _first(b: Block, inside: bool) -> str:
         return "bad"
     if b.heading:
         return "short"
-    if n <= SHORT:
+    share, size = _density(b.text)
+    if size <= SHORT:
         return "short"
-    found = _WORD.findall(b.text.lower())
-    share = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
     if share >= HIGH:
-        return "good" if n >= LONG else "near"
+        return "good" if size >= LONG else "near"
     return "near" if share >= LOW or b.article else "bad"
 
 
@@ -256,7 +341,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (the main text, blocks joined by a blank line) and n_chars of every page.
 
     A null or empty page, one of markup alone and one with nothing but menus and the like have an empty text. Unclosed
-    and misnested tags are taken as they come. Rows are judged each, so repeated ones give repeated results; other
+    and misnested tags are taken as they come, in time linear in the page. A null page_id or url is carried along. Rows are judged each, so repeated ones give repeated results; other
     columns are ignored. An empty table gives an empty result.
     """
     arrow_limits(pages.sparkSession, 500)

@@ -42,6 +42,63 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal.",),
 }
+
+def _family() -> dict[str, tuple[str, ...]]:
+    """Notices of further licences and versions, by rule."""
+    out: dict[str, tuple[str, ...]] = {}
+    kinds = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+             "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+    for kind, words in kinds.items():
+        for version, port in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")):
+            out[f"CC-{kind}-{version}"] = (
+                f"Licensed under CC {kind} {version}.", f"This work is licensed under a Creative Commons {words} {version} {port} License.", f"SPDX-License-Identifier: CC-{kind}-{version}",
+            )
+    gnu = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version."
+    names = {"GPL": ("program", "General Public License"), "LGPL": ("library", "Lesser General Public License"), "AGPL": ("program", "Affero General Public License")}
+    for short, versions in {"GPL": ("3.0", "2.0"), "LGPL": ("3.0", "2.1"), "AGPL": ("3.0",)}.items():
+        for version in versions:
+            what, name = names[short]
+            v = version.removesuffix(".0")
+            out[f"{short}-{version}"] = (
+                gnu.format(what=what, name=name, v=v), f"This work is licensed under the GNU {name}, version {v}.", f"Licensed under the {short}v{v}.",
+                f"SPDX-License-Identifier: {short}-{version}-only", f"SPDX-License-Identifier: {short}-{version}-or-later",
+            )
+    for name in ("Apache-1.1", "MPL-1.1", "BSD-2-Clause", "ISC", "Unlicense", "Zlib", "BSL-1.0", "EPL-2.0"):
+        out[name] = (f"SPDX-License-Identifier: {name}",)
+    out["Apache-1.1"] += ("Licensed under the Apache License, Version 1.1.", "Apache Software License, Version 1.1")
+    out["MPL-1.1"] += ("The contents of this file are subject to the Mozilla Public License Version 1.1",)
+    out["BSD-2-Clause"] += ("Released under the BSD 2-Clause License.", "Licensed under the Simplified BSD License.")
+    out["BSD-3-Clause"] = ("Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.")
+    out["ISC"] += ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License.")
+    out["Unlicense"] += ("This is free and unencumbered software released into the public domain.",)
+    out["BSL-1.0"] += ("Distributed under the Boost Software License, Version 1.0.",)
+    out["EPL-2.0"] += ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",)
+    return out
+
+
+for _name, _notices in _family().items():
+    TEMPLATES[_name] = (*TEMPLATES.get(_name, ()), *(n for n in _notices if n not in TEMPLATES.get(_name, ())))
+
+#: Words that tell licences of one family apart: a part that has one its template lacks isn't of that licence.
+APART = frozenset("nd noderivs noderivatives nc noncommercial sa sharealike lesser library affero".split())
+_DECIMAL = re.compile(r"[0-9]+\.[0-9]+")
+_SHORT = re.compile(r"(?:l|a)?gplv?([0-9])")
+
+
+def marks(words: list[str]) -> frozenset[str]:
+    """What tells a licence from others of its family: words, and version numbers without a last .0."""
+    out = {w for w in words if w in APART}
+    for before, w in zip(["", *words], words, strict=False):
+        own = _VERSION.sub("", w)
+        if _DECIMAL.fullmatch(own):
+            out.add(own.removesuffix(".0"))
+        elif own.isdigit() and (before in ("version", "v", "gpl", "lgpl", "agpl") or own != w):
+            out.add(own)
+        elif m := _SHORT.fullmatch(w):
+            out.add(m[1])
+    return frozenset(out)
+
+
 #: Least cosine of a part of a text to a template, and least share of a text's words in such parts for a licence file.
 COSINE, FILE_SHARE = 0.75, 0.3
 #: Most lines in a row that are judged as one part.
@@ -161,10 +218,12 @@ class _Index:
             for w, x in v.items():
                 self.index[w].append((i, x / norm))
                 self.weights[i, number[w]] = idf[w] * x / norm
+        self.marks = [marks(_WORD.findall(t.lower())) for _, t in texts]
         self.memo: dict[str, tuple[str | None, float]] = {}
 
-    def match(self, words: list[str]) -> tuple[str | None, float]:
-        """The closest licence and its cosine; of equal ones the first by name."""
+    def match(self, words: list[str], apart: bool = False) -> tuple[str | None, float]:
+        """The closest licence and its cosine; of equal ones the first given. With apart, only licences that have all
+        marks of the words count."""
         text = " ".join(words)
         if (old := self.memo.get(text)) is not None:
             return old
@@ -174,7 +233,9 @@ class _Index:
         for w, x in v.items():
             for i, y in self.index.get(w, ()):
                 score[i] += x * y / norm
-        out = min(((-round(s, 12), self.names[i]) for i, s in score.items()), default=(0.0, None))
+        own = marks(words) if apart else frozenset()
+        best = min(((-round(s, 12), i) for i, s in score.items() if own <= self.marks[i] or not apart), default=None)
+        out = (best[0], self.names[best[1]]) if best else (0.0, None)
         if len(self.memo) < 10_000 and len(text) < 500:
             self.memo[text] = (out[1], -out[0])
         return out[1], -out[0]
@@ -230,15 +291,17 @@ class Matcher:
             a = np.flatnonzero(most[0][m:] - most[0][:-m] - most[1][m - 1 :] >= bar_of(m))
             a = a[text[a] == text[a + m - 1]]
             found.update(zip(a.tolist(), (a + m).tolist(), strict=True))
-        best: dict[int, tuple[float, str]] = {}
+        best: dict[int, tuple[float, str, bool]] = {}
         covered = np.zeros(n + 1, np.int64)
         for a, z in found:
-            name, score = self.notices.match(read.words[a:z])
+            name, score = self.notices.match(read.words[a:z], apart=True)
             if name and score >= COSINE:
                 covered[a] += 1
                 covered[z] -= 1
+                # a notice that names its version tells more than a part of it that doesn't
+                told = bool(marks(read.words[a:z]))
                 t = int(text[a])
-                best[t] = min(best.get(t, (0.0, "")), (-score, name))
+                best[t] = min(best.get(t, (0.0, "", False)), (-score, name, told), key=lambda x: (not x[2], x[0], x[1]))
         entire: set[int] = set()
         full = np.flatnonzero(begin[1:] > begin[:-1])
         bar = enough(begin[full], begin[full + 1])
@@ -249,7 +312,7 @@ class Matcher:
             name, score = self.whole.match(read.words[begin[t] : begin[t + 1]])
             if name and score >= COSINE:
                 entire.add(t)
-                best[t] = min(best.get(t, (0.0, "")), (-score, name))
+                best[t] = (-score, name, True)
         inside = np.append(0, np.cumsum(np.cumsum(covered[:-1]) > 0))
         at = read.line_at
         share = read.spaced * (inside[at[1:]] - inside[at[:-1]]) / np.maximum(at[1:] - at[:-1], 1)
@@ -257,7 +320,7 @@ class Matcher:
             if t not in best:
                 yield None, 0.0, False
             else:
-                score, name = best[t]
+                score, name, _ = best[t]
                 yield name, -score, t in entire or bool(share[a:z].sum() >= FILE_SHARE * read.spaced[a:z].sum())
 
 
@@ -288,7 +351,7 @@ def inherited(folders: DataFrame, licensed: DataFrame) -> DataFrame:
 def license_scan(files: DataFrame) -> DataFrame:
     """id, path, own, score, is_file, license, inherited_from for every row of files (id, path, text).
 
-    own is the licence of the part closest to a template, if its cosine is at least COSINE. Parts are every line, every run
+    own is the licence of the part closest to a template, if its cosine is at least COSINE and it has no version or other mark that the template lacks; parts with marks come before those without. Parts are every line, every run
     of up to JOINED lines, and from every word on the runs of about as many words as a template has, over line ends; the
     whole text is also held against whole licences. Inverse frequencies are over all lines. Texts with a FILE_SHARE or more
     of their words in such parts, and those close to a whole licence, are licence files and license their folder; of several in one, the one most of them name counts,

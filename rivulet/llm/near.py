@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, batches, drop, mix, rolled, run_hashes, table, utf8, words
+from .common import arrow_limits, batches, drop, join_hot, mix, rolled, run_hashes, table, tasks, utf8, words
 
 #: Words of a shingle; a link needs 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 75
@@ -131,20 +131,35 @@ def _buckets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "lo", "hi", "buckets", "sketch"])
 
 
+#: A text goes to so many of its partners at once.
+PARTNERS = 64
+
+_TEXTS = "a long, block long, b long, text string"
+
+
 def _linked(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (a, b) with both texts, those whose whole shingle sets are similar enough."""
-    for b in batches(frames):
-        a, z = b.column("a").to_numpy(), b.column("b").to_numpy()
-        keep = np.zeros(b.num_rows, bool)
-        for i in range(0, b.num_rows, 256):
-            one, x = shingles(b.column("text_a").slice(i, 256))
-            two, y = shingles(b.column("text_b").slice(i, 256))
-            for k in range(len(x) - 1):
-                p, q = one[x[k] : x[k + 1]], two[y[k] : y[k + 1]]
-                if 100 * min(len(p), len(q)) >= PERCENT * max(len(p), len(q)):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep[i + k] = 100 * both >= PERCENT * (len(p) + len(q) - both)
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(z[keep])], names=["a", "b"])
+    """Of rows sorted by a and block, the text of a first (b is null), those b whose whole shingle sets are similar enough
+    to that of a."""
+    of, own = None, np.zeros(0, np.uint64)
+    for batch in batches(frames):
+        first, second = [], []
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            sets, at = shingles(part.column("text"))
+            for k, (a, b) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)):
+                q = sets[at[k] : at[k + 1]]
+                if b is None:
+                    of, own = a, q
+                    continue
+                if a != of:
+                    raise ValueError(f"the text of {a} is missing")
+                if 100 * min(len(own), len(q)) >= PERCENT * max(len(own), len(q)):
+                    both = len(np.intersect1d(own, q, assume_unique=True))
+                    if 100 * both >= PERCENT * (len(own) + len(q) - both):
+                        first.append(a)
+                        second.append(b)
+            own = own.copy()  # not a view of the part
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["a", "b"])
 
 
 def _listed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +173,19 @@ def _listed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked, held against whole texts; (doc_id, text) has each id once."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long")
+    """The pairs (a, b) that are linked, held against whole texts; (doc_id, text) has each id once.
+
+    The partners of a are dealt to blocks of about PARTNERS; its text goes to each block, not to each pair.
+    """
+    spark = pairs.sparkSession
+    total = pairs.count()
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    block = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PARTNERS))
+    dealt = join_hot(pairs, sizes, "a", "n", total, "b").select("a", block.alias("block"), "b")
+    theirs = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "block", "b", "text")
+    own = dealt.select("a", "block").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "text")
+    rows = own.unionByName(theirs).repartition(tasks(spark), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(_linked, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -172,14 +196,16 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     with any number of neighbours has one minimum, found before the shuffle; its links are split at run time.
     """
     now = table(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct())
+    before = _sum(now)
     for _ in range(rounds):
-        before = _sum(now)
-        large = _star(now, large=True)
-        small = table(_star(large, large=False))
+        large = table(_star(now, before[0], large=True))
         drop(now)
-        now = small
-        if _sum(now) == before:
+        now = table(_star(large, large.count(), large=False))
+        drop(large)
+        after = _sum(now)
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
@@ -189,16 +215,18 @@ def _sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)"))).first())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, n: int, large: bool) -> DataFrame:
+    """One of the two steps over n edges. A node's links beyond a task's share are dealt by their other end."""
+    both = edges.select(F.col("hi").alias("node"), F.col("lo").alias("to"))
+    if large:
+        both = both.unionByName(edges.select(F.col("lo").alias("node"), F.col("hi").alias("to")))
+    least = both.groupBy("node").agg(F.min("to").alias("m"), F.count(F.lit(1)).alias("links"))
     if large:
-        both = edges.select(F.col("lo").alias("node"), F.col("hi").alias("to")).unionByName(edges.select(F.col("hi").alias("node"), F.col("lo").alias("to")))
-        least = both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("m"))
-        out = both.where("to > node").join(least, "node").select(F.col("m").alias("lo"), F.col("to").alias("hi"))
+        least = least.select("node", F.least("node", "m").alias("m"), "links")
+        out = join_hot(both, least, "node", "links", 2 * n, "to").where("to > node").select(F.col("m").alias("lo"), F.col("to").alias("hi"))
     else:
-        both = edges.select(F.col("hi").alias("node"), F.col("lo").alias("to"))
-        least = both.groupBy("node").agg(F.min("to").alias("m"))
         own = least.select(F.col("m").alias("lo"), F.col("node").alias("hi"))
-        out = both.join(least, "node").select(F.col("m").alias("lo"), F.col("to").alias("hi")).unionByName(own)
+        out = join_hot(both, least, "node", "links", n, "to").select(F.col("m").alias("lo"), F.col("to").alias("hi")).unionByName(own)
     return out.where("lo < hi").distinct()
 
 
@@ -214,14 +242,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     4. The last components follow from all links.
 
     Null, empty and white-space texts have no shingles and are linked with nothing; each such row is its own
-    component. Rows that share a doc_id are one node: what any of them is linked with, all are. An empty table gives an
+    component. A row with a null doc_id has component_id null, is kept, and takes no part in links. Rows that share a doc_id are one node: what any of them is linked with, all are. An empty table gives an
     empty result. Other columns are ignored.
     """
     arrow_limits(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, lo long, hi long, buckets array<long>, sketch array<long>"
     signed = table(slim.mapInArrow(_buckets, schema))
-    full = signed.where("n_shingles > 0")
+    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("lo", "hi", "n_shingles").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("n"))
     # a class of one row is its own; the rest learn theirs by a join whose right side has a row for each class
     several = table(classes.where("n > 1"))

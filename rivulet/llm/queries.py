@@ -73,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+#: A text's words, its A-Z in lower case.
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
+
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
@@ -83,4 +86,29 @@ ORACLE_SQL: dict[str, str] = {
                sha256(text) AS text_sha256
         FROM t
     """,
+    "op4_decontamination": rf"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce({_WORDS.format(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")}, []) AS ws FROM documents),
+          b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS.format(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS ws FROM benchmark WHERE text IS NOT NULL),
+          starts AS (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0),
+          wins AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM starts),
+          places AS (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM wins) ON len(ws) >= n),
+          met AS (SELECT rid, i, p.n, item_id FROM places p JOIN wins w ON w.n = p.n AND w.win = array_to_string(p.ws[p.i:p.i + p.n - 1], ' ')),
+          hit AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS place FROM met) GROUP BY 1),
+          item AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM met) GROUP BY 1)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+          sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (rid) LEFT JOIN item USING (rid)
+    """,
+    "op7_minhash_near_dedup": rf"""
+        WITH RECURSIVE t AS (SELECT doc_id, coalesce({_WORDS.format(r"[^\x20\x09-\x0D]+")}, []) AS ws FROM documents),
+          s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM t WHERE len(ws) > 0)),
+          n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+          p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+          l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+          e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+          r AS (SELECT doc_id AS node, doc_id AS goal FROM t UNION SELECT node, b FROM r JOIN e ON goal = a),
+          m AS (SELECT node, min(goal) AS component_id FROM r GROUP BY 1)
+        SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept
+        FROM t JOIN m ON node = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id
+    """,
 }

@@ -55,11 +55,23 @@ def folder(spark: SparkSession, name: str = "rivulet") -> str:
     return path
 
 
+#: Shuffle files of a query are deleted when it ends; the table it wrote is what goes on.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors. What the write
+    shuffled is deleted with its end."""
     spark = df.sparkSession
-    path = folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = folder(spark), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._rivulet_path = path
     return out
@@ -142,7 +154,9 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int,
     values = [c for c in right.columns if c != key]
     packed = F.struct(*[F.col(c).alias(c) for c in values])
     near = F.broadcast(right.where(hot).select(F.col(key).alias("_hot_key"), packed.alias("_hot")))
-    far = right.where(~hot).select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_salt_"), packed.alias("_cold"))
+    # 0, but no constant: the optimiser would take it out of the join's keys, and hot rows would meet again
+    none = F.least(F.col(rows).cast("long"), F.lit(0).cast("long"))
+    far = right.where(~hot).select(F.col(key).alias("_key"), none.alias("_salt_"), packed.alias("_cold"))
     out = left.join(near, F.col(key) == F.col("_hot_key"), "left")
     salt = F.when(F.col("_hot_key").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1)
     out = out.withColumn("_salt", salt.cast("long")).join(far, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_salt_")), "left")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, batches, mix, run_hashes, table, tasks, utf8
+from .common import arrow_limits, batches, drop, mix, run_hashes, table, tasks, utf8
 
 SPAN, GRAM, SHALLOW = 50, 20, 24
 #: Bytes on one side of an anchor that every string has on at least one side.
@@ -263,42 +263,55 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
 
 
+def _told(code: np.ndarray, row: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Which anchors' codes are among those that their rows were told, a list of joined codes for each."""
+    parts = [b"".join(x or []) for x in lists.to_pylist()]
+    known = np.frombuffer(b"".join(parts), np.uint64)
+    of = np.repeat(np.arange(len(parts), dtype=np.uint64), [len(x) // 8 for x in parts])
+    # codes of different rows are kept apart by the row
+    return np.isin(mix(code ^ mix(row.astype(np.uint64) + _M)), mix(known ^ mix(of + _M)))
+
+
 def _judge(n: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
             ids = b.column("doc_id").to_pylist()
             buf, offsets = utf8(b.column("text"))
-            told_c, told_m = b.column("covered").to_pylist(), b.column("mixed").to_pylist()
             row, at, a, z, g, c, w = anchors(buf, offsets)
             code = pair_code(short(g), g % np.uint64(n), c, w)
+            covered = _told(code, row, b.column("covered"))
+            left, right = (_told(mix(code + mark), row, b.column("mixed")) & ~covered for mark in (_LEFT, _RIGHT))
+            mixed = left | right
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
+            any_mixed = np.bincount(row[mixed], minlength=b.num_rows) > 0
+            begin = offsets[row]
+            first, last = a - begin, z - begin
+            whole = buf.tobytes()
             out = []
             for r, doc in enumerate(ids):
-                lo, hi, start = cut[r], cut[r + 1], offsets[r]
-                text = buf[start : offsets[r + 1]].tobytes()
-                first, last = a[lo:hi] - start, z[lo:hi] - start
-                of_covered, of_mixed = (np.frombuffer(b"".join(told or []), np.uint64) for told in (told_c[r], told_m[r]))
-                own_code = code[lo:hi]
-                covered = np.isin(own_code, of_covered)
-                left, right = (np.isin(mix(own_code + mark), of_mixed) & ~covered for mark in (_LEFT, _RIGHT))
-                mixed = left | right
-                if not mixed.any():
-                    out.append((0, doc, None, None, None, None, *digest(text, first[covered], last[covered])))
-                    continue
-                own = hashlib.sha256(text).digest()[:8]
-                places = np.stack((first[covered], last[covered])).astype("<i8").tobytes()
-                out.append((1, doc, own, text, places, None, None, None, None, None))
-                for i in np.flatnonzero(mixed).tolist():
-                    j = lo + i
-                    middle = int(at[j] - start) - SIDE  # the last string that has SIDE bytes before its anchor
-                    p, q = int(first[i]), int(last[i])
-                    for there, x, y, side, mark in ((left[i], p, min(q, middle), left_of, _LEFT), (right[i], max(p, middle + 1), q, right_of, _RIGHT)):
-                        if there and x <= y:
-                            key = mix(mix(g[j : j + 1] + mark) ^ side(c[j : j + 1]))
-                            out.append((2, doc, own, text[x : y + SPAN], np.array([x], "<i8").tobytes(), int(key.view(np.int64)[0]), None, None, None, None))
-                if len(out) > 20_000:
-                    yield _batch(out)
-                    out = []
+                lo, hi = cut[r], cut[r + 1]
+                text, own = whole[offsets[r] : offsets[r + 1]], covered[lo:hi]
+                p, q = first[lo:hi][own], last[lo:hi][own]
+                if any_mixed[r]:
+                    out.append((1, doc, hashlib.sha256(text).digest()[:8], text, np.stack((p, q)).astype("<i8").tobytes(), None, None, None, None, None))
+                else:
+                    out.append((0, doc, None, None, None, None, *digest(text, p, q)))
+            yield _batch(out)
+            names = {r: out[r][2] for r in np.flatnonzero(any_mixed).tolist()}
+            middle = at - begin - SIDE  # the last string that has SIDE bytes before its anchor
+            out = []
+            for there, x, y, side, mark in (
+                (left, first, np.minimum(last, middle), left_of, _LEFT), (right, np.maximum(first, middle + 1), last, right_of, _RIGHT),
+            ):
+                i = np.flatnonzero(there & (x <= y))
+                keys = mix(mix(g[i] + mark) ^ side(c[i])).view(np.int64).tolist()
+                places = x[i].astype("<i8").tobytes()
+                p, q = (begin[i] + x[i]).tolist(), (begin[i] + y[i] + SPAN).tolist()
+                for k, r in enumerate(row[i].tolist()):
+                    out.append((2, ids[r], names[r], whole[p[k] : q[k]], places[8 * k : 8 * k + 8], keys[k], None, None, None, None))
+                    if len(out) == 20_000:
+                        yield _batch(out)
+                        out = []
             yield _batch(out)
 
     return run
@@ -343,33 +356,83 @@ def blind_trie(strings: list[bytes]) -> list[bytes]:
     return out
 
 
+_MANY = 4096
+
+
+def multikey_quicksort(word: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts rows of words, given by order, by all their columns; returns the order and where each group of equal rows
+    begins among its places.
+
+    Every group of rows that agree so far is split around the median of three of its words in the column where they may
+    differ: the lesser and the greater rows stay at that column, the equal ones go on to the next. All groups are split at
+    once, so that a round is a few passes over the rows not yet in place.
+    """
+    n, width = len(order), word.shape[1]
+    order, head = order.copy(), np.zeros(n, np.int64)
+    column = np.zeros(n, np.int64)  # of a group, at the place where it begins
+    if n > _MANY and width:
+        # all rows at once are split around many words, evenly drawn, instead of one
+        x = word[order, 0]
+        pivots = np.unique(x[:: max(1, n // 1024)])
+        at = np.searchsorted(pivots, x)
+        side = 2 * at + (pivots[np.minimum(at, len(pivots) - 1)] == x)
+        by = np.argsort(side.astype(np.int16), kind="stable")
+        order, side = order[by], side[by]
+        begin = np.flatnonzero(np.append(True, side[1:] != side[:-1]))
+        head = np.repeat(begin, np.diff(np.append(begin, n)))
+        column[begin] = side[begin] & 1
+    sizes = np.bincount(head, minlength=n)
+    live = np.flatnonzero((sizes[head] > 1) & (column[head] < width))
+    while len(live):
+        first = np.flatnonzero(np.append(True, head[live[1:]] != head[live[:-1]]))
+        size = np.diff(np.append(first, len(live)))
+        begin = live[first]
+        group = np.repeat(np.arange(len(first)), size)
+        x = word[order[live], column[begin][group]]
+        three = np.sort(np.stack((x[first], x[first + size // 2], x[first + size - 1])), axis=0)
+        pivot = three[1][group]
+        side = (x > pivot).astype(np.int64) - (x < pivot) + 1
+        counts = np.stack([np.bincount(group[side == k], minlength=len(first)) for k in range(3)], axis=1)
+        starts = np.cumsum(counts, axis=1) - counts
+        # a row's new place: its group's begin, its side's begin there, and its number on that side
+        to = np.empty(len(live), np.int64)
+        for k in range(3):
+            own = side == k
+            number = np.cumsum(own) - 1
+            before = np.append(0, np.cumsum(counts[:, k]))[:-1]
+            to[own] = begin[group[own]] + starts[group[own], k] + number[own] - before[group[own]]
+        order[to] = order[live].copy()
+        heads = begin[:, None] + starts
+        at = column[begin].copy()
+        for k in range(3):
+            some = counts[:, k] > 0
+            column[heads[some, k]] = at[some] + (k == 1)
+        head[to] = heads[group, side]
+        live = np.sort(to)
+        sizes = np.bincount(head[live])
+        live = live[(sizes[head[live]] > 1) & (column[head[live]] < width)]
+    return order, head
+
+
 def deep_shallow_sort(m: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the rows of a byte matrix, and for each place in it whether its row is unequal to the one before."""
+    """The order of the rows of a byte matrix, and for each place in it whether its row is unequal to the one before:
+    multikey quicksort on words of eight bytes to the shallow depth, blind tries for what still agrees there."""
     n, width = m.shape
     pad = np.zeros((n, -(-width // 8) * 8), np.uint8)
     pad[:, :width] = m
-    word = pad.view(">u8").astype(np.uint64)
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    live = np.arange(n)  # places in groups of several
-    for w in range(min(shallow // 8, word.shape[1])):
-        x = word[order[live], w]
-        own = np.lexsort((x, group[live]))
-        order[live] = order[live][own]
-        x, at = x[own], group[live]
-        new = np.append(True, (at[1:] != at[:-1]) | (x[1:] != x[:-1]))
-        head = live[np.flatnonzero(new)]
-        group[live] = head[np.cumsum(new) - 1]
-        size = np.diff(np.append(np.flatnonzero(new), len(live)))
-        live = live[np.repeat(size, size) > 1]
-        if not len(live):
-            break
+    word = pad.view(">u8").astype(np.uint64)[:, : shallow // 8]
+    order, group = multikey_quicksort(word, np.arange(n))
     unequal = np.append(True, group[1:] != group[:-1]) if n else np.zeros(0, bool)
+    live = np.flatnonzero(np.bincount(group, minlength=n)[group] > 1) if n else np.zeros(0, np.int64)
     if len(live):
         at = group[live]
         cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        size = np.diff(np.append(cut, len(live)))
         rest = np.ascontiguousarray(m[order[live], min(shallow // 8 * 8, width) :])
         step, raw = rest.shape[1], rest.tobytes()
-        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(live)], strict=True):
+        # groups of equal rows are in order as they stand
+        differ = np.bincount(np.repeat(np.arange(len(cut)), size), (rest != np.repeat(rest[cut], size, axis=0)).any(axis=1)) > 0
+        for a, z in zip(cut[differ].tolist(), (cut + size)[differ].tolist(), strict=True):
             first = live[a]
             rows = order[first : first + z - a].copy()
             by: dict[bytes, list[int]] = {}
@@ -451,9 +514,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     least = -(1 << 63)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), "text")
     entries = own.mapInArrow(_collect(n), ENTRIES)
-    told = entries.repartition(tasks(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(n), ENTRIES)
+    told = table(entries.repartition(tasks(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(n), ENTRIES))
     answers = told.groupBy("doc_id").agg(F.collect_list("codes").alias("covered"), F.collect_list("docs").alias("mixed"))
     judged = table(own.join(answers, "doc_id", "left").select("doc_id", "text", "covered", "mixed").mapInArrow(_judge(n), JUDGED))
+    drop(told)
     around = judged.where("kind = 2").select("gram", "doc_id", "row", "text", "places")
     spans = around.repartition(tasks(spark), "gram").sortWithinPartitions("gram").mapInArrow(_sorted_spans, "doc_id long, row binary, starts binary")
     by = spans.groupBy("doc_id", "row").agg(F.collect_list("starts").alias("starts"))

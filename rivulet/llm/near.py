@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, batches, drop, join_hot, mix, rolled, run_hashes, table, tasks, utf8, words
@@ -259,8 +259,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     same = table(member.where("doc_id <> class").distinct())
     heads = full.join(same.select("doc_id").distinct(), "doc_id", "left_anti").select(F.col("doc_id").alias("class"), F.explode("buckets").alias("bucket"))
-    count = heads.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first < last")
-    met = table(heads.join(count.select("bucket", "first"), "bucket"))
+    count = heads.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last"), F.count(F.lit(1)).alias("size")).where("first < last")
+    found = join_hot(heads, count.select("bucket", "first", "size"), "bucket", "size", BANDS * full.count(), "class")
+    met = table(found.where("first IS NOT NULL").select("bucket", "class", "first"))
     texts = _texts(slim, met)
     star = met.where("class > first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
     links = table(verify(star, texts))
@@ -289,7 +290,7 @@ def _apart(met: DataFrame, label: DataFrame, signed: DataFrame, texts: DataFrame
     close as those of a link are, and the listed shingles have enough in common. All of this is within the join: of a
     large group, only pairs that are links, but for clashes of 32 bits, become rows. Shingles of one set that clash
     count as common, so that no link is lost by it. Sets too long to be listed pass by their signatures, in the first
-    of their common buckets.
+    of their common buckets. A bucket beyond a task's share is a grid of parts, each pair of which meets in one task.
     """
     by = met.join(label.withColumnRenamed("node", "class"), "class", "left").select(
         "bucket", "first", "class", F.coalesce("component", "class").alias("component")
@@ -297,8 +298,10 @@ def _apart(met: DataFrame, label: DataFrame, signed: DataFrame, texts: DataFrame
     of_first = label.select(F.col("node").alias("first"), F.col("component").alias("of_first"))
     by = by.join(of_first, "first", "left").select("bucket", "first", "class", "component", F.coalesce("of_first", "first").alias("main"))
     by = table(by.where("class <> first"))
-    split = by.where("component <> main").select("bucket").distinct()
-    by = table(by.join(split, "bucket", "left_semi"))
+    outside = F.count_if(F.col("component") != F.col("main"))
+    split = by.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), outside.alias("outside")).where("outside > 0")
+    by = table(join_hot(by, split, "bucket", "size", by.count(), "class").where("size IS NOT NULL"))
+    total = by.count()
     needed = by.select(F.col("class").alias("doc_id")).distinct()
     # Rows with equal doc_id hold one sketch each; one of them speaks for the id
     own = signed.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -309,8 +312,13 @@ def _apart(met: DataFrame, label: DataFrame, signed: DataFrame, texts: DataFrame
     rows = table(by.join(facts, "class"))
     main = (F.col("component") == F.col("main")).alias("in_main")
     own = ("class", "component", "n", "sketch", "listed", "buckets")
-    mine = rows.select("bucket", *own, main)
-    out = rows.where("component <> main").select("bucket", *[F.col(c).alias(f"_{c}") for c in own])
+    # a bucket's comparisons are a grid of parts of its classes by parts of those outside, so that no task has a large bucket alone
+    side, theirs = _parts("size", total, tasks(texts.sparkSession)), _parts("outside", total, tasks(texts.sparkSession))
+    part = F.xxhash64("class")
+    mine = rows.select("bucket", *own, main, F.pmod(part, side).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), theirs - 1)).alias("j"))
+    out = rows.where("component <> main").select(
+        "bucket", *[F.col(c).alias(f"_{c}") for c in own], F.explode(F.sequence(F.lit(0).cast("long"), side - 1)).alias("i"), F.pmod(part, theirs).alias("j")
+    )
     words = (MINIMA + 63) // 64
     apart = F.lit(0)
     for w in range(words):
@@ -328,10 +336,15 @@ def _apart(met: DataFrame, label: DataFrame, signed: DataFrame, texts: DataFrame
     once = F.array_position(equal, True) == F.array_position("buckets", F.col("bucket"))
     unlisted, both = F.col("listed").isNull() | F.col("_listed").isNull(), F.col("listed").isNull() & F.col("_listed").isNull()
     fine = F.when(both, once).when(unlisted, F.lit(True)).otherwise(enough)
-    pairs = mine.join(out, "bucket").where((F.col("component") != F.col("_component")) & twice & sizes & (apart <= DIFFER) & fine)
+    pairs = mine.join(out, ["bucket", "i", "j"]).where((F.col("component") != F.col("_component")) & twice & sizes & (apart <= DIFFER) & fine)
     return table(pairs.select(F.least("class", "_class").alias("a"), F.greatest("class", "_class").alias("b")).distinct())
 
 
+def _parts(rows: str, total: int, few: int) -> Column:
+    """The root of how many tasks' shares a bucket's rows are, at least 1: 1 for buckets up to a share."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(F.col(rows) * few / max(1, total)))).cast("long")
+
+
 def keep_near(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that with the least doc_id; all columns as they were."""
     gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()

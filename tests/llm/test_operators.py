@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rivulet.llm import decontaminate, exact, html, language, licenses, near, packing, shards, store, suffixes
 from rivulet.llm.tokens import default_path
@@ -122,8 +123,12 @@ def test_near(docs):
     assert near.keep_near(docs).columns == docs.columns
 
 
-def test_near_against_brute_force(spark):
-    """Groups about the threshold, so that buckets hold several components; some sets are too long to be listed."""
+@pytest.mark.parametrize("parts", [None, 3])
+def test_near_against_brute_force(spark, monkeypatch, parts):
+    """Groups about the threshold, so that buckets hold several components; some sets are too long to be listed. Buckets
+    are compared whole or, as large ones are, in a grid of parts."""
+    if parts:
+        monkeypatch.setattr(near, "_parts", lambda *_: F.lit(parts).cast("long"))
     rng, texts = np.random.default_rng(5), []
     for length, copies, changed in ((120, 60, 4), (120, 40, 3), (near.LISTED + 400, 12, 36)):
         base = rng.integers(0, 5000, length)

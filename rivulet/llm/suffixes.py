@@ -5,7 +5,8 @@ only suffixes that begin around equal anchors need to be told apart. Anchors who
 hashes of these. Of the others, a string with more than half of its other bytes before the anchor can only be one with the
 same SIDE bytes there, any other string only one with the same SIDE bytes behind; so hashes of both sides tell which can
 agree in part. The strings of these are sorted: by multikey quicksort on words of eight bytes to a shallow depth, and what
-still agrees there by blind tries.
+still agrees there by blind tries. Grams with more rows than a task's share are sorted where they are read first, and what
+is left there is dealt by more of its bytes.
 """
 
 from __future__ import annotations
@@ -241,9 +242,9 @@ def _settle(n: int):
     return run
 
 
-JUDGED = "kind int, doc_id long, row binary, text binary, places binary, gram long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+JUDGED = "kind int, doc_id long, row binary, text binary, places binary, gram long, before int, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _NAMES = [x.split()[0] for x in JUDGED.split(", ")]
-_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
 
 def digest(text: bytes, first: np.ndarray, last: np.ndarray, span: int = SPAN) -> tuple[int, int, int, str]:
@@ -293,9 +294,9 @@ def _judge(n: int):
                 text, own = whole[offsets[r] : offsets[r + 1]], covered[lo:hi]
                 p, q = first[lo:hi][own], last[lo:hi][own]
                 if any_mixed[r]:
-                    out.append((1, doc, hashlib.sha256(text).digest()[:8], text, np.stack((p, q)).astype("<i8").tobytes(), None, None, None, None, None))
+                    out.append((1, doc, hashlib.sha256(text).digest()[:8], text, np.stack((p, q)).astype("<i8").tobytes(), None, None, None, None, None, None))
                 else:
-                    out.append((0, doc, None, None, None, None, *digest(text, p, q)))
+                    out.append((0, doc, None, None, None, None, None, *digest(text, p, q)))
             yield _batch(out)
             names = {r: out[r][2] for r in np.flatnonzero(any_mixed).tolist()}
             middle = at - begin - SIDE  # the last string that has SIDE bytes before its anchor
@@ -306,9 +307,9 @@ def _judge(n: int):
                 i = np.flatnonzero(there & (x <= y))
                 keys = mix(mix(g[i] + mark) ^ side(c[i])).view(np.int64).tolist()
                 places = x[i].astype("<i8").tobytes()
-                p, q = (begin[i] + x[i]).tolist(), (begin[i] + y[i] + SPAN).tolist()
+                p, q, before = (begin[i] + x[i]).tolist(), (begin[i] + y[i] + SPAN).tolist(), (middle[i] + SIDE - x[i]).tolist()
                 for k, r in enumerate(row[i].tolist()):
-                    out.append((2, ids[r], names[r], whole[p[k] : q[k]], places[8 * k : 8 * k + 8], keys[k], None, None, None, None))
+                    out.append((2, ids[r], names[r], whole[p[k] : q[k]], places[8 * k : 8 * k + 8], keys[k], before[k], None, None, None, None))
                     if len(out) == 20_000:
                         yield _batch(out)
                         out = []
@@ -448,42 +449,107 @@ def deep_shallow_sort(m: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray
     return order, unequal
 
 
-def _sorted_spans(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings around anchors of equal grams, sorted; those that a smaller doc_id also has, by document."""
-
-    def work(rows: list[tuple]) -> pa.RecordBatch:
-        doc = np.array([r[0] for r in rows], np.int64)
-        n = np.array([len(r[2]) - SPAN + 1 for r in rows], np.int64)
-        begin = np.frombuffer(b"".join(r[3] for r in rows), "<i8")
-        flat = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-        size = n + SPAN - 1
-        src = np.repeat(np.arange(len(rows)), n)
-        into = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        covered = np.zeros(len(src), bool)
-        m = np.lib.stride_tricks.sliding_window_view(flat, SPAN)[np.repeat(np.cumsum(size) - size, n) + into]
-        order, unequal = deep_shallow_sort(m)
-        owner = doc[src[order]]
-        least = np.minimum.reduceat(owner, np.flatnonzero(unequal))[np.cumsum(unequal) - 1]
-        covered[order] = least < owner
-        out: dict[tuple[int, bytes], list[int]] = {}
-        where = begin[src] + into
-        for i in np.flatnonzero(covered).tolist():
-            r = rows[src[i]]
+#: Rows that are sorted at once: at least, where there are more, and at most, but for one string of each kind found before.
+AT_ONCE, MOST = 8192, 32768
+#: Of hot grams, so many neighbouring strings go together, by the bytes that all of them have.
+TOGETHER = 4
+STARTS = "doc_id long, row binary, starts binary"
+DEALT = "gram long, doc_id long, row binary, text binary, places binary, starts binary"
+
+
+def _sort_rows(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """All strings of rows (doc_id, row, text, place), sorted: the row of each, its place in the row's text, whether a
+    smaller doc_id has it too; and one string of each kind, with the least doc_id."""
+    doc = np.array([r[0] for r in rows], np.int64)
+    n = np.array([len(r[2]) - SPAN + 1 for r in rows], np.int64)
+    flat = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+    size = n + SPAN - 1
+    src = np.repeat(np.arange(len(rows)), n)
+    into = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    m = np.lib.stride_tricks.sliding_window_view(flat, SPAN)[np.repeat(np.cumsum(size) - size, n) + into]
+    order, unequal = deep_shallow_sort(m)
+    owner, kind = doc[src[order]], np.cumsum(unequal) - 1
+    least = np.minimum.reduceat(owner, np.flatnonzero(unequal))[kind]
+    covered = np.zeros(len(src), bool)
+    covered[order] = least < owner
+    at = np.flatnonzero(least == owner)
+    return src, into, covered, order[at[np.append(True, kind[at[1:]] != kind[at[:-1]])]]
+
+
+def _covered(rows: list[tuple], src: np.ndarray, into: np.ndarray, covered: np.ndarray) -> list[tuple]:
+    """Where covered strings begin: doc_id, row, places; rows without a name are there for comparison alone."""
+    out: dict[tuple[int, bytes], list[int]] = {}
+    where = np.frombuffer(b"".join(r[3] for r in rows), "<i8")[src] + into
+    for i in np.flatnonzero(covered).tolist():
+        r = rows[src[i]]
+        if r[1]:
             out.setdefault((r[0], r[1]), []).append(int(where[i]))
-        cols = [[k[0] for k in out], [k[1] for k in out], [np.array(v, "<i8").tobytes() for v in out.values()]]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["doc_id", "row", "starts"])
+    return [(*k, np.array(v, "<i8").tobytes()) for k, v in out.items()]
+
+
+def _sorted_spans(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings around anchors of equal grams, sorted; those that a smaller doc_id also has, by document.
+
+    Rows come by gram and ascending doc_id. Of a gram with more rows than are sorted at once, one string of each kind is
+    carried on: it has the kind's least doc_id.
+    """
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*found, strict=True)) or [(), (), ()]
+        types = (pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "row", "starts"])
 
     rows: list[tuple] = []
-    last = None
+    carried, last = 0, None
     for b in batches(frames):
-        for g, doc, own, text, place in zip(*(b.column(c).to_pylist() for c in ("gram", "doc_id", "row", "text", "places")), strict=True):
-            if g != last and len(rows) >= 8192:
-                yield work(rows)
-                rows = []
+        for g, *row in zip(*(b.column(c).to_pylist() for c in ("gram", "doc_id", "row", "text", "places")), strict=True):
+            if len(rows) >= (AT_ONCE if g != last else max(MOST, 2 * carried)):
+                src, into, covered, one = _sort_rows(rows)
+                yield batch(_covered(rows, src, into, covered))
+                if g == last:
+                    rows = [(rows[k][0], b"", rows[k][2][j : j + SPAN], bytes(8)) for k, j in zip(src[one].tolist(), into[one].tolist(), strict=True)]
+                else:
+                    rows = []
+                carried = len(rows)
             last = g
-            rows.append((doc, own, text, place))
+            rows.append(tuple(row))
+    if rows:
+        yield batch(_covered(rows, *_sort_rows(rows)[:3]))
+
+
+def _deal(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of hot grams: strings that a smaller doc_id among the rows at hand has are settled (starts), and the others go
+    on in runs of up to TOGETHER, which lie evenly around the anchor, with a hash of what these share instead of the gram.
+
+    Equal strings lie equally around equal anchors, so they share these bytes and meet again.
+    """
+
+    def deal(rows: list[tuple]) -> pa.RecordBatch:
+        src, into, covered, _ = _sort_rows(rows)
+        out = [(None, doc, name, None, None, starts) for doc, name, starts in _covered(rows, src, into, covered)]
+        rest = np.flatnonzero(~covered)
+        src, into = src[rest], into[rest]
+        block = (np.array([r[4] for r in rows])[src] - into) // TOGETHER
+        new = np.append(True, (src[1:] != src[:-1]) | (into[1:] != into[:-1] + 1) | (block[1:] != block[:-1])) if len(rest) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(rest)) - 1
+        for k, a, z, d in zip(src[first].tolist(), into[first].tolist(), into[last].tolist() if len(first) else [], block[first].tolist(), strict=True):
+            doc, name, text, place, before = rows[k]
+            common = text[before - TOGETHER * d : before - TOGETHER * d - TOGETHER + 1 + SPAN]
+            key = int.from_bytes(hashlib.blake2b(common + bytes([d]), digest_size=8).digest(), "little", signed=True)
+            out.append((key, doc, name, text[a : z + SPAN], (int.from_bytes(place, "little") + a).to_bytes(8, "little"), None))
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        names = ["gram", "doc_id", "row", "text", "places", "starts"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    rows: list[tuple] = []
+    for b in batches(frames):
+        rows.extend(zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text", "places", "before")), strict=True))
+        if len(rows) >= AT_ONCE:
+            yield deal(rows)
+            rows = []
     if rows:
-        yield work(rows)
+        yield deal(rows)
 
 
 def _finish(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,8 +584,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     answers = told.groupBy("doc_id").agg(F.collect_list("codes").alias("covered"), F.collect_list("docs").alias("mixed"))
     judged = table(own.join(answers, "doc_id", "left").select("doc_id", "text", "covered", "mixed").mapInArrow(_judge(n), JUDGED))
     drop(told)
-    around = judged.where("kind = 2").select("gram", "doc_id", "row", "text", "places")
-    spans = around.repartition(tasks(spark), "gram").sortWithinPartitions("gram").mapInArrow(_sorted_spans, "doc_id long, row binary, starts binary")
+    around = judged.where("kind = 2").select("gram", "doc_id", "row", "text", "places", "before")
+    # more than a fourth of a task's share each, so fewer than four times the tasks
+    hot = table(around.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 4 * tasks(spark) > around.count()).select("gram"))
+    dealt = table(around.join(F.broadcast(hot), "gram", "left_semi").mapInArrow(_deal, DEALT))
+    each = around.drop("before").join(F.broadcast(hot), "gram", "left_anti").unionByName(dealt.where("starts IS NULL").drop("starts"))
+    spans = each.repartition(tasks(spark), "gram").sortWithinPartitions("gram", "doc_id").mapInArrow(_sorted_spans, STARTS)
+    spans = spans.unionByName(dealt.where("starts IS NOT NULL").select("doc_id", "row", "starts"))
     by = spans.groupBy("doc_id", "row").agg(F.collect_list("starts").alias("starts"))
     rest = judged.where("kind = 1").select("doc_id", "row", "text", "places").join(by, ["doc_id", "row"], "left")
     digests = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.llm import common, decontaminate, exact, html, language, licenses, near, packing, shards, store
+from rivulet.llm import common, decontaminate, exact, html, language, licenses, near, packing, shards, store, suffixes
 from rivulet.llm.tokens import Encoder, default_path
 
 BASE = "the quick brown fox jumps over the lazy dog and runs far away from here to the old mill by the river"
@@ -255,3 +255,62 @@ def test_exact_with_colliding_identifiers(spark, identify):
         same = next(x for t, x in top.items() if r["doc_id"] in x and hashlib.sha256(t.encode()).hexdigest() == r["text_sha256"])
         assert r["group_size"] == len(same) and r["keep_id"] == max((k for k in same if k is not None), default=None)
     assert len(got) == len(rows)
+
+
+# ---- 3 ----
+
+
+def hot_rows(n=700):
+    """Documents with one of few passages of 36 to 60 bytes, whose neighbours of up to 20 bytes are random or some others' too."""
+    rng = random.Random(5)
+    text = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passages = [text(60)] * 3 + [text(50), text(47), text(36)]
+    near = [text(20) for _ in range(6)]
+    side = lambda: text(20) if rng.random() < 0.5 else text(rng.randrange(8)) + rng.choice(near)
+    return [(k, side() + rng.choice(passages) + (side() if rng.random() < 0.9 else "")) for k in range(n)]
+
+
+def removed(rows):
+    """By brute force: doc_id, n_removed, kept_sha256."""
+    first, out = {}, {}
+    for k, t in rows:
+        for p in range(len(t) - 49):
+            first[t[p : p + 50]] = min(k, first.get(t[p : p + 50], k))
+    for k, t in rows:
+        gone = set()
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < k:
+                gone.update(range(p, p + 50))
+        out[k] = (len(gone), hashlib.sha256("".join(c for i, c in enumerate(t) if i not in gone).encode()).hexdigest())
+    return out
+
+
+def test_repeats_of_hot_grams(spark, monkeypatch):
+    """A third of all rows around one anchor: dealt by their bytes, with the same result as by brute force."""
+    rows = hot_rows()
+    dealt = []
+    monkeypatch.setattr(suffixes, "table", lambda df: dealt.append(common.table(df)) or dealt[-1])
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in suffixes.remove_repeats(frame(spark, rows)).collect()}
+    assert got == removed(rows)
+    hot, parts = dealt[-2], dealt[-1]
+    assert 0 < hot.count() < 4 * common.tasks(spark) and parts.where("starts IS NOT NULL").count() and parts.where("starts IS NULL").count()
+
+
+@pytest.mark.parametrize("at_once, most", [(1, 5), (3, 40), (8192, 32768)])
+def test_sorting_a_gram_in_portions(monkeypatch, at_once, most):
+    """Portions, with one string of each kind carried on, settle what sorting all rows at once does."""
+    monkeypatch.setattr(suffixes, "AT_ONCE", at_once)
+    monkeypatch.setattr(suffixes, "MOST", most)
+    rng = random.Random(3)
+    kinds = ["".join(rng.choice("ab") for _ in range(54)) for _ in range(9)]
+    rows = sorted((rng.randrange(3), k // 2, bytes([1 + k]), "") for k in range(90))
+    rows = [(g, d, r, rng.choice(kinds[3 * g : 3 * g + 3]).encode()) for g, d, r, _ in rows]  # equal strings have equal grams
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array([(100).to_bytes(8, "little")] * 90)], names=["gram", "doc_id", "row", "text", "places"])
+    found = {(d, r, int(p)) for b in suffixes._sorted_spans(iter([batch.slice(0, 33), batch.slice(33)])) for d, r, s in zip(*(c.to_pylist() for c in b.columns), strict=True) for p in np.frombuffer(s, "<i8")}
+    least = {}
+    for g, d, _, t in rows:
+        for p in range(5):
+            least[g, t[p : p + 50]] = min(d, least.get((g, t[p : p + 50]), d))
+    want = {(d, r, 100 + p) for g, d, r, t in rows for p in range(5) if least[g, t[p : p + 50]] < d}
+    assert found == want

@@ -7,7 +7,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, ordered, table
+from .common import drop, join_hot, ordered, table
 
 #: The driver looks at so many sums of the ordered groups at once; finer ones are fetched where a cut may fall.
 POINTS = 1 << 15
@@ -224,14 +224,13 @@ def shard(docs: DataFrame, n: int = 40, overhead: int = 16, points: int = POINTS
     groups = own.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"))
     order = ordered(groups, ["first", "key"], {"begin_bytes": "bytes", "begin": "rows"})
     sums = order.withColumn("end", F.col("begin_bytes") + F.col("bytes"))
-    top = sums.agg(F.max("end").alias("total"), F.max("bytes").alias("largest")).first()
+    top = sums.agg(F.max("end").alias("total"), F.max("bytes").alias("largest"), F.sum("rows").alias("rows")).first()
     _, cuts = least_capacity(_fetch(sums.select("end"), points), int(top["total"] or 0), int(top["largest"] or 0), n)
     where = F.size(F.filter(F.array(*[F.lit(int(c)).cast("long") for c in cuts[:-1]]), lambda c: c < F.col("end"))) if n > 1 else F.lit(0)
     placed = table(sums.select("key", "rows", "begin", where.cast("int").alias("shard")))
     # a row for each shard
     begins = placed.groupBy("shard").agg(F.min("begin").alias("shard_begin"))
-    # of a group of many rows, the key alone is repeated: its rows are split at run time
-    joined = own.join(placed.drop("rows"), "key")
+    joined = join_hot(own, placed, "key", "rows", int(top["rows"] or 0), "doc_id")
     ranked = ordered(joined.select("doc_id", "size", "text_crc32", "shard", "begin"), ["begin", "doc_id"])
     drop(own)
     at = F.col("rank") - F.col("shard_begin")

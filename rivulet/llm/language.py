@@ -67,11 +67,30 @@ def learn(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
         return Model({}, order)
     limit = F.element_at(F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
     counted = own.where(F.col("_h") < limit).select("lang", "text").mapInArrow(_count(order), "lang string, gram long, n long")
-    found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = {lang: (g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy()) for lang, g in found.groupby("lang")}
+    # numbers in Arrow's columns, not rows of objects, and each language once: the driver holds 20 bytes a gram
+    names = sorted(limits)
+    number = F.element_at(F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(k), F.lit(i))]), F.col("lang"))
+    found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select(number.alias("lang"), "gram", "n").toArrow()
+    lang, gram, n = (found.column(c).to_numpy() for c in ("lang", "gram", "n"))
+    counts = {k: (gram[lang == i].view(np.uint64), n[lang == i]) for i, k in enumerate(names) if (lang == i).any()}
     return Model({k: counts.get(k, (np.zeros(0, np.uint64), np.zeros(0, np.int64))) for k in sorted(limits)}, order)
 
 
+#: Contexts whose costs are worked out at once.
+_ROWS = 1 << 10
+
+
+def _costs(row: np.ndarray, symbol: np.ndarray, n: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The costs of each symbol after contexts in which symbols were seen n times; parent: what they cost after the
+    contexts less their first byte."""
+    table = np.zeros(parent.shape)
+    np.add.at(table, (row, symbol), n)
+    total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        here = np.where(table > 0, -np.log2(table / (total + kinds)), -np.log2(kinds / (total + kinds)) + parent)
+    return np.where(total > 0, here, parent)
+
+
 class Model:
     """Exact code lengths in bits, by language, of each byte after each context; escapes as in method C.
 
@@ -110,14 +129,18 @@ class Model:
                 c = np.zeros(len(n), np.int64)
                 for j in range(k, 0, -1):
                     c = (c << self.bits) | parts[j]
-                table = np.zeros((len(rows), self.base))
-                np.add.at(table, (np.searchsorted(rows, c), parts[0]), n)
-                total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-                parent = below[np.searchsorted(self.levels[k - 1], rows & ((1 << (self.bits * (k - 1))) - 1))] if k else np.repeat(below, len(rows), 0)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    here = np.where(table > 0, -np.log2(table / (total + kinds)), -np.log2(kinds / (total + kinds)) + parent)
-                below = np.where(total > 0, here, parent)
-                self.cost[lang, first[k] : first[k + 1]] = below
+                at = np.searchsorted(rows, c)
+                by = np.argsort(at, kind="stable")
+                cut = np.searchsorted(at[by], np.arange(0, len(rows) + _ROWS, _ROWS))
+                parents = np.searchsorted(self.levels[k - 1], rows & ((1 << (self.bits * (k - 1))) - 1)) if k else np.zeros(1, np.int64)
+                here = np.empty((len(rows), self.base)) if k < order else None
+                for i in range(0, len(rows), _ROWS):  # so many contexts at once: the driver builds the model
+                    own = by[cut[i // _ROWS] : cut[i // _ROWS + 1]]
+                    cost = _costs(at[own] - i, parts[0][own], n[own], below[parents[i : i + _ROWS]])
+                    self.cost[lang, first[k] + i : first[k] + i + len(cost)] = cost
+                    if here is not None:
+                        here[i : i + _ROWS] = cost
+                below = here
         # a context's row, by its code: the longest known suffix
         self.row_of = np.zeros(1 << (self.bits * order), np.int32) if size else np.zeros(1, np.int32)
         for k in range(order + 1):

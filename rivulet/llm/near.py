@@ -192,27 +192,32 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) of every node of edges (a, b): its component's least node.
 
     Alternates large-star (a node's larger neighbours are linked to the least of its neighbours and itself) and
-    small-star (its smaller neighbours and itself are), each a minimum per node, joined, until nothing changes. A node
-    with any number of neighbours has one minimum, found before the shuffle; its links are split at run time.
+    small-star (its smaller neighbours and itself are), each a minimum per node, joined, until what is left are stars:
+    each node has one smaller neighbour, which has none. A node with any number of neighbours has one minimum, found
+    before the shuffle; its links are split at run time.
     """
     now = table(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct())
-    before = _sum(now)
+    n, settled = _stars(now)
     for _ in range(rounds):
-        large = table(_star(now, before[0], large=True))
+        if settled:
+            break
+        large = table(_star(now, n, large=True))
         drop(now)
         now = table(_star(large, large.count(), large=False))
         drop(large)
-        after = _sum(now)
-        if after == before:
-            break
-        before = after
-    else:
+        n, settled = _stars(now)
+    if not settled:
         raise RuntimeError("components did not settle")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 
-def _sum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)"))).first())
+def _stars(edges: DataFrame) -> tuple[int, bool]:
+    """The number of distinct edges, and whether each hi has one lo that is no hi itself: then a node's lo is its
+    component, and a further round would change nothing."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("node"), F.lit(1).alias("up")), F.struct(F.col("lo").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    by = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("least"))
+    n, open_ = by.agg(F.sum("up"), F.count_if(F.expr("up > 1 OR (up = 1 AND least = 0)"))).first()
+    return n or 0, not open_
 
 
 def _star(edges: DataFrame, n: int, large: bool) -> DataFrame:
@@ -267,9 +272,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = table(verify(star, texts))
     label = table(components(links))
     second = _apart(met, label, full, texts)
+    # label links what links does, in stars that are settled already
+    known = label.select(F.col("component").alias("a"), F.col("node").alias("b"))
     if not second.isEmpty():
-        links = links.unionByName(verify(second, texts))
-    every = links.unionByName(same.select(F.col("class").alias("a"), F.col("doc_id").alias("b")))
+        known = known.unionByName(verify(second, texts))
+    every = known.unionByName(same.select(F.col("class").alias("a"), F.col("doc_id").alias("b")))
     final = table(components(every))
     out = signed.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")

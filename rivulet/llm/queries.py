@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, html, language, licenses, near, packing, shards, store, suffixes
+from . import conversations, decontaminate, exact, html, language, licenses, near, packing, shards, store, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with faults planted, repaired."""
+    own = _read(spark, sf_dir, "conversations")
+    return conversations.digest(own, *conversations.repair(conversations.damage(own)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_minimax_shards": op2_minimax_shards,
@@ -71,8 +77,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
+#: CRC-32 of a column of ASCII text, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
 #: A text's words, its A-Z in lower case.
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 
@@ -111,4 +122,43 @@ ORACLE_SQL: dict[str, str] = {
         SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept
         FROM t JOIN m ON node = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id
     """,
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE hurt AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            {_CRC.format("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations),
+          kept AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+            unnest(CASE k WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM hurt WHERE k <> 0),
+          sorted AS (SELECT *, row_number() OVER w AS n, lag(role) OVER w AS role_before,
+            rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+          told AS (SELECT *, shown = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again FROM sorted),
+          faults AS (SELECT *, substr(role, 1, 1) AS i, blank OR again AS must, CASE WHEN blank THEN 1 WHEN again THEN 2 WHEN NOT regexp_matches(shown, '[.!?]$') THEN 3 ELSE 0 END AS fault FROM told),
+          walk AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS n, [{{'c': CAST(0 AS BIGINT), 'a': ''}}, {{'c': CAST(1000000000 AS BIGINT), 'a': ''}}, {{'c': CAST(1000000000 AS BIGINT), 'a': ''}}, {{'c': CAST(1000000000 AS BIGINT), 'a': ''}}] AS s
+            FROM (SELECT DISTINCT conv_id FROM faults)
+            UNION ALL
+            SELECT conv_id, n, [
+              {{'c': c[1].c + 4, 'a': c[1].a || 'D'}},
+              list_min([{{'c': c[2].c + 4, 'a': c[2].a || 'D'}}, {{'c': c[1].c + CASE WHEN must OR i <> 's' THEN 1000000000 ELSE t END, 'a': c[1].a || 'K'}}]),
+              list_min([{{'c': c[3].c + 4, 'a': c[3].a || 'D'}}] || list_transform([c[1], c[2], c[4]], lambda x: {{'c': x.c + t + CASE WHEN must THEN 1000000000 WHEN i = 'u' THEN 0 ELSE 3 END, 'a': x.a || CASE WHEN i = 'u' THEN 'K' ELSE 'R' END}})),
+              list_min([{{'c': c[4].c + 4, 'a': c[4].a || 'D'}}, {{'c': c[3].c + t + CASE WHEN must THEN 1000000000 WHEN i = 'a' THEN 0 ELSE 3 END, 'a': c[3].a || CASE WHEN i = 'a' THEN 'K' ELSE 'R' END}}])] AS s
+            FROM (SELECT w.conv_id, f.n, f.must, f.i, CASE f.fault WHEN 3 THEN 3 ELSE 0 END AS t, [w.s[1], w.s[2],
+                list_min([w.s[3]] || list_transform([w.s[1], w.s[2], w.s[4]], lambda x: {{'c': x.c + 3, 'a': x.a || 'I'}})),
+                list_min([w.s[4], {{'c': w.s[3].c + 3, 'a': w.s[3].a || 'I'}}] || list_transform([w.s[1], w.s[2]], lambda x: {{'c': x.c + 6, 'a': x.a || 'II'}}))] AS c
+              FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.n + 1)),
+          best AS (SELECT conv_id, list_min([s[1], s[4], {{'c': s[3].c + 3, 'a': s[3].a || 'I'}}, {{'c': s[2].c + 6, 'a': s[2].a || 'II'}}]) AS b FROM walk
+            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+          letters AS (SELECT conv_id, unnest(string_split(b.a, '')) AS e, unnest(range(1, len(b.a) + 1)) AS pos FROM best),
+          placed AS (SELECT *, count(*) FILTER (WHERE e <> 'I') OVER w AS n, count(*) FILTER (WHERE e <> 'D') OVER w AS place FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+          met AS (SELECT p.*, f.role, f.text, f.i FROM placed p LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.n = p.n AND p.e <> 'I'),
+          begins AS (SELECT conv_id, min(pos) FILTER (WHERE e <> 'D') AS p0 FROM met GROUP BY 1),
+          system AS (SELECT m.conv_id, count(*) AS x FROM met m JOIN begins b ON b.conv_id IS NOT DISTINCT FROM m.conv_id AND m.pos = b.p0 WHERE e = 'K' AND i = 's' GROUP BY 1),
+          lines AS (SELECT m.conv_id, pos, CASE WHEN e = 'K' THEN role WHEN (place + coalesce(x, 0)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line
+            FROM met m LEFT JOIN system y ON y.conv_id IS NOT DISTINCT FROM m.conv_id WHERE e <> 'D'),
+          hashes AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY pos)) AS h FROM lines GROUP BY 1),
+          sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+            count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE role_before IS NOT NULL AND substr(role_before, 1, 1) || i NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY 1)
+        SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+          coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM v.conv_id
+          LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN hashes h ON h.conv_id IS NOT DISTINCT FROM v.conv_id
+    """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, exact, html, language, licenses, near, packing, shards, store, suffixes
+from . import conversations, decontaminate, exact, html, language, licenses, near, neighbours, packing, shards, store, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations with faults planted, repaired."""
     own = _read(spark, sf_dir, "conversations")
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -122,6 +127,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept
         FROM t JOIN m ON node = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id
     """,
+    "op12_nearest_neighbours": """
+        WITH t AS (SELECT vec_id, row_number() OVER () AS r, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+          p AS (SELECT q.vec_id AS query_id, q.r AS query_row, c.vec_id, c.r, list_cosine_similarity(q.v, c.v) AS score FROM t q JOIN t c ON c.r <> q.r AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0),
+          n AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id NULLS LAST, r) AS rank FROM p)
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM n WHERE rank <= 5
+    """,
     "op13_conversation_repair": rf"""
         WITH RECURSIVE hurt AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
             {_CRC.format("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations),

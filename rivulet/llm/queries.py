@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, exact, html, language, licenses, near, neighbours, packing, shards, store, suffixes
+from . import conversations, decontaminate, exact, html, language, licenses, near, neighbours, packing, periodic, shards, store, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a tenth of them with periodic tails planted."""
+    return periodic.digest(periodic.find_runs(periodic.plant(_read(spark, sf_dir, "documents"))))
+
+
 def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_read(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -127,6 +133,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept
         FROM t JOIN m ON node = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id
     """,
+    "op11_periodic_runs": rf"""
+        WITH t AS (SELECT doc_id, row_number() OVER () AS rid, {_CRC.format("coalesce(CAST(doc_id AS VARCHAR), '')")} AS h, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+          m AS (SELECT *, len(w) AS n, h // 10 AS g, doc_id IS NOT NULL AND h % 10 = 0 AND len(w) > 0 AS planted FROM t),
+          o AS (SELECT *, CASE WHEN planted THEN g % n ELSE n END AS a FROM m),
+          p AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) ELSE 1 END AS p FROM o),
+          words AS (SELECT rid, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM p WHERE n > 0)),
+          grams AS (SELECT rid, i, word || ' ' || lead(word) OVER v || ' ' || lead(word, 2) OVER v || ' ' || lead(word, 3) OVER v || ' ' || lead(word, 4) OVER v AS gram FROM words WINDOW v AS (PARTITION BY rid ORDER BY i)),
+          met AS (SELECT a.rid, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.rid = b.rid AND a.gram = b.gram AND a.i < b.i),
+          isles AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS isle FROM met),
+          spans AS (SELECT rid, q, min(i) AS start, count(*) + 4 + q AS length FROM isles GROUP BY rid, q, isle),
+          runs AS (SELECT rid, start, length, min(q) AS period FROM spans WHERE length >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
+          told AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY 1),
+          best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+          gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+          texts AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (rid, i) GROUP BY 1)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+          sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+        FROM t LEFT JOIN told USING (rid) LEFT JOIN best USING (rid) LEFT JOIN texts USING (rid)
+    """,
     "op12_nearest_neighbours": """
         WITH t AS (SELECT vec_id, row_number() OVER () AS r, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
             WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

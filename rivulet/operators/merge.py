@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.errors import AppliedEventConflictError, AppliedSequenceConflictError, MergeAmbiguityError, MergeError, PendingRecoveryError, TargetAlreadyInitializedError
+from rivulet.operators.ledger import Ledger
 from rivulet.sources.vtable import VersionedTable
 from rivulet.spec import DOMAIN, LINEAGE, TableSpec, conform, project_events
 
-LEDGER = (
-    "event_id string, event_fingerprint string, entity_sequence_key string, table_name string, business_key_canonical string, sequence_number long,"
-    " operation string, source_commit_timestamp string, processing_id string, source_file string, status string"
-)
 HARD, SOFT = "HARD", "SOFT"
 
 
@@ -23,10 +21,11 @@ def max_applied(ledger: DataFrame) -> DataFrame:
     return ledger.where("status = 'APPLIED'").groupBy("entity_sequence_key").agg(F.max("sequence_number").alias("max_sequence"))
 
 
-def classify(events: DataFrame, ledger: DataFrame, processing: str | Column) -> DataFrame:
-    """Adds class: what the ledger makes of each event. Two joins for any number of events."""
+def classify(events: DataFrame, ledger: DataFrame, processing: str | Column, maxima: DataFrame | None = None) -> DataFrame:
+    """Adds class: what the ledger makes of each event. Two joins for any number of events. ledger needs to hold the rows
+    with the events' ids, maxima (entity_sequence_key, max_sequence) their entities; by default they come from ledger."""
     own = ledger.select("event_id", F.col("event_fingerprint").alias("_f"), F.col("status").alias("_s"), F.col("processing_id").alias("_p"))
-    out = events.join(own, "event_id", "left").join(max_applied(ledger), "entity_sequence_key", "left")
+    out = events.join(own, "event_id", "left").join(max_applied(ledger) if maxima is None else maxima, "entity_sequence_key", "left")
     mine = F.lit(processing) if isinstance(processing, str) else processing
     found = F.col("_s").isNotNull()
     kind = (
@@ -107,7 +106,9 @@ class MergePipeline:
 
     Each group of events (all new ones of a table, or with waves=True those of one sequence number) goes through three
     commits: PENDING in the ledger, the target, APPLIED in the ledger. A run that stops between them is taken up by a run
-    with the same processing id. Tables have no common transaction.
+    with the same processing id. Tables have no common transaction. A run reads the part of the ledger that its events
+    can meet (see Ledger, and there what slot is for) and rewrites the targets' buckets of its keys; a target's buckets are
+    doubled once they hold more than most rows each.
     """
 
     spark: SparkSession
@@ -116,13 +117,15 @@ class MergePipeline:
     delete_policy: str = HARD
     waves: bool = False
     buckets: int = 8
+    slot: Callable[[Column], Column] | None = None
+    most: int = 4_000_000
 
     def target(self, table: str) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.root}/{table}", self.specs[table].key)
 
     @property
-    def ledger(self) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.root}/_ledger", "event_id")
+    def ledger(self) -> Ledger:
+        return Ledger(self.spark, f"{self.root}/_ledger", self.slot, self.buckets, self.most)
 
     def initialize(self, snapshot: dict[str, DataFrame], overwrite: bool = False) -> None:
         """Targets from a snapshot; all are looked at before the first is written."""
@@ -134,16 +137,12 @@ class MergePipeline:
             first = {
                 "_last_sequence_number": F.lit(0), "_last_event_id": F.lit("snapshot_init"), "_last_operation": F.lit("SNAPSHOT"),
                 "_last_event_fingerprint": F.lit("snapshot_init"),
-                "_last_source_commit_timestamp": F.coalesce(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("2026-05-11T00:00:00Z")),
+                "_last_source_commit_timestamp": F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
                 "_last_processing_id": F.lit("snapshot_bootstrap"), "_is_deleted": F.lit(False), "_deleted_at": F.lit(None),
             }
             own = conform(df, self.specs[t])
             self.target(t).create(own.select("*", *[first[c].cast(k).alias(c) for c, k in LINEAGE.items()]), self.buckets, overwrite)
-        self._ledger_ready()
-
-    def _ledger_ready(self) -> None:
-        if not self.ledger.exists():
-            self.ledger.create(self.spark.createDataFrame([], LEDGER), self.buckets)
+        self.ledger.ready()
 
     def read(self, table: str, metadata: bool = True, deleted: bool = True, version: int | None = None) -> DataFrame:
         df = self.target(table).read(version)
@@ -153,14 +152,14 @@ class MergePipeline:
     def run(self, events: DataFrame, processing: str, fail_after_pending: bool = False, fail_after_target: bool = False) -> dict:
         if not processing:
             raise ValueError("a processing id is required")
-        self._ledger_ready()
-        ledger = self.ledger.read()
-        if bad := pending_problems(events, ledger, processing).groupBy("problem").agg(F.min("event_id").alias("e")).collect():
+        ledger = self.ledger
+        ledger.ready()
+        if bad := pending_problems(events, ledger.pending(), processing).groupBy("problem").agg(F.min("event_id").alias("e")).collect():
             kinds = {r["problem"]: r["e"] for r in bad}
             if "FINGERPRINT_DIFFERS" in kinds and len(kinds) == 1:
                 raise AppliedEventConflictError(str(kinds))
             raise PendingRecoveryError(str(kinds))
-        told = classify(events, ledger, processing).persist()
+        told = classify(events, ledger.look(events), processing, ledger.maxima(events)).persist()
         try:
             counts = {(r["class"], r["operation"]): r["n"] for r in told.groupBy("class", "operation").agg(F.count(F.lit(1)).alias("n")).collect()}
             by = lambda k: sum(n for (c, _), n in counts.items() if c == k)
@@ -196,12 +195,10 @@ class MergePipeline:
         return self.run(events, m[1], **kw)
 
     def _apply(self, table: str, events: DataFrame, processing: str, stop_pending: bool, stop_target: bool) -> None:
-        entry = events.withColumn("processing_id", F.lit(processing)).withColumn("status", F.lit("PENDING"))
-        names = [c.split()[0] for c in LEDGER.split(", ")]
-        new = entry.where("class = 'FRESH'").select(*names).persist()
+        own = events.withColumn("processing_id", F.lit(processing))
+        new = own.where("class = 'FRESH'")
         if not new.isEmpty():
-            self.ledger.append(new, "PENDING")
-        new.unpersist()
+            self.ledger.open(new)
         if stop_pending:
             raise MergeError("stopped after the pending commit")
         spec, to = self.specs[table], self.target(table)
@@ -213,14 +210,13 @@ class MergePipeline:
         }).select(*spec.columns, *LINEAGE)
         base, touched = to.version(), to.touched(typed)
         content, rows = apply_changes(to.read(base, touched), typed, spec.key, list(spec.columns), self.delete_policy)
-        to.replace(content, touched, "MERGE", rows, base=base)
+        seen = Observation()
+        to.replace(content.observe(seen, F.count(F.lit(1)).alias("n")), touched, "MERGE", rows, base=base)
+        if seen.get["n"] > self.most * len(touched):
+            to.rebucket(2 * int(to.properties()["buckets"]))
         if stop_target:
             raise MergeError("stopped after the target commit")
-        base = self.ledger.version()
-        touched = self.ledger.touched(events)
-        done = events.select("event_id", F.lit(True).alias("_done"))
-        now = self.ledger.read(base, touched).join(done, "event_id", "left").withColumn("status", F.when(F.col("_done"), "APPLIED").otherwise(F.col("status")))
-        self.ledger.replace(now.select(*names), touched, "APPLIED", base=base)
+        self.ledger.close(own)
 
 
 ACCEPTED = (

@@ -19,10 +19,11 @@ def _stamp(c: str) -> Column:
 
 
 def sequence() -> Column:
-    """The sequence number as the lenient rules read it: numbers cut to integers, digits in texts, true as 1."""
+    """The sequence number as the lenient rules read it: numbers cut to integers, digits in texts, true as 1. Integers of
+    any size that a long holds are exact; only numbers with a fraction or an exponent go through a double."""
     raw = F.trim(F.trim(F.col("sequence_json")), F.lit('"'))
     return F.when(F.col("sequence_json") == "true", F.lit(1)).when(F.col("sequence_json") == "false", F.lit(0)).otherwise(
-        F.when(F.col("sequence_json").startswith('"'), F.trim(raw).try_cast("long")).otherwise(raw.try_cast("double").cast("long"))
+        F.when(F.col("sequence_json").startswith('"'), F.trim(raw).try_cast("long")).otherwise(F.coalesce(raw.try_cast("long"), raw.try_cast("double").try_cast("long")))
     )
 
 

@@ -646,3 +646,6 @@ def scenario_normalized(spark, d):
     generator.write_scenario(spark, generator.scenario(generator.Snapshot(spark).dicts()), root)
     n = normalize.normalize(read_events(spark, f"{root}/batch_id=*/table=*"))
     return n.events.groupBy("disposition").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+from rivulet.plans import incremental  # noqa: E402, F401  registers its queries

@@ -191,6 +191,12 @@ class VersionedTable:
         now = {b: old["buckets"].get(b, []) + new.get(b, []) for b in sorted({*old["buckets"], *new})}
         return self._changed(old, StructType.fromJson(old["schema"]), operation, now, df.withColumn("_change_type", F.lit("insert")), None)
 
+    def rebucket(self, n: int) -> int:
+        """Deals all rows to n buckets, as a table needs when its buckets have grown; content, properties and metrics stay."""
+        old = self.log()
+        props, schema = old["properties"] | {"buckets": str(n)}, StructType.fromJson(old["schema"])
+        return self._commit(self._new(old["version"] + 1, "REBUCKET", props, schema, self._write(self.read(old["version"]), n), None, old["metrics"]))
+
     def compact(self) -> int | None:
         """Writes buckets of several folders as one each; the content stays as it is."""
         old = self.log()

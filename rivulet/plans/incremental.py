@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rivulet.operators import merge, normalize
+from rivulet.operators import merge, normalize, scd
 from rivulet.operators.ledger import Ledger, id_ranges
-from rivulet.plans.queries import _SPEC, LOG, _raw, _scratch, log, query
+from rivulet.plans.queries import _HISTORY, _SPEC, LOG, _raw, _scratch, log, query
+from rivulet.spec import FlowSpec
+from rivulet.streaming.auto_cdc import AutoCdc
 
 #: Sequence numbers that doubles can't tell apart.
 _FAR = 1 << 53
@@ -66,3 +68,19 @@ def ledger_incremental(spark, d):
         fresh = spark.read.schema(told.schema).parquet(f"{root}/told/part={part}").where("class = 'FRESH'").withColumn("processing_id", F.lit(f"p{part}"))
         book.record(fresh)
     return spark.read.parquet(f"{root}/told").select("part", "event_id", "class")
+
+
+# ---- history, batch by batch ----
+
+
+@query("SELECT user_id, event_type, value, start_at, end_at FROM history", LOG, _HISTORY, value=True)
+def scd2_incremental(spark, d):
+    """Eight batches in no order of time: each splices the versions around its events into the history."""
+    root, e = _scratch(spark), log(spark, d)
+    own = e.select("user_id", F.col("event_id").alias("sequence_number"), F.col("op").alias("operation"), "event_type", "value", F.pmod(F.xxhash64("event_id"), F.lit(8)).alias("part"))
+    own.repartition("part").write.partitionBy("part").parquet(f"{root}/in")
+    cdc = AutoCdc(spark, root, FlowSpec("users", ("user_id",), scd_type=2, track_history=("event_type",)), ("event_type", "value"), buckets=4)
+    for part in range(8):
+        cdc.apply(spark.read.parquet(f"{root}/in").where(F.col("part") == part).drop("part"))
+    out = cdc.result()
+    return out.withColumns({"start_at": F.col(scd.START_AT).cast("string"), "end_at": F.col(scd.END_AT).cast("string")}).drop(scd.START_AT, scd.END_AT)

@@ -17,8 +17,8 @@ class AutoCdc:
     """Keeps the target of a flow up to date. columns are those stored besides the keys.
 
     SCD 1 targets hold tombstones (_deleted, with the time they came) and the sequence of each key; purge() drops those
-    older than the flow's retention. SCD 2 targets hold the events of each key, so that a late one takes its place in the
-    history that result() makes of them. A batch that is repeated after a crash has no second effect, as equal sequences
+    older than the flow's retention. SCD 2 targets hold the versions, and beside them a table of the events they are made of:
+    a batch makes anew the versions around its events, and rewrites the buckets of its keys alone. A batch that is repeated after a crash has no second effect, as equal sequences
     lose to what is stored. Several flows may have one target, first the one that runs once.
     """
 
@@ -32,6 +32,15 @@ class AutoCdc:
     def table(self) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.root}/{self.flow.target}", self.flow.keys[0])
 
+    @property
+    def events(self) -> VersionedTable:
+        """What an SCD 2 target's versions are made of."""
+        return VersionedTable(self.spark, f"{self.root}/{self.flow.target}__events", self.flow.keys[0])
+
+    def _history(self, events: DataFrame) -> DataFrame:
+        f = self.flow
+        return scd.scd2(events, list(f.keys), f.sequence_by, list(self.columns), list(f.track_history or self.columns), F.col("_deleted"))
+
     def _stored(self, like: DataFrame) -> DataFrame:
         deleted = F.coalesce(F.expr(self.flow.delete_when), F.lit(False))
         at = [F.when(deleted, F.current_timestamp()).alias("_deleted_at")] if self.flow.scd_type == 1 else []
@@ -42,7 +51,10 @@ class AutoCdc:
         f = self.flow
         if not self.table.exists():
             props = {"tombstone_retention_seconds": str(f.tombstone_retention_seconds), **f.properties}
-            self.table.create(self._stored(like.limit(0)), self.buckets, properties=props)
+            own = self._stored(like.limit(0))
+            if f.scd_type == 2 and not self.events.exists():
+                self.events.create(own, self.buckets)
+            self.table.create(own if f.scd_type == 1 else self._history(own), self.buckets, properties=props)
 
     def apply(self, batch: DataFrame, _id: int | None = None) -> None:
         f, t = self.flow, self.table
@@ -58,8 +70,26 @@ class AutoCdc:
             new = new.withColumn("_deleted_at", F.when(F.col("_deleted"), F.col("_deleted_at")))
             t.replace(new.select(*old.columns), touched, "AUTO CDC", base=base)
         else:
-            fresh = own.dropDuplicates([*f.keys, f.sequence_by]).join(old.select(*f.keys, f.sequence_by), [*f.keys, f.sequence_by], "left_anti")
-            t.append(fresh.select(*old.columns), "AUTO CDC", base)
+            self._splice(own, old, touched, base)
+
+    def _splice(self, own: DataFrame, old: DataFrame, touched: list[int], base: int) -> None:
+        """The versions first, then the events: a batch that is repeated after a crash between finds its events missing,
+        and making the same versions again changes nothing."""
+        f, known = self.flow, self.events.read(buckets=touched)
+        keys = [*f.keys, f.sequence_by]
+        fresh = own.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti").select(*known.columns).persist()
+        try:
+            if fresh.isEmpty():
+                return
+            own_track = list(f.track_history or self.columns)
+            new = scd.splice(old, known, fresh, list(f.keys), f.sequence_by, list(self.columns), own_track, "_deleted")
+            met = self.table.touched(fresh)
+            if len(met) < len(touched):
+                new = new.where(self.table.bucket(int(self.table.properties()["buckets"])).isin(met))
+            self.table.replace(new, met, "AUTO CDC", base=base)
+            self.events.append(fresh, "AUTO CDC")
+        finally:
+            fresh.unpersist()
 
     def purge(self, now: Column | None = None) -> int:
         """Drops the tombstones that are older than the target's retention at now; returns how many. A late event of such
@@ -76,11 +106,9 @@ class AutoCdc:
         return n
 
     def result(self) -> DataFrame:
-        f, stored = self.flow, self.table.read()
+        f, out = self.flow, self.table.read()
         if f.scd_type == 1:
-            out = stored.where(~F.col("_deleted")).drop("_deleted", "_deleted_at")
-        else:
-            out = scd.scd2(stored, list(f.keys), f.sequence_by, list(self.columns), list(f.track_history or self.columns), F.col("_deleted"))
+            out = out.where(~F.col("_deleted")).drop("_deleted", "_deleted_at")
         return out.drop(*[c for c in f.except_columns if c in out.columns])
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:

@@ -1,10 +1,14 @@
 """State kept up to date batch by batch: what is read and written doesn't grow with history."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.operators import merge
+from rivulet.operators import merge, scd
 from rivulet.operators.ledger import Ledger, id_ranges
+from rivulet.spec import FlowSpec
+from rivulet.streaming.auto_cdc import AutoCdc
 
 ROW = "event_id string, event_fingerprint string, entity_sequence_key string, table_name string, business_key_canonical string, sequence_number long, operation string, source_commit_timestamp string, processing_id string, source_file string"
 
@@ -55,7 +59,7 @@ def test_buckets_grow_with_their_rows(spark, tmp_path):
         book.record(rows(spark, *range(30 * b, 30 * b + 30), entity=lambda i: i))
     assert int(book.highs.properties()["buckets"]) >= 4 and book.highs.read().count() == 120
     assert book.highs.history()[0]["metrics"] == {"through": book.applied.version()}
-    one = rows(spark, 7)
+    one = rows(spark, 7, entity=lambda i: i)
     assert {r["max_sequence"] for r in book.maxima(one).where("entity_sequence_key = 't:7'").collect()} == {7}
 
 
@@ -66,3 +70,54 @@ def test_slots_of_any_id(spark, tmp_path, ids):
     batch = rows(spark, 1, 2, 3, 4).withColumn("event_id", F.element_at(F.array(*map(F.lit, ids)), F.col("sequence_number").cast("int")))
     book.record(batch)
     assert {r["class"] for r in merge.classify(batch, book.look(batch), "q", book.maxima(batch)).collect()} == {"EXACT_REPLAY_APPLIED"}
+
+
+# ---- history ----
+
+FLOW = FlowSpec("t", ("k",), scd_type=2, track_history=("a",))
+EVENT = "k int, sequence_number long, operation string, a string, b int"
+
+
+def versions(df):
+    return sorted((tuple(r) for r in df.select("k", "a", "b", scd.START_AT, scd.END_AT).collect()), key=str)
+
+
+def whole(spark, rows):
+    e = spark.createDataFrame(rows, EVENT)
+    return versions(scd.scd2(e, ["k"], "sequence_number", ["a", "b"], ["a"], F.col("operation") == "DELETE"))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_history_of_late_events(spark, tmp_path, seed):
+    rnd = random.Random(seed)
+    rows = [(k, s, rnd.choice(["UPDATE", "UPDATE", "INSERT", "DELETE"]), rnd.choice(["x", "y", None]), rnd.randint(0, 9)) for k in range(60) for s in rnd.sample(range(60), rnd.randint(1, 25))]
+    rnd.shuffle(rows)
+    cdc = AutoCdc(spark, str(tmp_path), FLOW, ("a", "b"), buckets=2)
+    for i in range(0, len(rows), len(rows) // 5 + 1):
+        batch = rows[i : i + len(rows) // 5 + 1]
+        cdc.apply(spark.createDataFrame(batch + batch[:3], EVENT))
+        assert versions(cdc.result()) == whole(spark, rows[: i + len(batch)])
+
+
+def test_history_leaves_other_buckets_and_survives_a_crash(spark, tmp_path, monkeypatch):
+    cdc = AutoCdc(spark, str(tmp_path), FLOW, ("a", "b"), buckets=8)
+    rows = [(k, s, "UPDATE", "xyz"[(k + s) % 3], s) for k in range(64) for s in range(0, 50, 10)]
+    cdc.apply(spark.createDataFrame(rows, EVENT))
+    before = cdc.table.log()["buckets"]
+    late = [(3, 15, "UPDATE", "late", 1)]
+    cdc.apply(spark.createDataFrame(late, EVENT))
+    after = cdc.table.log()["buckets"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    more = [(3, 25, "DELETE", None, None), (5, 1, "UPDATE", "y", 2)]
+
+    def crash(*_):
+        raise RuntimeError
+
+    with monkeypatch.context() as m:
+        m.setattr(type(cdc.table), "append", crash)
+        with pytest.raises(RuntimeError):
+            cdc.apply(spark.createDataFrame(more, EVENT))
+    cdc.apply(spark.createDataFrame(more, EVENT))
+    v = cdc.table.version()
+    cdc.apply(spark.createDataFrame(more, EVENT))
+    assert v == cdc.table.version() and versions(cdc.result()) == whole(spark, rows + late + more)

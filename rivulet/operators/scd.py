@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.operators.segments import SEG, along, segmented
+
 START_AT, END_AT = "__START_AT", "__END_AT"
 
 
@@ -40,17 +42,34 @@ def purge_tombstones(current: DataFrame, deleted_at: str, before: Column) -> Dat
     return current.where(~(F.col("_deleted") & F.coalesce(F.col(deleted_at) < before, F.lit(False))))
 
 
-def scd2(events: DataFrame, keys: list[str], seq: str, columns: list[str], track: list[str], deleted: Column) -> DataFrame:
+def scd2(events: DataFrame, keys: list[str], seq: str, columns: list[str], track: list[str], deleted: Column, hot: DataFrame | None = None) -> DataFrame:
     """Versions with __START_AT and __END_AT in terms of seq, null while open. A version begins with an event that differs
-    from the one before in a tracked column, or follows a delete; other changes update the version in place."""
-    w = Window.partitionBy(*keys).orderBy(seq)
+    from the one before in a tracked column, or follows a delete; other changes update the version in place.
+
+    hot, as hot_keys(events, keys, seq) gives it, cuts the sequences of keys that hold a large part of all events, so that
+    many tasks share them; the result is the same.
+    """
     e = events.select(*keys, seq, *columns, deleted.alias("_d")).dropDuplicates([*keys, seq])
-    now = F.struct(*track)
-    opens = ~F.col("_d") & (F.lag("_d", 1, True).over(w) | ~now.eqNullSafe(F.lag(now).over(w)))
+    by = list(keys)
+    now, own = F.struct(*track), F.struct("_d", F.struct(*track).alias("t"))
+    last = F.lag(own)
+    if hot is not None:
+        e, by = segmented(e, hot, keys, seq), [*keys, SEG]
+        ends = e.groupBy(*by).agg(F.max_by(own, seq).alias("_end"))
+        e = e.join(ends.select(*by, F.lag("_end").over(along(keys)).alias("_head")), by, "left")
+    w = Window.partitionBy(*by).orderBy(seq)
+    before = last.over(w) if hot is None else F.coalesce(last.over(w), F.col("_head"))
+    opens = ~F.col("_d") & (before.isNull() | before["_d"] | ~now.eqNullSafe(before["t"]))
     e = e.withColumn("_new", opens.cast("int")).withColumn("_edge", opens | F.col("_d"))
     e = e.withColumn("_v", F.sum("_new").over(w))
+    if hot is not None:
+        sums = e.groupBy(*by).agg(F.sum("_new").alias("n"), F.min(F.when(F.col("_edge"), F.col(seq))).alias("f"))
+        base = F.coalesce(F.sum("n").over(along(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        after = F.min("f").over(along(keys).rowsBetween(1, Window.unboundedFollowing))
+        e = e.join(sums.select(*by, base.alias("_base"), after.alias("_after")), by, "left").withColumn("_v", F.col("_v") + F.col("_base"))
     live = e.where(~F.col("_d")).groupBy(*keys, "_v").agg(F.min(seq).alias(START_AT), F.max_by(F.struct(*columns), seq).alias("r"))
-    edges = e.where("_edge").select(*keys, F.col(seq).alias("_at"), F.col("_v"), "_d").withColumn("_next", F.lead("_at").over(Window.partitionBy(*keys).orderBy("_at")))
+    next_ = F.lead(seq).over(w) if hot is None else F.coalesce(F.lead(seq).over(w), F.col("_after"))
+    edges = e.where("_edge").withColumn("_next", next_)
     ends = edges.where(~F.col("_d")).select(*keys, "_v", F.col("_next").alias(END_AT))
     return live.join(ends, [*keys, "_v"]).select(*keys, *[F.col(f"r.{c}").alias(c) for c in columns], START_AT, END_AT)
 
@@ -89,11 +108,12 @@ def splice(history: DataFrame, events: DataFrame, fresh: DataFrame, keys: list[s
     return rest.unionByName(made.select(*history.columns))
 
 
-def as_of(history: DataFrame, facts: DataFrame, keys: list[str], at: str) -> DataFrame:
+def as_of(history: DataFrame, facts: DataFrame, keys: list[str], at: str, hot: DataFrame | None = None) -> DataFrame:
     """Each fact with the version open at its position; facts without one stay, with nulls.
 
     Versions and facts of a key are sorted together and each fact takes the last version before it: one sort, and no pair
-    of a fact with every version of its key.
+    of a fact with every version of its key. hot, as hot_keys(facts, keys, at) gives it, cuts keys that hold a large part
+    of all facts into segments, which take over the last version of those before.
     """
     own = [c for c in history.columns if c not in keys]
     version, fact = F.struct(*own), F.struct(*[c for c in facts.columns if c not in keys])
@@ -101,8 +121,15 @@ def as_of(history: DataFrame, facts: DataFrame, keys: list[str], at: str) -> Dat
     none = lambda df, c: F.lit(None).cast(df.select(kinds[c].alias(c)).schema[c].dataType).alias(c)
     begins = history.select(*keys, F.col(START_AT).alias("_at"), version.alias("_v"), none(facts, "_f"))
     both = begins.unionByName(facts.select(*keys, F.col(at).alias("_at"), none(history, "_v"), fact.alias("_f")))
-    w = Window.partitionBy(*keys).orderBy("_at", F.col("_f").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_f IS NOT NULL")
+    by, carried = list(keys), []
+    if hot is not None:
+        both, by = segmented(both, hot, keys, "_at"), [*keys, SEG]
+        ends = both.groupBy(*by).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_at"))).alias("_end"))
+        head = F.last("_end", ignorenulls=True).over(along(keys).rowsBetween(Window.unboundedPreceding, -1))
+        both = both.join(ends.select(*by, head.alias("_head")), by, "left")
+        carried = [F.col("_head")]
+    w = Window.partitionBy(*by).orderBy("_at", F.col("_f").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_v", F.coalesce(F.last("_v", ignorenulls=True).over(w), *carried)).where("_f IS NOT NULL")
     usable = F.col(f"_v.{END_AT}").isNull() | (F.col("_at") < F.col(f"_v.{END_AT}"))
     for k in keys:
         usable = usable & F.col(k).isNotNull()

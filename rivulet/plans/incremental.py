@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rivulet.operators import merge, normalize, scd
 from rivulet.operators.ledger import Ledger, id_ranges
-from rivulet.plans.queries import _HISTORY, _SPEC, LOG, _raw, _scratch, log, query
+from rivulet.operators.segments import hot_keys
+from rivulet.plans.queries import _HISTORY, _SPEC, LOG, _raw, _scratch, deleted, log, query, read
+from rivulet.sources.events import read_events
 from rivulet.spec import FlowSpec
 from rivulet.streaming.auto_cdc import AutoCdc
 
@@ -84,3 +87,52 @@ def scd2_incremental(spark, d):
         cdc.apply(spark.read.parquet(f"{root}/in").where(F.col("part") == part).drop("part"))
     out = cdc.result()
     return out.withColumns({"start_at": F.col(scd.START_AT).cast("string"), "end_at": F.col(scd.END_AT).cast("string")}).drop(scd.START_AT, scd.END_AT)
+
+
+# ---- keys that hold most rows ----
+
+#: Nine events of ten are one user's.
+_HOT = "hot AS (SELECT * REPLACE (CASE WHEN event_id % 10 = 0 THEN user_id ELSE 1 END AS user_id) FROM log)"
+
+
+def _hot(spark, d):
+    e = log(spark, d).withColumn("user_id", F.when(F.col("event_id") % 10 == 0, F.col("user_id")).otherwise(F.lit(1)))
+    return e, hot_keys(e, ["user_id"], "event_id")
+
+
+def _hot_history(e, hot):
+    return scd.scd2(e, ["user_id"], "event_id", ["event_type", "value"], ["event_type"], deleted(), hot)
+
+
+@query("SELECT user_id, event_type, value, start_at, end_at FROM history", LOG, _HOT, _HISTORY.replace("FROM log", "FROM hot"), value=True)
+def scd2_hot_key(spark, d):
+    out = _hot_history(*_hot(spark, d))
+    return out.withColumns({"start_at": F.col(scd.START_AT).cast("string"), "end_at": F.col(scd.END_AT).cast("string")}).drop(scd.START_AT, scd.END_AT)
+
+
+@query("""SELECT l.event_id, l.user_id, h.event_type, h.start_at FROM hot l LEFT JOIN history h ON h.user_id = l.user_id AND CAST(h.start_at AS BIGINT) <= l.event_id
+  AND (h.end_at IS NULL OR l.event_id < CAST(h.end_at AS BIGINT))""", LOG, _HOT, _HISTORY.replace("FROM log", "FROM hot"))
+def as_of_hot_key(spark, d):
+    e, hot = _hot(spark, d)
+    facts = e.select("event_id", "user_id")
+    found = scd.as_of(_hot_history(e, hot), facts, ["user_id"], "event_id", hot)
+    return found.select("event_id", "user_id", "event_type", F.col(scd.START_AT).cast("string").alias("start_at"))
+
+
+# ---- lines of large files ----
+
+
+@query("""SELECT 'part=' || CAST(part AS VARCHAR) AS part, CAST(line - 1 AS BIGINT) AS ingestion_order, CAST(event_id AS VARCHAR) AS event_id, line % 50 = 0 AS malformed FROM
+  (SELECT event_id, event_id % 3 AS part, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) AS line FROM events)""")
+def lines_in_splits(spark, d):
+    """Three files of JSON lines, every fiftieth line broken: each line is known by file and number."""
+    root = _scratch(spark)
+    w = Window.partitionBy("part").orderBy("event_id")
+    e = read(spark, d, "events").select("event_id", (F.col("event_id") % 3).alias("part"), "props")
+    e = e.withColumn("line", F.row_number().over(w))
+    text = F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), F.col("props").alias("payload")))
+    own = e.select("part", "line", F.when(F.col("line") % 50 == 0, F.concat(text, F.lit("}"))).otherwise(text).alias("value"))
+    own.repartition("part").sortWithinPartitions("part", "line").select("part", "value").write.partitionBy("part").text(f"{root}/in")
+    out = read_events(spark, f"{root}/in/part=*")
+    number = F.coalesce("event_id", F.regexp_extract("raw_record", '"event_id":"([0-9]+)"', 1))
+    return out.select(F.regexp_extract("source_file", "(part=[0-9]+)", 1).alias("part"), "ingestion_order", number.alias("event_id"), "malformed")

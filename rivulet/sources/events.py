@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.canonical import manifest_digest
@@ -29,22 +29,34 @@ def _text(value: Column, name: str) -> Column:
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(raw_record, source_file, ingestion_order) of every line that isn't blank; the order is that in the file.
+    """(raw_record, source_file, ingestion_order) of every line that isn't blank; the order is that in the file, from 0, blank
+    lines counted.
 
-    Files are split by lines only after they are read whole: landing files are small, and line numbers need it.
+    Files are read in splits, as many tasks share a large one. A line's number is its place in its split plus the lines of
+    the file's splits before: one row for each split is counted, summed up along the file and joined back.
     """
-    files = spark.read.text(list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
-    lines = files.select("source_file", F.posexplode(F.split("value", "\r?\n")).alias("line", "raw_record"))
-    return lines.where(F.trim("raw_record") != "").select("raw_record", "source_file", F.col("line").cast("long").alias("ingestion_order"))
+    lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_at"),
+        # rows of a partition are numbered in order, and a split lies in one partition
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    splits = lines.groupBy("source_file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy("source_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("source_file", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = lines.join(splits, ["source_file", "_at"])
+    own = numbered.select(F.rtrim("value", F.lit("\r")).alias("raw_record"), "source_file", (F.col("_row") - F.col("_first") + F.col("_before")).alias("ingestion_order"))
+    return own.where(F.trim("raw_record") != "")
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """Adds the event's fields as text or JSON text; malformed marks lines that aren't a JSON object.
 
     sequence_json tells a number, a text and a boolean apart; business_key is a map of texts, null if it isn't an
-    object. Repeated names and NaN make a line malformed.
+    object. Repeated names, NaN and anything behind the object make a line malformed.
     """
-    v = lines.withColumn("_v", F.try_parse_json("raw_record"))
+    # a parser stops behind the first value: only a single one stands both alone in a list and as a name's value
+    one = F.when(F.try_parse_json(F.concat(F.lit('{"v":'), "raw_record", F.lit("}"))).isNotNull(), F.try_parse_json(F.concat(F.lit("["), "raw_record", F.lit("]"))))
+    v = lines.withColumn("_v", F.try_variant_get(one, "$[0]", "variant"))
     v = v.withColumn("malformed", F.coalesce(~F.schema_of_variant("_v").startswith("OBJECT"), F.lit(True)))
     key = F.try_variant_get("_v", "$.business_key", "map<string,string>")
     cols = [_text(F.col("_v"), f).alias(f) for f in FIELDS]

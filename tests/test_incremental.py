@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rivulet.operators import merge, scd
 from rivulet.operators.ledger import Ledger, id_ranges
+from rivulet.operators.segments import hot_keys, segmented
 from rivulet.spec import FlowSpec
 from rivulet.streaming.auto_cdc import AutoCdc
 
@@ -121,3 +122,31 @@ def test_history_leaves_other_buckets_and_survives_a_crash(spark, tmp_path, monk
     v = cdc.table.version()
     cdc.apply(spark.createDataFrame(more, EVENT))
     assert v == cdc.table.version() and versions(cdc.result()) == whole(spark, rows + late + more)
+
+
+# ---- hot keys ----
+
+
+def test_hot_keys_are_shared_by_many_windows(spark):
+    rnd = random.Random(1)
+    rows = [(1 if i % 10 else rnd.choice([2, 3, None]), i, rnd.choice(["UPDATE", "UPDATE", "DELETE"]), rnd.choice("xyz"), i % 7) for i in range(4000)]
+    e = spark.createDataFrame(rows, EVENT)
+    hot = hot_keys(e, ["k"], "sequence_number")
+    assert [r["k"] for r in hot.select("k").collect()] == [1] and hot_keys(e.where("k = 2"), ["k"], "sequence_number", few=1) is None
+    sizes = [r["count"] for r in segmented(e, hot, ["k"], "sequence_number").groupBy("k", "_seg").count().collect()]
+    assert len(sizes) >= 16 and max(sizes) < 2 * 4000 / 16
+    args = (["k"], "sequence_number", ["a", "b"], ["a"], F.col("operation") == "DELETE")
+    h = scd.scd2(e, *args, hot)
+    assert versions(h) == versions(scd.scd2(e, *args))
+    facts = e.select("k", F.col("sequence_number").alias("at"), "b").unionByName(spark.createDataFrame([(1, -5, 0), (1, 9999, 0)], "k int, at long, b int"))
+    told = lambda x: sorted(map(str, scd.as_of(h, facts, ["k"], "at", x).collect()))
+    assert told(hot) == told(None)
+
+
+def test_one_event_in_a_segment_and_equal_places(spark):
+    rows = [(1, i // 3, "UPDATE", "ab"[i % 2], i) for i in range(60)]
+    e = spark.createDataFrame(rows, EVENT).dropDuplicates(["k", "sequence_number"])
+    hot = hot_keys(e, ["k"], "sequence_number", few=40)
+    args = (["k"], "sequence_number", ["a", "b"], ["a"], F.col("operation") == "DELETE")
+    e = e.persist()
+    assert versions(scd.scd2(e, *args, hot)) == versions(scd.scd2(e, *args))

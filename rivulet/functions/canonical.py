@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,13 @@ def manifest_digest() -> Column:
     """Of rows (logical_id, content_sha256): an id of the set of files, whatever their order; an aggregate."""
     own = F.concat_ws(":", "logical_id", "content_sha256")
     return F.concat(F.lit("proc_"), F.substring(F.sha2(F.concat_ws("|", F.array_sort(F.collect_set(own))), 256), 1, 16))
+
+
+def manifest_digest_wide(files: DataFrame) -> DataFrame:
+    """One row (id) for rows (logical_id, content_sha256) of any number: an id of their set, whatever the order and however
+    often a row comes. Rows meet in 4096 groups by the hash of logical_id, and the groups' digests in one: no task holds
+    more than a group. Its ids differ from those of manifest_digest()."""
+    own = F.concat_ws(":", "logical_id", "content_sha256")
+    groups = files.groupBy(F.substring(F.sha2("logical_id", 256), 1, 3).alias("g")).agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_set(own))), 256).alias("d"))
+    whole = F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]))
+    return groups.agg(F.concat(F.lit("procw_"), F.substring(F.sha2(whole, 256), 1, 16)).alias("id"))

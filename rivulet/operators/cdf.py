@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rivulet.errors import CDFNotEnabledError, CDFSourceNotFoundError
 from rivulet.functions.canonical import change_id
+from rivulet.operators.ledger import Slotted
 from rivulet.sources.control import ControlStore
 from rivulet.sources.vtable import CHANGE_COLUMNS, VersionedTable
 
@@ -43,11 +44,17 @@ def insert_absent(archive: DataFrame, rows: DataFrame, key: str = "_change_id")
 
 @dataclass
 class Archive:
+    """Change rows by source and range of versions: rows with one _change_id have one version, so that a write looks for
+    them in the ranges of its own versions alone, whatever else the archive holds."""
+
     spark: SparkSession
     root: str
+    #: Versions in a range.
+    span: int = 16
 
-    def of(self, source: str) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.root}/{source}_changes", "_change_id")
+    def of(self, source: str) -> Slotted:
+        span = self.span
+        return Slotted(self.spark, f"{self.root}/{source}_changes", "_commit_version", lambda version: F.floor(version / span).cast("int"))
 
     def write(self, source: str, key: str, changes: DataFrame) -> int:
         """Appends what isn't there; returns the number of rows added."""
@@ -70,6 +77,11 @@ class Archive:
     def read(self, source: str) -> DataFrame:
         return self.of(source).read()
 
+    def versions(self, source: str, start: int, end: int) -> DataFrame:
+        """Archived rows of versions start to end, both included; only their ranges are read."""
+        rows = self.of(source).read(buckets=list(range(start // self.span, end // self.span + 1)))
+        return rows.where(F.col("_commit_version").between(start, end))
+
 
 @dataclass
 class Consumer:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions.canonical import canonical_json, canonical_key, entity_key, event_fingerprint
 from rivulet.operators.validate import sequence, validate_first
+from rivulet.sources import staging
 from rivulet.sources.events import logical_file_id, processing_id, read_events, write_normalized
 from rivulet.spec import DOMAIN, TableSpec
 
@@ -130,7 +131,7 @@ def run(spark: SparkSession, paths: list[str], out: str, specs: dict[str, TableS
         if metrics["quarantined"]:
             q = n.quarantined.withColumn("_h", F.sha2("raw_record", 256))
             q = q.orderBy("table_name", "event_id", "quarantine_code", "_h", "source_file").drop("_h")
-            q.write.mode("overwrite").json(f"{out}/quarantine/processing_id={processing}")
+            staging.replace(spark, f"{out}/quarantine/processing_id={processing}", q.write.json)
     finally:
         n.events.unpersist()
         n.release()

@@ -6,12 +6,13 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rivulet.errors import WatermarkExtractionError
 from rivulet.functions.canonical import watermark_batch_id
+from rivulet.sources import staging
 from rivulet.sources.control import ControlStore
 
 START = (None, None)
@@ -39,10 +40,9 @@ def bounded_window(df: DataFrame, stamp: str, key: str, low: tuple, high: tuple,
 
 def read_landed(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """The rows of a landed batch; fails if there is none."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if not (own := staging.resolve(spark, path)):
         raise WatermarkExtractionError(f"no landed batch at {path}")
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).json(own)
 
 
 class Tables(dict):
@@ -104,10 +104,15 @@ class Extractor:
         if fail_before_landing:
             raise WatermarkExtractionError("stopped before landing")
         path = f"{self.landing}/table={table}/batch_id={batch}"
-        rows.write.mode("overwrite").json(path)
-        n, landed = rows.count(), read_landed(df.sparkSession, path, df.schema).count()
-        if n != landed:
-            raise WatermarkExtractionError(f"{landed} of {n} rows have landed in {path}")
+        seen = Observation()
+
+        def whole(staged: str) -> None:
+            if (n := seen.get["n"]) != (landed := read_landed(df.sparkSession, staged, df.schema).count()):
+                raise WatermarkExtractionError(f"{landed} of {n} rows have landed in {path}")
+
+        # counted as they are written: the source is read once, and may change meanwhile
+        staging.replace(df.sparkSession, path, rows.observe(seen, F.count(F.lit(1)).alias("n")).write.json, whole)
+        n = seen.get["n"]
         if not n:
             self.store.end(run_id, "NO_DATA")
             return out | {"status": "NO_DATA", "rows": 0}

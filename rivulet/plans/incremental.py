@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rivulet.operators import merge, normalize, scd
+from rivulet.functions import canonical
+from rivulet.operators import cdf, merge, normalize, reconcile, scd
 from rivulet.operators.ledger import Ledger, id_ranges
 from rivulet.operators.segments import hot_keys
 from rivulet.plans.queries import _HISTORY, _SPEC, LOG, _raw, _scratch, deleted, log, query, read
@@ -136,3 +137,35 @@ def lines_in_splits(spark, d):
     out = read_events(spark, f"{root}/in/part=*")
     number = F.coalesce("event_id", F.regexp_extract("raw_record", '"event_id":"([0-9]+)"', 1))
     return out.select(F.regexp_extract("source_file", "(part=[0-9]+)", 1).alias("part"), "ingestion_order", number.alias("event_id"), "malformed")
+
+
+# ---- tables that are nearly the same, archives of many versions ----
+
+
+@query("""SELECT o_orderkey, 'VALUE' AS mismatch, 'o_totalprice' AS "column" FROM orders WHERE o_orderkey % 997 = 0 AND o_orderkey % 991 <> 0
+  UNION ALL SELECT o_orderkey, 'MISSING', NULL FROM orders WHERE o_orderkey % 991 = 0 UNION ALL SELECT -o_orderkey, 'UNEXPECTED', NULL FROM orders WHERE o_orderkey % 1009 = 0 AND o_orderkey > 0""")
+def reconcile_hashed(spark, d):
+    """A thousandth of the rows differs: only their leaves are moved."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    k = F.col("o_orderkey")
+    actual = o.where(k % 991 != 0).withColumn("o_totalprice", F.when(k % 997 == 0, F.lit(None)).otherwise(F.col("o_totalprice")))
+    extra = o.where((k % 1009 == 0) & (k > 0)).withColumn("o_orderkey", -k)
+    return reconcile.reconcile_hashed(o, actual.unionByName(extra), "o_orderkey")
+
+
+@query("SELECT CAST(event_id % 50 AS BIGINT) AS version, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS sum_key FROM events GROUP BY 1")
+def archive_versions(spark, d):
+    """Events as the feed of 50 versions, archived in five writes, each with the last version of the one before again."""
+    e = read(spark, d, "events").select("event_id", "event_type", F.lit("insert").alias("_change_type"), (F.col("event_id") % 50).alias("_commit_version"))
+    feed = e.withColumn("_commit_timestamp", F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    a = cdf.Archive(spark, _scratch(spark), span=10)
+    for low in range(0, 50, 10):
+        a.write("events", "event_id", feed.where(F.col("_commit_version").between(max(0, low - 1), low + 9)))
+    return a.read("events").groupBy(F.col("_commit_version").alias("version")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("sum_key"))
+
+
+@query("""SELECT 'procw_' || substr(sha256(string_agg(d, '|' ORDER BY g)), 1, 16) AS id FROM (SELECT substr(sha256(k), 1, 3) AS g, sha256(string_agg(k || ':' || h, '|' ORDER BY k || ':' || h)) AS d
+  FROM (SELECT DISTINCT 'orders/' || CAST(o_orderkey AS VARCHAR) AS k, sha256(o_orderpriority) AS h FROM orders) GROUP BY 1)""")
+def manifest_wide(spark, d):
+    files = read(spark, d, "orders").select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("logical_id"), F.sha2("o_orderpriority", 256).alias("content_sha256"))
+    return canonical.manifest_digest_wide(files)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.canonical import manifest_digest
+from rivulet.sources import staging
 
 FIELDS = ("event_id", "table_name", "operation", "event_timestamp", "source_commit_timestamp", "batch_id", "source_system")
 
@@ -103,10 +104,11 @@ QUARANTINED = "quarantine_code string, quarantine_reason string, raw_record stri
 
 def read_normalized(spark: SparkSession, path: str, schema: str, processing: str | None = None) -> DataFrame:
     """The rows of one processing_id= folder, or of all, as write_normalized() left them; none if it isn't there."""
-    own = path if processing is None else f"{path}/processing_id={processing}"
-    if not _exists(spark, own):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(own if processing else f"{path}/processing_id=*")
+    if processing is None:
+        own = f"{path}/processing_id=*" if _exists(spark, f"{path}/processing_id=*") else None
+    else:
+        own = staging.resolve(spark, f"{path}/processing_id={processing}")
+    return spark.read.schema(schema).json(own) if own else spark.createDataFrame([], schema)
 
 
 def write_landing(events: DataFrame, path: str) -> None:
@@ -115,5 +117,5 @@ def write_landing(events: DataFrame, path: str) -> None:
 
 
 def write_normalized(df: DataFrame, path: str, processing: str, *order: str) -> None:
-    """One processing_id= folder of JSON lines in the given order, replaced as a whole."""
-    df.orderBy(*order).write.mode("overwrite").json(f"{path}/processing_id={processing}")
+    """One processing_id= folder of JSON lines in the given order, replaced as a whole: staged, then renamed."""
+    staging.replace(df.sparkSession, f"{path}/processing_id={processing}", df.orderBy(*order).write.json)

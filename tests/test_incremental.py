@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.operators import merge, scd
+from rivulet.functions import canonical
+from rivulet.operators import cdf, merge, reconcile, scd
 from rivulet.operators.ledger import Ledger, id_ranges
 from rivulet.operators.segments import hot_keys, segmented
+from rivulet.sources import staging
 from rivulet.spec import FlowSpec
 from rivulet.streaming.auto_cdc import AutoCdc
 
@@ -150,3 +152,71 @@ def test_one_event_in_a_segment_and_equal_places(spark):
     args = (["k"], "sequence_number", ["a", "b"], ["a"], F.col("operation") == "DELETE")
     e = e.persist()
     assert versions(scd.scd2(e, *args, hot)) == versions(scd.scd2(e, *args))
+
+
+# ---- reconciliation, archive, staged folders ----
+
+
+def test_reconciliation_moves_the_leaves_that_differ(spark):
+    a = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"), F.when(F.col("id") % 7 > 0, F.lit("x")).alias("w"))
+    b = a.where("k <> 11").withColumn("v", F.when(F.col("k").isin(5, 77), F.lit(None)).otherwise(F.col("v"))).withColumn("w", F.when(F.col("k") == 700, F.lit("")).otherwise(F.col("w")))
+    b = b.unionByName(spark.createDataFrame([(-1, 0, None)], "k long, v long, w string"))
+    told = lambda df: sorted(map(str, df.collect()))
+    assert told(reconcile.reconcile_hashed(a, b, "k", 512)) == told(reconcile.reconcile(a, b, "k")) != []
+    cols = ["v", "w"]
+    found = reconcile._differing(*[reconcile.digests(x, "k", cols, 512) for x in (a, b)])
+    assert found.count() == 5
+    assert reconcile.reconcile_hashed(a, a.repartition(7), "k").count() == 0
+    twice = a.unionByName(a.where("k = 3"))
+    assert reconcile._differing(*[reconcile.digests(x, "k", cols, 512) for x in (a, twice)]).count() == 1
+
+
+def test_archive_reads_the_ranges_of_its_input(spark, tmp_path):
+    def feed(low, high):
+        v = spark.range(low * 10, high * 10).select("id", F.lit("insert").alias("_change_type"), F.floor(F.col("id") / 10).alias("_commit_version"))
+        return v.withColumn("_commit_timestamp", F.lit("2026-01-01").cast("timestamp"))
+
+    a = cdf.Archive(spark, str(tmp_path), span=5)
+    for low in range(0, 50, 5):
+        assert a.write("t", "id", feed(max(0, low - 1), low + 5)) == 50
+    assert a.read("t").count() == 500
+    one = len(a.versions("t", 47, 48).inputFiles())
+    assert one <= len(a.versions("t", 2, 3).inputFiles()) and 4 * one < len(a.read("t").inputFiles())
+    assert a.versions("t", 47, 48).count() == 20 and a.write("t", "id", feed(0, 50)) == 0
+
+
+def test_a_folder_is_old_or_new(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table=t" / "batch_id=b")
+    write = lambda n: staging.replace(spark, path, spark.range(n).write.json)
+    count = lambda: spark.read.schema("id long").json(staging.resolve(spark, path)).count()
+    write(3)
+    done = staging._rename
+
+    def stop(at):
+        calls = []
+
+        def rename(*args):
+            calls.append(args)
+            if len(calls) > at:
+                raise KeyboardInterrupt
+            done(*args)
+
+        return rename
+
+    for at in (0, 1):
+        with monkeypatch.context() as m:
+            m.setattr(staging, "_rename", stop(at))
+            with pytest.raises(KeyboardInterrupt):
+                write(5)
+        assert count() == 3
+    with pytest.raises(ValueError):
+        staging.replace(spark, path, spark.range(9).write.json, lambda _: (_ for _ in ()).throw(ValueError()))
+    assert count() == 3
+    write(5)
+    assert count() == 5 and [p.name for p in (tmp_path / "table=t").iterdir()] == ["batch_id=b"]
+
+
+def test_manifest_of_many_files(spark):
+    files = spark.range(100_000).select(F.col("id").cast("string").alias("logical_id"), F.sha2(F.col("id").cast("string"), 256).alias("content_sha256"))
+    ids = {canonical.manifest_digest_wide(x).first()["id"] for x in (files, files.orderBy(F.rand(1)), files.unionByName(files.limit(9)))}
+    assert len(ids) == 1 != canonical.manifest_digest_wide(files.limit(99_999)).first()["id"]

@@ -13,7 +13,7 @@ from .common import arrow_limits, batches
 
 # HTML element names by their part in a page.
 #: Their content is never text of a page.
-HIDDEN = frozenset("script style noscript template head svg math iframe object canvas audio video select textarea button".split())
+HIDDEN = frozenset("script style noscript template head svg annotation annotation-xml iframe object canvas audio video select textarea button".split())
 #: Their content is beside the article.
 BESIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
 #: They begin and end blocks.
@@ -44,7 +44,8 @@ STOP_WORDS = frozenset(
     " sobre su sus también te un una y ya".split()
 )
 
-#: A block of more characters in links than this share is no text; one of SHORT characters or fewer is short, one of LONG or more is long.
+#: A block of more characters in links than this share is no text; one of SHORT characters or fewer is short, one of
+#: LONG or more is long.
 LINKS, SHORT, LONG = 0.33, 70, 200
 #: Shares of stop words that make a block text, or nearly.
 HIGH, LOW = 0.30, 0.12
@@ -260,7 +261,7 @@ def _density(text: str) -> tuple[float, float]:
 
 
 def _first(b: Block, inside: bool) -> str:
-    """good, bad, near (nearly good) or short, by the block alone."""
+    """good, bad, near (nearly good), short, or poor (few stop words, as in code, tables and names), by the block alone."""
     n = len(b.text)
     if b.beside or inside and not b.article:
         return "bad"
@@ -274,16 +275,36 @@ def _first(b: Block, inside: bool) -> str:
     if size <= SHORT:
         return "short"
     if share >= HIGH:
-        return "good" if size >= LONG else "near"
-    return "near" if share >= LOW or b.article else "bad"
+        return "good"
+    return "near" if share >= LOW or b.article else "poor"
+
+
+def _runs(found: list[Block], first: list[str]) -> None:
+    """Nearly good blocks that follow each other, with only short ones between, are good if they are LONG together: lists
+    and paragraphs of a few words each are text as one long paragraph is."""
+    i = 0
+    while i < len(found):
+        if first[i] != "near":
+            i += 1
+            continue
+        k, size = i, 0
+        while k < len(found) and first[k] in ("near", "short"):
+            size += len(found[k].text) if first[k] == "near" else 0
+            k += 1
+        if size >= LONG:
+            for j in range(i, k):
+                first[j] = "good" if first[j] == "near" else first[j]
+        i = k
 
 
 def classify(found: list[Block]) -> None:
     """Labels each block good or bad: first by itself, then short and nearly good ones by the nearest decided blocks.
 
-    Between two good neighbours both kinds are good, between two bad ones bad; else a nearly good block is good, and a
-    short one is if it is nearer to the good one or in the article. Where nothing is decided, the article is good. Blocks
-    beside the article decide none of it, even within it.
+    Between good neighbours all kinds are good, between bad ones none; else a nearly good block is good, a poor one isn't,
+    and a short one is if the good one is no further off, or in the article. Poor ones decide nothing about others. Where
+    nothing is decided, the article and nearly good blocks are good. On a page without a good block, nearly good and poor ones
+    and short sentences are good.
+    Blocks in menus, footers and the like decide nothing about those around.
     """
     own = [b for b in found if b.article and not b.beside]
     # without <main>, the articles in the fewest marked elements are the page's, others are comments and the like
@@ -292,17 +313,24 @@ def classify(found: list[Block]) -> None:
         b.beside = not b.main and b.around > least
     inside = any(not b.beside for b in own)
     first = [_first(b, inside) for b in found]
+    _runs(found, first)
+    if "good" not in first:
+        # code, tables or a few short sentences are then what the page is about
+        sentence = lambda b: not b.heading and _MARKS.search(b.text[-2:]) and " " in b.text
+        first = ["good" if x in ("near", "poor") or x == "short" and sentence(b) else x for x, b in zip(first, found, strict=True)]
     n = len(found)
+    # elements say of the blocks within that they are beside the text, and nothing about those around
+    decides = [first[i] in ("good", "bad") and not (first[i] == "bad" and (b.beside or inside and not b.article)) for i, b in enumerate(found)]
     before, after = [(-1, "")] * n, [(n, "")] * n
     last = (-1, "")
     for i in range(n):
         before[i] = last
-        if first[i] in ("good", "bad") and not (first[i] == "bad" and inside and (found[i].beside or not found[i].article)):
+        if decides[i]:
             last = (i, first[i])
     last = (n, "")
     for i in range(n - 1, -1, -1):
         after[i] = last
-        if first[i] in ("good", "bad") and not (first[i] == "bad" and inside and (found[i].beside or not found[i].article)):
+        if decides[i]:
             last = (i, first[i])
     for i, b in enumerate(found):
         if first[i] in ("good", "bad"):
@@ -310,6 +338,9 @@ def classify(found: list[Block]) -> None:
             continue
         (p, left), (q, right) = before[i], after[i]
         sides = {left, right} - {""}
+        if first[i] == "poor":
+            b.label = "good" if sides == {"good"} else "bad"
+            continue
         if sides == {"good"}:
             b.label = "good"
         elif sides == {"bad"}:
@@ -319,7 +350,7 @@ def classify(found: list[Block]) -> None:
         elif first[i] == "near" or b.article:
             b.label = "good"
         else:
-            b.label = left if i - p < q - i else right
+            b.label = "good" if i - p == q - i else left if i - p < q - i else right
         if b.heading and b.article:
             b.label = "good"
 

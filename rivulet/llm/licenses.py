@@ -10,10 +10,10 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, batches, table
+from .common import arrow_limits, batches, join_hot, table
 
 #: Notices by licence, as public licence texts and their usual headers word them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -101,6 +101,8 @@ def marks(words: list[str]) -> frozenset[str]:
 
 #: Least cosine of a part of a text to a template, and least share of a text's words in such parts for a licence file.
 COSINE, FILE_SHARE = 0.75, 0.3
+#: Least cosine of a title to a notice that says which licence it names.
+NAMED = 0.4
 #: Most lines in a row that are judged as one part.
 JOINED = 4
 
@@ -111,10 +113,24 @@ _AT_ONCE = 1 << 18
 
 
 def full_texts() -> dict[str, str]:
-    """Whole licences by name; of the Creative Commons ones only CC0 is there."""
+    """Whole licences by name, as far as they are kept here. A text close to one of them may be of another licence of its
+    family, which its title then says (see title())."""
     return {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "texts").glob("*.txt"))}
 
 
+#: Words in which a licence's title is looked for.
+TITLE = 60
+
+
+def title(words: list[str]) -> list[str]:
+    """The words up to "license" and the three behind, in which a whole licence names itself and its version; none if it
+    doesn't begin with such a title."""
+    for i, w in enumerate(words[:TITLE]):
+        if w in ("license", "licence"):
+            return words[max(0, i - 6) : i + 4]
+    return []
+
+
 def terms(line: str | list[str]) -> Counter:
     found = [_VERSION.sub("", w) for w in (_WORD.findall(line.lower()) if isinstance(line, str) else line)]
     return Counter(found) + Counter(f"{a} {b}" for a, b in zip(found, found[1:], strict=False))
@@ -251,11 +267,23 @@ class Matcher:
         self.squares = np.array([idf.get(w, other) ** 2 for w in self.terms.names])
         self.notices = _Index([(name, n) for name, notices in templates.items() for n in notices], idf, other, self.terms)
         self.whole = _Index(list(full_texts().items()), idf, other, self.terms)
+        self.titles = {name: marks(title(_WORD.findall(t.lower()))) for name, t in full_texts().items()}
+        self.named = {name: frozenset().union(*(marks(_WORD.findall(n.lower())) for n in notices)) for name, notices in templates.items()}
 
     def scan(self, texts: list[str | None]) -> list[tuple[str | None, float, bool]]:
         """Licence and cosine of the closest part of each whole text, and whether the text is a licence file."""
         return [x for some in _portions(texts) for x in self._scan(self.terms.read(some))]
 
+    def _entire(self, words: list[str]) -> tuple[str | None, float]:
+        """The licence whose whole text words are. Texts of one family agree nearly all along: where the title bears other
+        marks than the closest text's, the licence is the one that the title names among the notices, or none."""
+        name, score = self.whole.match(words)
+        own = marks(title(words))
+        if name is None or score < COSINE or not own or own == self.titles[name]:
+            return name, score
+        other, near = self.notices.match(title(words), apart=True)
+        return (other, score) if other and near >= NAMED and own <= self.named[other] else (None, 0.0)
+
     def _scan(self, read: Reading) -> Iterator[tuple[str | None, float, bool]]:
         """A part's product with a template is a sum over its terms, and its length is at least the root of the sum of its
         terms' squares. So running sums bound every part's cosine from above; parts whose bound suffices are judged."""
@@ -309,7 +337,7 @@ class Matcher:
         for weight in self.whole.weights if len(full) else ():
             near |= over(sums(weight), begin[full], begin[full + 1]) >= bar
         for t in full[near].tolist():
-            name, score = self.whole.match(read.words[begin[t] : begin[t + 1]])
+            name, score = self._entire(read.words[begin[t] : begin[t + 1]])
             if name and score >= COSINE:
                 entire.add(t)
                 best[t] = (-score, name, True)
@@ -334,16 +362,27 @@ def _scan(shared):
     return run
 
 
+def folder_of(path: Column) -> Column:
+    """The folder of a file: "" for the root that relative paths share, "/" for the absolute one."""
+    own = F.regexp_replace(path, "/?[^/]*$", "")
+    return F.when((own == "") & path.startswith("/"), "/").otherwise(own)
+
+
 def inherited(folders: DataFrame, licensed: DataFrame) -> DataFrame:
-    """(folder, inherited, inherited_from): of each folder its own licence or that of its nearest ancestor with one.
+    """(folder, inherited, inherited_from): of each folder its own licence or that of its nearest ancestor with one. The
+    root of relative paths, "", and that of absolute ones, "/", are ancestors of their own kind alone.
 
     folders has each path once; licensed has (folder, license), each folder once. Every folder is joined with its
-    ancestors by path, a row for each level.
+    ancestors by path, a row for each level; folders below one root that many share are dealt apart.
     """
-    parts = F.split("folder", "/")
-    levels = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    up = folders.select("folder", F.explode(levels).alias("at"))
-    hit = up.join(licensed.select(F.col("folder").alias("at"), "license"), "at")
+    root = F.when(F.col("folder").startswith("/"), "/").otherwise("")
+    parts = F.filter(F.split(F.regexp_replace("folder", "^/", ""), "/", -1), lambda p: (p != "") | (F.col("folder").contains("//")))
+    below = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(root, F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    levels = F.concat(F.array(root), F.when(F.size(parts) > 0, below).otherwise(F.array().cast("array<string>")))
+    up = table(folders.select("folder", F.explode(levels).alias("at")))
+    shares = up.groupBy("at").agg(F.count(F.lit(1)).alias("rows"))
+    right = licensed.select(F.col("folder").alias("at"), "license").join(shares, "at")
+    hit = join_hot(up, right, "at", "rows", up.count(), "folder").where("license IS NOT NULL")
     near = hit.groupBy("folder").agg(F.max_by(F.struct("at", "license"), F.length("at")).alias("m"))
     return near.select("folder", F.col("m.license").alias("inherited"), F.col("m.at").alias("inherited_from"))
 
@@ -367,10 +406,14 @@ def license_scan(files: DataFrame) -> DataFrame:
     matcher = spark.sparkContext.broadcast(Matcher(n, n.get("", 0)))
     kind = dict(own.dtypes)
     found = table(own.mapInArrow(_scan(matcher), f"id {kind['id']}, path {kind['path']}, own string, score double, is_file boolean")
-                  .withColumn("folder", F.regexp_replace("path", "/?[^/]*$", "")))
+                  .withColumn("folder", folder_of(F.col("path"))))
+    matcher.unpersist()
     votes = found.where("is_file AND folder IS NOT NULL").groupBy("folder", "own").agg(F.count(F.lit(1)).alias("n"))
     licensed = votes.groupBy("folder").agg(F.min(F.struct(-F.col("n"), "own")).alias("m")).select("folder", F.col("m.own").alias("license"))
-    folders = found.where("folder IS NOT NULL").select("folder").distinct()
-    out = found.join(inherited(folders, licensed).withColumnRenamed("folder", "_f"), F.col("folder") == F.col("_f"), "left")
+    placed = found.where("folder IS NOT NULL")
+    files_in = placed.groupBy("folder").agg(F.count(F.lit(1)).alias("rows"))
+    near = inherited(files_in.select("folder"), licensed).join(files_in, "folder")
+    out = join_hot(placed.withColumn("_file", F.monotonically_increasing_id()), near, "folder", "rows", placed.count(), "_file")
+    out = out.unionByName(found.where("folder IS NULL"), allowMissingColumns=True)
     licence = F.coalesce("own", "inherited")
     return out.select("id", "path", "own", "score", "is_file", licence.alias("license"), F.when(F.col("own").isNull(), F.col("inherited_from")).alias("inherited_from"))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,13 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Tables:
-    """Owns the intermediate tables that are written while it is entered; release() deletes these and no others.
+    """Owns the intermediate tables that are written and the values that are broadcast while it is entered; release()
+    deletes these and no others.
 
     A result may read them, so release() is for use once it is stored.
     """
 
     def __init__(self) -> None:
         self.paths: list[str] = []
+        self.shared: list[Broadcast] = []
 
     def __enter__(self) -> Tables:
         _active.append(self)
@@ -45,6 +48,28 @@ class Tables:
     def release(self, spark: SparkSession) -> None:
         while self.paths:
             _delete(spark, self.paths.pop())
+        while self.shared:
+            self.shared.pop().destroy()
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    """value as a broadcast, owned by the Tables in use: the driver and the executors hold it until these are released."""
+    out = spark.sparkContext.broadcast(value)
+    if _active:
+        _active[-1].shared.append(out)
+    return out
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores behind as it takes to be no column of df's, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def folder(spark: SparkSession, name: str = "rivulet") -> str:

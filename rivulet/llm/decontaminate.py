@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, batches, mix, rolled, run_hashes, table, utf8, words
+from .common import arrow_limits, batches, free, mix, rolled, run_hashes, share, table, utf8, words
 
 #: Words of a window that counts as leaked, and of a k-gram; a window holds WINDOW - GRAM + 1 k-grams.
 WINDOW, GRAM = 10, 4
@@ -176,7 +176,7 @@ def _index(items: DataFrame, index_bytes: int):
     if total > index_bytes:
         return None
     rows = items.collect()  # bounded by index_bytes
-    return items.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], Index([r["text"] for r in rows])))
+    return share(items.sparkSession, ([r["item_id"] for r in rows], Index([r["text"] for r in rows])))
 
 
 # ---- a benchmark of any size, by shuffles ----
@@ -307,15 +307,17 @@ def digest(marked: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """docs without the rows whose text has a leaked window; all columns as they were. Rows without words stay."""
+    """docs without the rows whose text has a leaked window; all columns as they were, whatever their names. Rows without
+    words stay; repeated rows and those without a doc_id are judged by their text like any other."""
     spark = docs.sparkSession
     arrow_limits(spark)
     items = _items(benchmark)
     shared = _index(items, index_bytes)
     if shared is None:
-        rows = table(docs.withColumn("_rid", F.monotonically_increasing_id()))
-        gone = _joined(rows.select(F.col("_rid").alias("rid"), "text"), items)[0].select(F.col("rid").alias("_rid")).distinct()
-        return rows.join(gone, "_rid", "left_anti").drop("_rid")
+        (rid,) = free(docs, "rid")
+        rows = table(docs.withColumn(rid, F.monotonically_increasing_id()))
+        gone = _joined(rows.select(F.col(rid).alias("rid"), "text"), items)[0].select(F.col("rid").alias(rid)).distinct()
+        return rows.join(gone, rid, "left_anti").select(*docs.columns)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value[1]

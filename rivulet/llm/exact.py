@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, table
+from .common import free, join_hot, table
 
 #: A chunk ends after a vowel and white space, once it has LEAST characters, and at MOST characters in any case.
 LEAST, MOST = 512, 4096
@@ -76,10 +76,13 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", identi
 
 
 def keep_exact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose text a row with a larger key has; all columns as they were.
+    """docs without the rows whose text a row with a larger key has; all columns as they were, whatever their names.
 
-    Of rows that share key and text all stay. Only the keys and SHA-256 of the rows that go are joined.
+    Of rows that share key and text all stay; a row without a key stays if no other has its text. Only the keys and SHA-256
+    of the rows that go are joined.
     """
-    gone = exact_dedup(docs, key, text).where("NOT kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("_sha"))
+    k, sha = free(docs, "gone_key", "gone_sha")
+    gone = exact_dedup(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).where("NOT kept")
+    gone = gone.select(F.col("doc_id").alias(k), F.col("text_sha256").alias(sha))
+    same = F.col(key).eqNullSafe(F.col(k)) & (F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col(sha))
     return docs.join(gone.distinct(), same, "left_anti")

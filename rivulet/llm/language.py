@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_limits, batches, utf8
+from .common import LOWER, arrow_limits, batches, share, utf8
 
 #: Longest context in bytes.
 ORDER = 3
@@ -230,7 +230,7 @@ def identify(docs: DataFrame, model: Model | None = None, sample: int = SAMPLE)
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    shared = spark.sparkContext.broadcast(model or learn(docs, sample))
+    shared = share(spark, model or learn(docs, sample))
     held = F.coalesce(F.expr("pmod(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)), 4) = 2"), F.lit(False))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     return own.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
@@ -240,7 +240,7 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs without the rows whose language is und; all columns as they were."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    shared = spark.sparkContext.broadcast(learn(docs, sample))
+    shared = share(spark, learn(docs, sample))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):

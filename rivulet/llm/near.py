@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, batches, drop, join_hot, mix, rolled, run_hashes, table, tasks, utf8, words
+from .common import arrow_limits, batches, drop, free, join_hot, mix, rolled, run_hashes, table, tasks, utf8, words
 
 #: Words of a shingle; a link needs 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 75
@@ -247,25 +247,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     4. The last components follow from all links.
 
     Null, empty and white-space texts have no shingles and are linked with nothing; each such row is its own
-    component. A row with a null doc_id has component_id null, is kept, and takes no part in links. Rows that share a doc_id are one node: what any of them is linked with, all are. An empty table gives an
-    empty result. Other columns are ignored.
+    component. A row with a null doc_id has component_id null, is kept, and takes no part in links. Rows that share a
+    doc_id are linked: what any of them is linked with, all are. If ids are shared by different sets, rows are told by
+    numbers of their own in all steps, and ids come back with the result. An empty table gives an empty result. Other
+    columns are ignored.
     """
     arrow_limits(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, lo long, hi long, buckets array<long>, sketch array<long>"
-    signed = table(slim.mapInArrow(_buckets, schema))
-    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("lo", "hi", "n_shingles").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("n"))
+    signed = table(slim.mapInArrow(_buckets, _SIGNED))
+    one = F.struct("lo", "hi", "n_shingles")
+    shared = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b")
+    if shared.isEmpty():
+        return _linked_rows(slim, signed)
+    rows = table(slim.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    drop(signed)
+    own = rows.select(F.col("row").alias("doc_id"), "text")
+    least = rows.where("row IS NOT NULL").groupBy("doc_id").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ids = rows.where("row IS NOT NULL").select("doc_id", "row")
+    same = join_hot(ids, least, "doc_id", "n", rows.count(), "row").where("a < row").select("a", F.col("row").alias("b"))
+    got = table(_linked_rows(own, table(own.mapInArrow(_buckets, _SIGNED)), same).withColumnsRenamed({"doc_id": "row", "component_id": "component"}))
+    known = got.where("row IS NOT NULL").select("row", "n_shingles", "component").join(ids, "row")
+    first = known.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    out = join_hot(known, first, "component", "n", rows.count(), "row").select("doc_id", "n_shingles", "component_id")
+    none = got.where("row IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+_SIGNED = "doc_id long, n_shingles long, lo long, hi long, buckets array<long>, sketch array<long>"
+
+
+def _linked_rows(slim: DataFrame, signed: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """near_duplicates() of rows (doc_id, text) whose doc_ids have one shingle set each; more has further links (a, b)."""
+    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").withColumn("set", F.concat_ws(":", "lo", "hi", "n_shingles"))
+    n_full = full.count()
+    classes = full.groupBy("set").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("n"))
     # a class of one row is its own; the rest learn theirs by a join whose right side has a row for each class
     several = table(classes.where("n > 1"))
     member = (
-        full.select("doc_id", "lo", "hi", "n_shingles").join(several, ["lo", "hi", "n_shingles"], "left")
+        join_hot(full.select("doc_id", "set"), several, "set", "n", n_full, "doc_id")
         .select("doc_id", F.coalesce("class", "doc_id").alias("class"))
     )
     same = table(member.where("doc_id <> class").distinct())
     heads = full.join(same.select("doc_id").distinct(), "doc_id", "left_anti").select(F.col("doc_id").alias("class"), F.explode("buckets").alias("bucket"))
     count = heads.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last"), F.count(F.lit(1)).alias("size")).where("first < last")
-    found = join_hot(heads, count.select("bucket", "first", "size"), "bucket", "size", BANDS * full.count(), "class")
+    found = join_hot(heads, count.select("bucket", "first", "size"), "bucket", "size", BANDS * n_full, "class")
     met = table(found.where("first IS NOT NULL").select("bucket", "class", "first"))
     texts = _texts(slim, met)
     star = met.where("class > first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
@@ -277,6 +302,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not second.isEmpty():
         known = known.unionByName(verify(second, texts))
     every = known.unionByName(same.select(F.col("class").alias("a"), F.col("doc_id").alias("b")))
+    if more is not None:
+        every = every.unionByName(more)
     final = table(components(every))
     out = signed.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
@@ -303,7 +330,10 @@ def _apart(met: DataFrame, label: DataFrame, signed: DataFrame, texts: DataFrame
         "bucket", "first", "class", F.coalesce("component", "class").alias("component")
     )
     of_first = label.select(F.col("node").alias("first"), F.col("component").alias("of_first"))
-    by = by.join(of_first, "first", "left").select("bucket", "first", "class", "component", F.coalesce("of_first", "first").alias("main"))
+    # a bucket's rows share their first: one of many rows is dealt apart
+    by = table(by)
+    sizes_of = by.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    by = join_hot(by, of_first.join(sizes_of, "first"), "first", "n", by.count(), "class").select("bucket", "first", "class", "component", F.coalesce("of_first", "first").alias("main"))
     by = table(by.where("class <> first"))
     outside = F.count_if(F.col("component") != F.col("main"))
     split = by.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), outside.alias("outside")).where("outside > 0")
@@ -353,6 +383,8 @@ def _parts(rows: str, total: int, few: int) -> Column:
 
 
 def keep_near(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, that with the least doc_id; all columns as they were."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs with one row of each component, that with the least doc_id; all columns as they were, whatever their names.
+    Rows that share that doc_id all stay, and so do those without a doc_id."""
+    (name,) = free(docs, "gone")
+    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from .tokens import default_path, encoder
 DIMS, BITS, BUCKETS = 3, 16, 1 << 14
 
 ENCODED = "rid long, doc_id long, curve long, n long, width int, ids binary"
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def projection(dims: int = DIMS, buckets: int = BUCKETS) -> np.ndarray:
@@ -100,11 +99,11 @@ def _cut(length: int):
                 while a < n:
                     seq, off = divmod(begin + a, length)
                     z = min(n, a + length - off)
-                    out.append((doc, a, z - a, crc32(ids[a:z].tobytes()), n, seq, off))
+                    out.append((doc, a, z - a, n, seq, off, ids[a:z].tobytes()))
                     a = z
             cols = list(zip(*out, strict=True)) or [[]] * 7
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+            names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for c, k in zip(cols, names, strict=True)], names=names)
 
     return run
 
@@ -112,7 +111,8 @@ def _cut(length: int):
 def pack(docs: DataFrame, path: str | None = None, length: int = 4096, end: int = 2) -> DataFrame:
     """Cuts the documents, laid end to end along the curve, into sequences of length ids; the last may be shorter.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, a row for each piece. Documents of equal
+    Returns doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit ids) and
+    ids_crc32 (theirs), a row for each piece. Documents of equal
     key on the curve follow by doc_id, then by a row number, so one key may fill any number of partitions. A null text
     is empty and has the end id alone. Rows with equal doc_id are packed each; those with a null one come first of their
     key. Texts of any length are cut whole. An empty table gives an empty result. Other columns are ignored.
@@ -124,4 +124,5 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 4096, end: int
     begins = ordered(encoded.select("curve", "doc_id", "rid", "n"), ["curve", "doc_id", "rid"], {"begin": "n"}).select("rid", "begin")
     # begins has a row for each document: it grows with the input and is never broadcast
     joined = encoded.join(begins.hint("merge"), "rid").select("doc_id", "begin", "n", "width", "ids")
-    return joined.mapInArrow(_cut(length), PIECES)
+    return joined.mapInArrow(_cut(length), PIECES).withColumn("ids_crc32", F.crc32("ids"))
+

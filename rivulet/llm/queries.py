@@ -32,7 +32,7 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
+    return suffixes.remove_repeats(_read(spark, sf_dir, "documents")).drop("spans")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), length=4096, end=2)
+    return packing.pack(_read(spark, sf_dir, "documents"), length=4096, end=2).drop("ids")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

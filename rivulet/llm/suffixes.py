@@ -242,21 +242,26 @@ def _settle(n: int):
     return run
 
 
-JUDGED = "kind int, doc_id long, row binary, text binary, places binary, gram long, before int, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_NAMES = [x.split()[0] for x in JUDGED.split(", ")]
-_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+JUDGED = "kind int, doc_id long, row binary, text binary, places binary, gram long, before int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>"
+_NAMES = [x.split()[0] for x in JUDGED.split("<")[0].split(", ")]
+_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPANS]
 
 
-def digest(text: bytes, first: np.ndarray, last: np.ndarray, span: int = SPAN) -> tuple[int, int, int, str]:
-    """n_bytes, n_removed, n_spans and kept_sha256 of a text without the strings that begin at first to last."""
+def digest(text: bytes, first: np.ndarray, last: np.ndarray, span: int = SPAN) -> tuple[int, int, int, str, list[dict]]:
+    """n_bytes, n_removed, n_spans, kept_sha256 and spans (bytes begin to end are removed) of a text without the strings
+    that begin at first to last."""
     n = len(text)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, first, 1)
     np.add.at(edge, last + span, -1)
     gone = np.cumsum(edge[:-1]) > 0
-    spans = int((gone & ~np.append(False, gone[:-1])).sum()) if n else 0
+    if not gone.any():
+        return n, 0, 0, hashlib.sha256(text).hexdigest(), []
+    turn = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).tolist()
+    spans = [{"begin": a, "end": z} for a, z in zip(turn[::2], turn[1::2], strict=True)]
     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-    return n, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
+    return n, int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -294,7 +299,7 @@ def _judge(n: int):
                 text, own = whole[offsets[r] : offsets[r + 1]], covered[lo:hi]
                 p, q = first[lo:hi][own], last[lo:hi][own]
                 if any_mixed[r]:
-                    out.append((1, doc, hashlib.sha256(text).digest()[:8], text, np.stack((p, q)).astype("<i8").tobytes(), None, None, None, None, None, None))
+                    out.append((1, doc, hashlib.sha256(text).digest()[:8], text, np.stack((p, q)).astype("<i8").tobytes(), None, None, None, None, None, None, None))
                 else:
                     out.append((0, doc, None, None, None, None, None, *digest(text, p, q)))
             yield _batch(out)
@@ -309,7 +314,7 @@ def _judge(n: int):
                 places = x[i].astype("<i8").tobytes()
                 p, q, before = (begin[i] + x[i]).tolist(), (begin[i] + y[i] + SPAN).tolist(), (middle[i] + SIDE - x[i]).tolist()
                 for k, r in enumerate(row[i].tolist()):
-                    out.append((2, ids[r], names[r], whole[p[k] : q[k]], places[8 * k : 8 * k + 8], keys[k], before[k], None, None, None, None))
+                    out.append((2, ids[r], names[r], whole[p[k] : q[k]], places[8 * k : 8 * k + 8], keys[k], before[k], None, None, None, None, None))
                     if len(out) == 20_000:
                         yield _batch(out)
                         out = []
@@ -561,13 +566,14 @@ def _finish(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append(digest(text, np.concatenate((first, one)), np.concatenate((last, one))))
         cols = list(zip(*out, strict=True))
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPANS), strict=True))],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
         )
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs, its text taken as UTF-8 bytes.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (bytes from begin up to end are removed, maximal, in order)
+    of every row of docs, its text taken as UTF-8 bytes. cut() removes spans from texts.
 
     Removed is each byte within a string of 50 bytes that also begins in a row with a smaller doc_id; strings are those of
     the input and don't cross documents. A null text is empty; texts under 50 bytes lose nothing; a passage repeated in
@@ -593,8 +599,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = spans.unionByName(dealt.where("starts IS NOT NULL").select("doc_id", "row", "starts"))
     by = spans.groupBy("doc_id", "row").agg(F.collect_list("starts").alias("starts"))
     rest = judged.where("kind = 1").select("doc_id", "row", "text", "places").join(by, ["doc_id", "row"], "left")
-    digests = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    out = judged.where("kind = 0").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(
+    digests = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>"
+    out = judged.where("kind = 0").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans").unionByName(
         rest.select("doc_id", "text", "places", "starts").mapInArrow(_finish, digests)
     )
     return out.withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
+
+
+def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id and kept (binary: a cut may split a character) of rows of docs, without the spans that remove_repeats() has
+    found. doc_id names one row each."""
+    spark = docs.sparkSession
+    arrow_limits(spark, 1000)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(frames):
+            out = []
+            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                raw, at, parts = (text or "").encode(), 0, []
+                for s in spans or []:
+                    parts.append(raw[at : s["begin"]])
+                    at = s["end"]
+                out.append(b"".join([*parts, raw[at:]]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "kept"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found.select("doc_id", "spans"), "doc_id", "left")
+    return own.mapInArrow(run, "doc_id long, kept binary")

@@ -9,19 +9,23 @@ from pyspark.sql import functions as F
 
 from .common import free, join_hot, table
 
-#: A chunk ends after a vowel and white space, once it has LEAST characters, and at MOST characters in any case.
+#: A chunk has more than LEAST bytes, but for a text's last one, and MOST at most.
 LEAST, MOST = 512, 4096
 
 
 def chunk_pattern(least: int = LEAST, most: int = MOST) -> str:
-    return rf"(?s).{{{least},{most - 1}}}?[aeiou.]\s|.{{1,{most}}}"
+    """Of UTF-8 in hexadecimal, two digits a byte: a chunk ends, after least bytes or more, with the first three characters
+    whose last bytes are 0, 1 and 2 modulo 4. So about one character in 64 ends a chunk, whatever the script, and what
+    stands before the chunk has no part in it."""
+    last = "".join(f"(?:[0-7]{c}|[C-F].(?:[89AB].){{0,2}}[89AB]{c})(?![89AB])" for c in ("[048C]", "[159D]", "[26AE]"))
+    return f"(?:..){{{least},{most - 12}}}?{last}|(?:..){{1,{most}}}"
 
 
 def recipes(docs: DataFrame, least: int = LEAST, most: int = MOST, identify: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """A table of (doc_id, text_sha256, chunks): the identifier and the SHA-256 of each chunk that the content-defined
     rule cuts, in order. Texts are read once and stay where they are read."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = F.regexp_extract_all(text, F.lit(chunk_pattern(least, most)), F.lit(0))
+    cut = F.regexp_extract_all(F.hex(text), F.lit(chunk_pattern(least, most)), F.lit(0))
     chunk = F.transform(cut, lambda c: F.struct(identify(c).cast("string").alias("id"), F.unhex(F.sha2(c, 256)).alias("sha")))
     return table(docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), chunk.alias("chunks")))
 

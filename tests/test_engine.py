@@ -4,6 +4,7 @@ import json
 from dataclasses import replace
 from pathlib import Path
 
+import billing as generator
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,11 +14,10 @@ from rivulet.errors import (
 )
 from rivulet.operators import cdf, merge, mutation, normalize, reconcile, validate, watermark
 from rivulet.plans import flows
-from rivulet.sources import generator
 from rivulet.sources.control import ControlStore
 from rivulet.sources.events import QUARANTINED, processing_id, read_events, read_events_strict, read_normalized
 from rivulet.sources.vtable import VersionedTable
-from rivulet.spec import DOMAIN, conform
+from rivulet.spec import DOMAIN, conform, project_events
 
 STAMP = "2026-09-01T00:00:00Z"
 
@@ -217,6 +217,24 @@ def test_domain_pipeline(spark, tmp_path):
         p.flow(p.flows["accounts_continuous_cdc"])
 
 
+def test_scenario_against_events_one_by_one(spark, tmp_path):
+    """The change scenario through normalisation and merge, against its events applied one after the other."""
+    shot = generator.Snapshot(spark)
+    generator.write_scenario(spark, generator.scenario(shot.dicts()), str(tmp_path / "landing"))
+    n = normalize.normalize(read_events(spark, str(tmp_path / "landing/batch_id=*/table=*")))
+    assert {r["disposition"]: r["count"] for r in n.events.groupBy("disposition").count().collect()} == {"ACCEPTED": 12, "DUPLICATE": 1, "QUARANTINED": 7}
+    m = normalize.run(spark, [str(tmp_path / "landing/batch_id=*/table=*")], str(tmp_path / "normalized"))
+    p = merge.MergePipeline(spark, str(tmp_path / "lake"), buckets=2)
+    p.initialize(shot.tables())
+    events = read_normalized(spark, str(tmp_path / "normalized/accepted"), merge.ACCEPTED, m["processing_id"])
+    p.run(events, m["processing_id"])
+    expected = {}
+    for t, spec in DOMAIN.items():
+        expected[t] = mutation.Mutations(conform(shot.tables()[t], spec), project_events(events, spec), spec.key, ("event_id",)).records()
+    got = reconcile.row_counts(expected, {t: p.read(t, metadata=False) for t in DOMAIN}).collect()
+    assert {r["table_name"]: (r["expected"], r["actual"]) for r in got} == {"accounts": (41, 41), "subscriptions": (61, 61), "invoices": (121, 121), "payments": (90, 90)}
+
+
 def test_readers_and_ids(spark, tmp_path):
     assert read_normalized(spark, str(tmp_path / "none"), QUARANTINED, "p").count() == 0
     path = land(tmp_path, "b1", event("e1", "INSERT", 9, 1), "bad")

@@ -13,6 +13,8 @@ from .common import arrow_limits, batches, mix, ordered, portions, table, utf8
 from .tokens import default_path, encoder
 
 DIMS, BITS, BUCKETS = 3, 16, 1 << 14
+#: Distinct words that a worker keeps the ids of: with more of them, two workers and a full heap outgrow an executor.
+WORDS = 400_000
 
 ENCODED = "rid long, doc_id long, curve long, n long, width int, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -73,6 +75,7 @@ def _encode(path: str, end: int):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        enc.cap = WORDS
         width = 2 if max(enc.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         for b in portions(frames):
             ids, at = enc.encode_ended(*utf8(b.column("text")), end)

@@ -56,14 +56,15 @@ def wave_groups(events: DataFrame, key: str = "business_key_canonical") -> DataF
     return per.groupBy("table_name", "sequence_number").agg(F.sum("n").alias("events"), (F.max("n") > 1).alias("ambiguous"))
 
 
-def fold(events: DataFrame, keys: list[str], seq: str, op: str, columns: list[str], policy: str) -> DataFrame:
+def fold(events: DataFrame, keys: list[str], seq: str, op: str, columns: list[str], policy: str, last: tuple[str, ...] = ()) -> DataFrame:
     """One row a key: what applying its events in order leads to. Has last_op, has_upsert and, for each column, the image
-    of the latest event (HARD) or of the latest that isn't a DELETE (SOFT)."""
+    of the latest event (HARD) or of the latest that isn't a DELETE (SOFT); with last, a struct _l of these columns of the
+    latest event."""
     image = F.struct(*columns)
     live = F.when(F.col(op) != "DELETE", F.col(seq))
     best = F.max_by(image, live) if policy == SOFT else F.max_by(image, F.col(seq))
-    out = events.groupBy(*keys).agg(best.alias("_i"), F.max_by(op, seq).alias("last_op"), F.max(seq).alias("last_sequence"), F.count(live).alias("upserts"))
-    return out.select(*keys, *[F.col(f"_i.{c}").alias(c) for c in columns], "last_op", "last_sequence", (F.col("upserts") > 0).alias("has_upsert"))
+    out = events.groupBy(*keys).agg(best.alias("_i"), F.max_by(op, seq).alias("last_op"), F.max(seq).alias("last_sequence"), F.count(live).alias("upserts"), *([F.max_by(F.struct(*last), seq).alias("_l")] if last else []))
+    return out.select(*keys, *[F.col(f"_i.{c}").alias(c) for c in columns], "last_op", "last_sequence", (F.col("upserts") > 0).alias("has_upsert"), *(["_l"] if last else []))
 
 
 def apply_changes(target: DataFrame, events: DataFrame, key: str, columns: list[str], policy: str) -> tuple[DataFrame, DataFrame]:
@@ -73,9 +74,8 @@ def apply_changes(target: DataFrame, events: DataFrame, key: str, columns: list[
     nothing. An upsert inserts or updates, whatever its operation says, and clears a mark.
     """
     images = [c for c in columns if c != key]
-    folded = fold(events, [key], "_last_sequence_number", "_last_operation", images, policy)
-    lineage = events.groupBy(key).agg(F.max_by(F.struct(*LINEAGE), "_last_sequence_number").alias("_l"))
-    source = folded.join(lineage, key).select(F.col(key).alias("_k"), F.struct(*images, "last_op", "has_upsert").alias("_n"), "_l")
+    folded = fold(events, [key], "_last_sequence_number", "_last_operation", images, policy, tuple(LINEAGE))
+    source = folded.select(F.col(key).alias("_k"), F.struct(*images, "last_op", "has_upsert").alias("_n"), "_l")
     old = target.select(F.col(key).alias("_ok"), F.struct(*target.columns).alias("_o"))
     both = old.join(source, F.col("_ok") == F.col("_k"), "full_outer")
     had, hit, deleted = F.col("_o").isNotNull(), F.col("_n").isNotNull(), F.col("_n.last_op") == "DELETE"

@@ -76,6 +76,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
     return Model({k: counts.get(k, (np.zeros(0, np.uint64), np.zeros(0, np.int64))) for k in sorted(limits)}, order)
 
 
+#: Bytes that a model may take: the driver builds it, and every worker holds it.
+MODEL_BYTES = 1 << 29
 #: Contexts whose costs are worked out at once.
 _ROWS = 1 << 10
 
@@ -96,10 +98,11 @@ class Model:
 
     After a context seen n times with d distinct bytes, a byte seen c times there costs -log2(c / (n + d)); another byte
     costs the escape, -log2(d / (n + d)), and then what it costs after the context less its first byte; under the empty
-    context a byte is one of 256. A context not seen costs nothing. Counts stay as learnt.
+    context a byte is one of 256. A context not seen costs nothing. Counts stay as learnt. The costs are a table of
+    languages by contexts by bytes: one that would take more than most bytes isn't built.
     """
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, most: int = MODEL_BYTES):
         self.langs, self.order = list(counts), order
         seen = np.unique(np.concatenate([g & np.uint64(255) for g, _ in counts.values()] or [np.zeros(0, np.uint64)]))
         # symbol 0: before the row; 1: a byte not learnt; then the bytes learnt
@@ -121,6 +124,9 @@ class Model:
         self.levels = [np.unique(known & ((1 << (self.bits * k)) - 1)) for k in range(order + 1)]
         first = np.cumsum([0] + [len(x) for x in self.levels])
         size = int(first[-1])
+        need = 4 * len(self.langs) * max(1, size) * self.base + (4 << (self.bits * order))
+        if need > most:
+            raise ValueError(f"a model of {len(self.langs)} languages and {size} contexts takes {need} bytes, {most} are allowed: learn from fewer rows or a smaller order")
         self.cost = np.zeros((len(self.langs), max(1, size), self.base), np.float32)
         for lang, (parts, n) in enumerate(per):
             below = np.full((1, self.base), 8.0)

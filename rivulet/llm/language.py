@@ -77,7 +77,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
 
 
 #: Bytes that a model may take: the driver builds it, and every worker holds it.
-MODEL_BYTES = 1 << 29
+MODEL_BYTES = 1 << 28
 #: Contexts whose costs are worked out at once.
 _ROWS = 1 << 10
 

@@ -13,6 +13,8 @@ from rivulet.sources import staging
 from rivulet.sources.events import logical_file_id, processing_id, read_events, write_normalized
 from rivulet.spec import DOMAIN, TableSpec
 
+#: The order in which accepted events apply: by entity, and in it by number.
+AUTHORITATIVE = ("table_name", "business_key_canonical", "sequence_number", "event_id")
 ARRIVAL = ("batch_id", "ingestion_batch_id", "source_file", "ingestion_order")
 
 
@@ -25,6 +27,17 @@ def classify_duplicates(df: DataFrame, event: str = "event_id", fingerprint: str
     return df.withColumn("duplicate_class", F.when(differ, "CONFLICT").when(rank == 1, "KEEP").otherwise("EXACT_DUPLICATE"))
 
 
+def duplicate_counts(df: DataFrame) -> DataFrame:
+    """One row of what classify_duplicates() has told: raw = accepted + duplicates + quarantined. One pass, no shuffle of rows."""
+    n = lambda x, c: F.count_if(F.col("duplicate_class") == x).alias(c)
+    return df.agg(F.count(F.lit(1)).alias("raw"), n("KEEP", "accepted"), n("EXACT_DUPLICATE", "duplicates"), n("CONFLICT", "quarantined"))
+
+
+def positions(df: DataFrame, entity: tuple[str, ...] = AUTHORITATIVE[:2], order: tuple[str, ...] = AUTHORITATIVE[2:]) -> DataFrame:
+    """Adds position, from 1: the place of each event among those of its entity, in the order in which they apply."""
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(*entity).orderBy(*order)).cast("long"))
+
+
 def flag_sequence_collisions(df: DataFrame, entity: str = "entity_sequence_key", seq: str = "sequence_number") -> DataFrame:
     """Adds sequence_conflict: another event of the entity has the same number."""
     return df.withColumn("sequence_conflict", F.count(F.lit(1)).over(Window.partitionBy(entity, seq)) > 1)
@@ -115,10 +128,6 @@ def normalize(raw: DataFrame, specs: dict[str, TableSpec] = DOMAIN) -> Normalize
     return Normalized(accepted, quarantined, every, (v, own))
 
 
-#: The order in which accepted events apply, and that of quarantined ones.
-AUTHORITATIVE = ("table_name", "business_key_canonical", "sequence_number", "event_id")
-
-
 def run(spark: SparkSession, paths: list[str], out: str, specs: dict[str, TableSpec] = DOMAIN) -> dict:
     """Reads, normalises and writes processing_id= folders under accepted and quarantine; a replay writes the same bytes."""
     processing = processing_id(spark, *paths)

@@ -179,8 +179,7 @@ def conflict_ids(spark, d):
 @query("""SELECT count(*) AS raw, count(*) FILTER (WHERE class = 'KEEP') AS accepted, count(*) FILTER (WHERE class = 'EXACT_DUPLICATE') AS duplicates,
   count(*) FILTER (WHERE class = 'CONFLICT') AS quarantined FROM classes""", LOG, COPIES, FP, _CLASSES)
 def dedupe_metrics(spark, d):
-    n = lambda x, c: F.count_if(F.col("duplicate_class") == x).alias(c)
-    return _classes(spark, d).agg(F.count(F.lit(1)).alias("raw"), n("KEEP", "accepted"), n("EXACT_DUPLICATE", "duplicates"), n("CONFLICT", "quarantined"))
+    return normalize.duplicate_counts(_classes(spark, d))
 
 
 @query("SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS sequence_conflict FROM lineitem)")
@@ -191,9 +190,7 @@ def seq_conflicts(spark, d):
 
 @query("SELECT user_id, event_id, op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position FROM log", LOG)
 def ordered_accept(spark, d):
-    from pyspark.sql import Window
-
-    return log(spark, d).select("user_id", "event_id", "op", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("position"))
+    return normalize.positions(log(spark, d).select("user_id", "event_id", "op"), ("user_id",), ("event_id",))
 
 
 @query("""SELECT event_id, batch, coalesce(ts < prior, false) AS is_late_arrival FROM log JOIN

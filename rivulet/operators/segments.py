@@ -24,13 +24,13 @@ def hot_keys(rows: DataFrame, keys: list[str], seq: str, few: int | None = None)
         counts.unpersist()
     if local.isEmpty():
         return None
-    cuts = _beside(rows, local, keys).where("_hot").groupBy(*keys)
+    cuts = beside(rows, local, keys).where("_hot").groupBy(*keys)
     cuts = cuts.agg(F.percentile_approx(seq, [i / few for i in range(1, few)], 10 * few).alias("_cuts"))
     return spark.createDataFrame(cuts.collect(), cuts.schema)
 
 
-def _beside(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the columns of hot besides the keys, null keys being equal, and _hot. hot is a small local table."""
+def beside(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of hot besides the keys, null keys being equal, and _hot. hot is a small table."""
     other = hot.select(*[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)], *[c for c in hot.columns if c not in keys], F.lit(True).alias("_hot"))
     same = F.lit(True)
     for i, k in enumerate(keys):
@@ -39,9 +39,16 @@ def _beside(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def segmented(rows: DataFrame, hot: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """rows with _seg, the number of a hot key's splitters below seq, 0 for other keys. Equal places share a segment."""
-    below = F.size(F.filter("_cuts", lambda x: x < F.col(seq)))
-    return _beside(rows, hot, keys).withColumn(SEG, F.when(F.col("_hot"), below).otherwise(0)).drop("_cuts", "_hot")
+    """rows with _seg: of a hot key 1 and the number of its splitters below seq, of other keys 0. Equal places share a segment.
+
+    The splitters are in order, so that a row is compared with the logarithm of their number, not with each of them: by
+    steps of halved width. One expression with a variable, as columns made of each other are written out when a filter on
+    the last is pushed below them.
+    """
+    most = max((r[0] for r in hot.select(F.size("_cuts")).collect()), default=0)
+    widths = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, most.bit_length())))])
+    below = F.aggregate(widths, F.lit(0), lambda at, width: at + F.when(F.get("_cuts", at + width - 1) < F.col(seq), width).otherwise(0))
+    return beside(rows, hot, keys).withColumn(SEG, F.when(F.col("_hot"), below + 1).otherwise(0)).drop("_cuts", "_hot")
 
 
 def along(keys: list[str]):

@@ -154,6 +154,29 @@ def test_one_event_in_a_segment_and_equal_places(spark):
     assert versions(scd.scd2(e, *args, hot)) == versions(scd.scd2(e, *args))
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_splitters_are_searched_not_listed(spark):
+    cuts = [1, 1, 3, 5, 8, 8, 13]
+    hot = spark.createDataFrame([(1, cuts)], "k int, _cuts array<long>")
+    e = spark.createDataFrame([(k, i) for k in (1, 2) for i in [*range(-1, 16), None]], "k int, s long")
+    out = segmented(e, hot, ["k"], "s")
+    assert {(r["k"], r["s"], r["_seg"]) for r in out.collect()} == {(k, s, 0 if k == 2 else 1 + sum(c < s for c in cuts if s is not None)) for k, s in map(tuple, e.collect())}
+    assert " filter(" not in plan(out)
+
+
+def test_history_is_one_window_over_its_events(spark):
+    e = spark.createDataFrame([(1, 1, "UPDATE", "x", 1), (None, 2, "UPDATE", "x", 1), (None, 3, "DELETE", "x", 1), (1, None, "UPDATE", "x", 0), (1, 4, "UPDATE", "x", 2)], EVENT)
+    args = (["k"], "sequence_number", ["a", "b"], ["a"], F.col("operation") == "DELETE")
+    h = scd.scd2(e, *args)
+    assert "Join" not in plan(h) and "Aggregate" not in plan(h)
+    assert versions(h) == [(1, "x", 2, 1, None), (None, "x", 1, 2, 3)]
+    hot = spark.createDataFrame([(1, [1, 2, 3]), (None, [1, 2, 3])], "k int, _cuts array<long>")
+    assert versions(scd.scd2(e, *args, hot)) == versions(h)
+
+
 # ---- reconciliation, archive, staged folders ----
 
 

@@ -91,7 +91,7 @@ def normalize(raw: DataFrame, specs: dict[str, TableSpec] = DOMAIN) -> Normalize
 
     Lower-case operations, which the lenient rules accept, are turned to upper case, so that they take effect.
     """
-    v = validate_first(raw, specs).persist()
+    v = validate_first(raw, specs)
     own = v.withColumns({
         "source_file": logical_file_id(F.col("source_file")),
         "operation": F.when(F.col("quarantine_code").isNull(), F.upper(F.trim("operation"))).otherwise(F.col("operation")),
@@ -125,7 +125,7 @@ def normalize(raw: DataFrame, specs: dict[str, TableSpec] = DOMAIN) -> Normalize
     quarantined = every.where("disposition = 'QUARANTINED'").select(
         "quarantine_code", "quarantine_reason", "raw_record", "event_id", "table_name", "source_file", "batch_id"
     )
-    return Normalized(accepted, quarantined, every, (v, own))
+    return Normalized(accepted, quarantined, every, (own,))
 
 
 def run(spark: SparkSession, paths: list[str], out: str, specs: dict[str, TableSpec] = DOMAIN) -> dict:

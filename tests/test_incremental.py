@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.functions import canonical
-from rivulet.operators import cdf, merge, reconcile, scd
+from rivulet.operators import cdf, merge, normalize, reconcile, scd
 from rivulet.operators.ledger import Ledger, id_ranges
 from rivulet.operators.segments import hot_keys, segmented
+from rivulet.plans import queries
 from rivulet.sources import staging
 from rivulet.spec import FlowSpec
 from rivulet.streaming.auto_cdc import AutoCdc
@@ -177,6 +178,16 @@ def test_history_is_one_window_over_its_events(spark):
     assert versions(scd.scd2(e, *args, hot)) == versions(h)
 
 
+def test_events_are_kept_once_and_judged_by_many_tasks(spark):
+    n = normalize.normalize(queries._raw(spark, "/root/testdata/sf0.001"), queries._SPEC)
+    try:
+        kept = n.kept[-1]._jdf.queryExecution()
+        assert "InMemoryRelation" not in kept.analyzed().toString() and len(n.kept) == 1
+        assert "RepartitionByExpression" in kept.optimizedPlan().toString() or "RepartitionByExpression" in kept.analyzed().toString()
+    finally:
+        n.release()
+
+
 # ---- reconciliation, archive, staged folders ----
 
 

@@ -79,13 +79,14 @@ def ledger_incremental(spark, d):
 
 @query("SELECT user_id, event_type, value, start_at, end_at FROM history", LOG, _HISTORY, value=True)
 def scd2_incremental(spark, d):
-    """Eight batches in no order of time: each splices the versions around its events into the history."""
+    """Eight batches in no order of time: each makes anew the versions of its keys."""
     root, e = _scratch(spark), log(spark, d)
     own = e.select("user_id", F.col("event_id").alias("sequence_number"), F.col("op").alias("operation"), "event_type", "value", F.pmod(F.xxhash64("event_id"), F.lit(8)).alias("part"))
-    own.repartition("part").write.partitionBy("part").parquet(f"{root}/in")
+    own.hint("rebalance", "part").write.partitionBy("part").parquet(f"{root}/in")
+    own = spark.read.schema(own.schema).parquet(f"{root}/in")
     cdc = AutoCdc(spark, root, FlowSpec("users", ("user_id",), scd_type=2, track_history=("event_type",)), ("event_type", "value"), buckets=4)
     for part in range(8):
-        cdc.apply(spark.read.parquet(f"{root}/in").where(F.col("part") == part).drop("part"))
+        cdc.apply(own.where(F.col("part") == part).drop("part"))
     out = cdc.result()
     return out.withColumns({"start_at": F.col(scd.START_AT).cast("string"), "end_at": F.col(scd.END_AT).cast("string")}).drop(scd.START_AT, scd.END_AT)
 

@@ -183,11 +183,19 @@ class VersionedTable:
             told.write.parquet(where)
         return self._commit(old | self._new(version, operation, old["properties"], schema, buckets, where, metrics or {}, stamp))
 
-    def append(self, df: DataFrame, operation: str = "APPEND", base: int | None = None) -> int:
+    def stage(self, df: DataFrame, base: int | None = None) -> tuple[dict[str, list[str]], DataFrame]:
+        """Writes rows as append() does, without a commit: the files by bucket, which only append() can make part of the
+        table, and the rows as they were written, to be read as often as needed."""
+        old = self.log(base)
+        files = self._write(df, int(old["properties"]["buckets"]))
+        own = [d for dirs in files.values() for d in dirs]
+        return files, self.spark.read.schema(df.schema).parquet(*own) if own else df.limit(0)
+
+    def append(self, df: DataFrame, operation: str = "APPEND", base: int | None = None, staged: dict[str, list[str]] | None = None) -> int:
         """Adds rows as files of their own, in the buckets of their keys; nothing is read or written again. With base,
-        another commit since that version is a conflict."""
+        another commit since that version is a conflict. staged: df's files, as stage() has written them."""
         old = self.log(base)
-        new = self._write(df, int(old["properties"]["buckets"]))
+        new = self._write(df, int(old["properties"]["buckets"])) if staged is None else staged
         now = {b: old["buckets"].get(b, []) + new.get(b, []) for b in sorted({*old["buckets"], *new})}
         return self._changed(old, StructType.fromJson(old["schema"]), operation, now, df.withColumn("_change_type", F.lit("insert")), None)
 

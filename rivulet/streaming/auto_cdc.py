@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators import scd
@@ -18,7 +18,8 @@ class AutoCdc:
 
     SCD 1 targets hold tombstones (_deleted, with the time they came) and the sequence of each key; purge() drops those
     older than the flow's retention. SCD 2 targets hold the versions, and beside them a table of the events they are made of:
-    a batch makes anew the versions around its events, and rewrites the buckets of its keys alone. A batch that is repeated after a crash has no second effect, as equal sequences
+    a batch makes anew the versions of its keys (of their buckets, if it has more than few events), and rewrites the buckets of
+    its keys alone. A batch that is repeated after a crash has no second effect, as equal sequences
     lose to what is stored. Several flows may have one target, first the one that runs once.
     """
 
@@ -27,6 +28,8 @@ class AutoCdc:
     flow: FlowSpec
     columns: tuple[str, ...]
     buckets: int = 8
+    #: Events of a batch up to which its keys are broadcast.
+    few: int = 100_000
 
     @property
     def table(self) -> VersionedTable:
@@ -64,32 +67,28 @@ class AutoCdc:
         base, touched = t.version(), t.touched(own)
         if not touched:
             return
-        old = t.read(base, touched)
         if f.scd_type == 1:
+            old = t.read(base, touched)
             new = scd.scd1_merge(old, own, list(f.keys), f.sequence_by, [*self.columns, "_deleted_at"], F.col("_deleted"), f.ignore_null_updates)
             new = new.withColumn("_deleted_at", F.when(F.col("_deleted"), F.col("_deleted_at")))
             t.replace(new.select(*old.columns), touched, "AUTO CDC", base=base)
         else:
-            self._splice(own, old, touched, base)
+            self._splice(own, touched, base)
 
-    def _splice(self, own: DataFrame, old: DataFrame, touched: list[int], base: int) -> None:
+    def _splice(self, own: DataFrame, touched: list[int], base: int) -> None:
         """The versions first, then the events: a batch that is repeated after a crash between finds its events missing,
         and making the same versions again changes nothing."""
-        f, known = self.flow, self.events.read(buckets=touched)
-        keys = [*f.keys, f.sequence_by]
-        fresh = own.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti").select(*known.columns).persist()
-        try:
-            if fresh.isEmpty():
-                return
-            own_track = list(f.track_history or self.columns)
-            new = scd.splice(old, known, fresh, list(f.keys), f.sequence_by, list(self.columns), own_track, "_deleted")
-            met = self.table.touched(fresh)
-            if len(met) < len(touched):
-                new = new.where(self.table.bucket(int(self.table.properties()["buckets"])).isin(met))
-            self.table.replace(new, met, "AUTO CDC", base=base)
-            self.events.append(fresh, "AUTO CDC")
-        finally:
-            fresh.unpersist()
+        f, t, at = self.flow, self.table, self.events.version()
+        known, keys = self.events.read(at, touched), [*f.keys, f.sequence_by]
+        one = F.row_number().over(Window.partitionBy(*keys).orderBy(f.sequence_by))  # sorted once, as the join needs it
+        fresh = own.withColumn("_n", one).where("_n = 1").join(known.select(*keys), keys, "left_anti").select(*known.columns)
+        files, fresh = self.events.stage(fresh, at)
+        if not files:
+            return
+        met, track = sorted(map(int, files)), list(f.track_history or self.columns)
+        new = scd.splice(t.read(base, met), self.events.read(at, met), fresh, list(f.keys), f.sequence_by, list(self.columns), track, "_deleted", fresh.count() <= self.few)
+        t.replace(new, met, "AUTO CDC", base=base)
+        self.events.append(fresh, "AUTO CDC", at, files)
 
     def purge(self, now: Column | None = None) -> int:
         """Drops the tombstones that are older than the target's retention at now; returns how many. A late event of such

@@ -127,6 +127,26 @@ def test_history_leaves_other_buckets_and_survives_a_crash(spark, tmp_path, monk
     assert v == cdc.table.version() and versions(cdc.result()) == whole(spark, rows + late + more)
 
 
+def test_late_events_are_sorted_not_joined_with_stretches(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(k, s, rnd.choice(["UPDATE", "UPDATE", "DELETE"]), rnd.choice(["x", "y", None]), s) for k in range(40) for s in rnd.sample(range(99), 30)]
+    e = spark.createDataFrame(rows, EVENT).withColumn("_deleted", F.col("operation") == "DELETE")
+    known, fresh = e.where("sequence_number % 3 > 0"), e.where("sequence_number % 3 = 0 AND k < 30")
+    h = scd.scd2(known, ["k"], "sequence_number", ["a", "b"], ["a"], F.col("_deleted"))
+    want = whole(spark, [r for r in rows if r[1] % 3 or r[0] < 30])
+    for few in (False, True):
+        out = scd.splice(h, known, fresh, ["k"], "sequence_number", ["a", "b"], ["a"], "_deleted", few)
+        assert versions(out) == want and ">=" not in plan(out)
+        assert plan(out).count("Join") == (2 if few else 0)
+    # a batch is written once and read from there, not held by executors; all its buckets are made anew from their events
+    cdc = AutoCdc(spark, str(tmp_path), FLOW, ("a", "b"), buckets=2, few=10)
+    rnd.shuffle(rows)
+    for i in range(0, len(rows), 500):
+        cdc.apply(spark.createDataFrame(rows[i : i + 500] + rows[:3], EVENT))
+    assert versions(cdc.result()) == whole(spark, rows) and cdc.events.read().count() == len(rows)
+    assert sum(len(dirs) for dirs in cdc.events.log()["buckets"].values()) <= 2 * (1 + len(rows) // 500)
+
+
 # ---- hot keys ----
 
 

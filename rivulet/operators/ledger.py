@@ -85,12 +85,15 @@ class Ledger:
     def pending(self) -> DataFrame:
         """Rows of a run that hasn't ended."""
         rows = self.opened.read()
+        if self.opened.empty():
+            return rows
         slots = self.applied.touched(rows)
         return rows.join(self.applied.read(buckets=slots).select("event_id"), "event_id", "left_anti").select(*rows.columns) if slots else rows
 
     def look(self, events: DataFrame) -> DataFrame:
         """Rows that events can meet by their id: those of its slots, and the pending ones."""
-        return self.applied.read(buckets=self.applied.touched(events)).unionByName(self.pending())
+        rows = self.applied.read(buckets=self.applied.touched(events))
+        return rows if self.opened.empty() else rows.unionByName(self.pending())
 
     def maxima(self, events: DataFrame) -> DataFrame:
         """(entity_sequence_key, max_sequence) of the buckets of events' entities."""

@@ -9,7 +9,7 @@ from rivulet.functions import canonical
 from rivulet.operators import cdf, merge, normalize, reconcile, scd
 from rivulet.operators.ledger import Ledger, id_ranges
 from rivulet.operators.segments import hot_keys, segmented
-from rivulet.plans import queries
+from rivulet.plans import incremental, queries
 from rivulet.sources import staging
 from rivulet.spec import FlowSpec
 from rivulet.streaming.auto_cdc import AutoCdc
@@ -76,6 +76,29 @@ def test_slots_of_any_id(spark, tmp_path, ids):
     assert {r["class"] for r in merge.classify(batch, book.look(batch), "q", book.maxima(batch)).collect()} == {"EXACT_REPLAY_APPLIED"}
 
 
+def test_a_batch_is_many_files_and_no_pending_rows_cost_no_job(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        own = incremental._dealt(spark.range(4000).select("id", (F.col("id") % 20).cast("int").alias("part")), str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [len(list(p.glob("*.parquet"))) for p in (tmp_path / "in").glob("part=*")]
+    assert len(files) == 20 and sum(files) > 40
+    assert sorted(r["id"] for r in own.where("part = 3").collect()) == list(range(3, 4000, 20))
+    book = Ledger(spark, str(tmp_path / "l"), id_ranges(100), buckets=2)
+    book.ready()
+    book.record(rows(spark, *range(100)))
+    try:
+        spark.sparkContext.setJobGroup("pending", "")
+        assert book.opened.empty() and "Union" not in plan(book.pending())
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("pending")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "Union" not in plan(book.look(rows(spark, 5))) and book.look(rows(spark, 5)).count() == 100
+    book.open(rows(spark, 7, 250))
+    assert not book.opened.empty() and {r["event_id"] for r in book.pending().collect()} == {"250"}
+
+
 # ---- history ----
 
 FLOW = FlowSpec("t", ("k",), scd_type=2, track_history=("a",))

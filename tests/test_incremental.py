@@ -170,6 +170,19 @@ def test_late_events_are_sorted_not_joined_with_stretches(spark, tmp_path):
     assert sum(len(dirs) for dirs in cdc.events.log()["buckets"].values()) <= 2 * (1 + len(rows) // 500)
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_streamed_history_after_hydration(spark, tmp_path, few):
+    early = [(k, 0, "SNAPSHOT", "x", k) for k in range(9)]
+    late = [(k, s, "DELETE" if s % 5 == 0 else "UPDATE", "xyz"[s * k % 3], s) for k in range(12) for s in range(1, 20)]
+    for name, own, files in (("hydration", early, 1), ("stream", late, 4)):
+        spark.createDataFrame(own, EVENT).repartition(files, "sequence_number").write.parquet(f"{tmp_path}/{name}-in")
+        source = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/{name}-in")
+        flow = FlowSpec("t", ("k",), scd_type=2, track_history=("a",), name=name, once=name == "hydration")
+        cdc = AutoCdc(spark, str(tmp_path), flow, ("a", "b"), buckets=2, few=few)
+        cdc.run(source, f"{tmp_path}/checkpoint-{name}")
+    assert versions(cdc.result()) == whole(spark, early + late) and cdc.events.read().count() == len(early + late)
+
+
 # ---- hot keys ----
 
 

@@ -494,6 +494,19 @@ def fk_integrity(spark, d):
 # ---- streams ----
 
 
+def _changes(e):
+    return e.select("user_id", F.col("event_id").alias("sequence_number"), F.col("op").alias("operation"), "event_type", "value")
+
+
+def _landed(df, path, key, batches=2):
+    """df as a stream of files, taken in so many batches. Each batch is as many files as tasks read at once, so that none is
+    a few tasks' work; and more files don't make more batches, each of which would write the target's buckets again."""
+    spark = df.sparkSession
+    df.repartition(batches * spark.sparkContext.defaultParallelism, key).write.parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
+
+
 def _streamed(spark, d, flow):
     root = _scratch(spark)
     log(spark, d).repartition(4, "event_id").select("user_id", F.col("event_id").alias("sequence_number"), F.col("op").alias("operation"), "event_type", "value").write.parquet(f"{root}/in")
@@ -577,10 +590,9 @@ def _hydrated(spark, d, **kind):
     root, e = _scratch(spark), log(spark, d)
     columns = ("event_type", "value")
     early = scd.scd1(e.where("event_id < 2000"), ["user_id"], "event_id", list(columns), deleted())
-    snapshot_events(early.select("user_id", *columns)).write.parquet(f"{root}/snapshot")
-    e.where("event_id >= 2000").repartition(4, "event_id").select("user_id", F.col("event_id").alias("sequence_number"), F.col("op").alias("operation"), *columns).write.parquet(f"{root}/in")
-    for name, where, once in (("hydration", "snapshot", True), ("hydration", "snapshot", True), ("stream", "in", False)):
-        source = spark.readStream.schema(spark.read.parquet(f"{root}/{where}").schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/{where}")
+    snapshot = _landed(snapshot_events(early.select("user_id", *columns)), f"{root}/snapshot", "user_id", batches=1)
+    later = _landed(_changes(e.where("event_id >= 2000")), f"{root}/in", "sequence_number")
+    for name, source, once in (("hydration", snapshot, True), ("hydration", snapshot, True), ("stream", later, False)):
         cdc = AutoCdc(spark, root, FlowSpec("users", ("user_id",), name=name, once=once, **kind), columns, buckets=4)
         cdc.run(source, f"{root}/checkpoint-{name}")
     return cdc

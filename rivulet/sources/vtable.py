@@ -16,6 +16,12 @@ from rivulet.errors import CDFInvalidRangeError, CDFNotEnabledError, CDFSourceNo
 CHANGE_COLUMNS = ("_change_type", "_commit_version", "_commit_timestamp")
 
 
+def no_rows(spark: SparkSession, schema: StructType) -> DataFrame:
+    """A frame without rows that the optimiser knows to be empty: what is joined with it costs no job, and no Python worker
+    is started, as createDataFrame([], schema) does."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).where("false")
+
+
 @dataclass
 class VersionedTable:
     """A table at path, hashed by key into buckets; a replacing commit rewrites the buckets it touches, an
@@ -99,7 +105,7 @@ class VersionedTable:
         own = [d for b, dirs in entry["buckets"].items() if wanted is None or int(b) in wanted for d in dirs]
         schema = StructType.fromJson(entry["schema"])
         if not own:
-            return self.spark.createDataFrame([], schema)
+            return no_rows(self.spark, schema)
         return self.spark.read.schema(schema).parquet(*own)
 
     def empty(self) -> bool:
@@ -127,7 +133,7 @@ class VersionedTable:
             if e["changes"]:
                 kinds.setdefault(json.dumps(e["schema"]), []).append(e)
         # one scan for all commits of one schema
-        out = self.spark.createDataFrame([], self._change_schema(entries[0] if entries else self.log()))
+        out = no_rows(self.spark, self._change_schema(entries[0] if entries else self.log()))
         for own in kinds.values():
             out = out.unionByName(self.spark.read.schema(self._change_schema(own[0])).parquet(*[e["changes"] for e in own]), allowMissingColumns=True)
         return out

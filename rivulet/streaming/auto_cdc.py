@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators import scd
-from rivulet.sources.vtable import VersionedTable
+from rivulet.sources.vtable import VersionedTable, no_rows
 from rivulet.spec import FlowSpec
 
 
@@ -63,7 +63,7 @@ class AutoCdc:
         f, t = self.flow, self.table
         own = self._stored(batch.where(" AND ".join(f"{k} IS NOT NULL" for k in (*f.keys, f.sequence_by))))
         if not t.exists():
-            self.create(batch.sparkSession.createDataFrame([], batch.schema))
+            self.create(no_rows(batch.sparkSession, batch.schema))
         base, touched = t.version(), t.touched(own)
         if not touched:
             return
@@ -115,7 +115,7 @@ class AutoCdc:
         f = self.flow
         if f.once and self.table.exists() and self.table.properties().get(f"done.{f.name}") == "true":
             return
-        self.create(self.spark.createDataFrame([], stream.schema))
+        self.create(no_rows(self.spark, stream.schema))
         q = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
         if f.once:

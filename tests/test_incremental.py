@@ -10,7 +10,7 @@ from rivulet.operators import cdf, merge, normalize, reconcile, scd
 from rivulet.operators.ledger import Ledger, id_ranges
 from rivulet.operators.segments import hot_keys, segmented
 from rivulet.plans import incremental, queries
-from rivulet.sources import staging
+from rivulet.sources import staging, vtable
 from rivulet.spec import FlowSpec
 from rivulet.streaming.auto_cdc import AutoCdc
 
@@ -183,6 +183,26 @@ def test_streamed_history_after_hydration(spark, tmp_path, few):
     assert versions(cdc.result()) == whole(spark, early + late) and cdc.events.read().count() == len(early + late)
 
 
+def test_a_snapshot_is_one_batch_and_the_stream_two_of_many_files(spark, monkeypatch):
+    seen, apply = [], AutoCdc.apply
+
+    def told(self, batch, _id=None):
+        seen.append((self.flow.name, batch._jdf.rdd().getNumPartitions()))
+        apply(self, batch, _id)
+
+    monkeypatch.setattr(AutoCdc, "apply", told)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cdc = queries._hydrated(spark, "/root/testdata/sf0.01", scd_type=2, track_history=("event_type",))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [name for name, _ in seen] == ["hydration", "stream", "stream"]
+    assert min(n for _, n in seen) >= spark.sparkContext.defaultParallelism and cdc.result().count() == 5212
+    empty = vtable.no_rows(spark, cdc.table.read().schema)
+    assert plan(empty).startswith("LocalRelation <empty>") and empty.dtypes == cdc.table.read().dtypes
+    assert "Join" not in plan(cdc.table.read().join(empty, "user_id", "left_anti"))
+
+
 # ---- hot keys ----
 
 

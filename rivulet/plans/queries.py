@@ -509,10 +509,8 @@ def _landed(df, path, key, batches=2):
 
 def _streamed(spark, d, flow):
     root = _scratch(spark)
-    log(spark, d).repartition(4, "event_id").select("user_id", F.col("event_id").alias("sequence_number"), F.col("op").alias("operation"), "event_type", "value").write.parquet(f"{root}/in")
-    source = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     cdc = AutoCdc(spark, root, flow, ("event_type", "value"), buckets=4)
-    cdc.run(source, f"{root}/checkpoint")
+    cdc.run(_landed(_changes(log(spark, d)), f"{root}/in", "sequence_number"), f"{root}/checkpoint")
     return cdc.result()
 
 

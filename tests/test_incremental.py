@@ -203,6 +203,19 @@ def test_a_snapshot_is_one_batch_and_the_stream_two_of_many_files(spark, monkeyp
     assert "Join" not in plan(cdc.table.read().join(empty, "user_id", "left_anti"))
 
 
+def test_half_a_stream_is_many_tasks(spark, monkeypatch):
+    seen, apply = [], AutoCdc.apply
+
+    def told(self, batch, _id=None):
+        seen.append((batch.count(), batch._jdf.rdd().getNumPartitions()))
+        apply(self, batch, _id)
+
+    monkeypatch.setattr(AutoCdc, "apply", told)
+    out = queries.stream_scd2(spark, "/root/testdata/sf0.01")
+    assert len(seen) == 2 and sum(n for n, _ in seen) == 10_000 and min(n for n, _ in seen) > 4_000
+    assert min(tasks for _, tasks in seen) >= spark.sparkContext.defaultParallelism and out.count() == 6399
+
+
 # ---- hot keys ----
 
 
